@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import near_dup
+from plumbline.llm import decontam, langid, near_dup
 
 QUERIES = {
+    "op2_language": langid.query,
     "op4_near_duplicates": near_dup.query,
+    "op7_decontamination": decontam.query,
 }
 ORACLES = {
     "op4_near_duplicates": near_dup.ORACLE,
+    "op7_decontamination": decontam.ORACLE,
 }
