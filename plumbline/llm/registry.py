@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import decontam, langid, near_dup
+from plumbline.llm import decontam, langid, near_dup, pii
 
 QUERIES = {
     "op2_language": langid.query,
+    "op3_personal_data": pii.query,
     "op4_near_duplicates": near_dup.query,
     "op7_decontamination": decontam.query,
 }
