@@ -67,11 +67,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def chunks(at: np.ndarray, size: int = BLOCK):
-    """Ranges of documents of about ``size`` bytes; a longer document stands alone."""
+def chunks(at: np.ndarray, size: int = BLOCK, most: int = 2048):
+    """Ranges of up to ``most`` documents of about ``size`` bytes; a longer document stands alone."""
     first, n = 0, len(at) - 1
     while first < n:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + size, side="right")) - 1)
+        last = min(first + most, max(first + 1, int(np.searchsorted(at, at[first] + size, side="right")) - 1))
         yield first, last
         first = last
 
@@ -91,9 +91,13 @@ def words(buf: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, at, side="left")
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word in lower case, from prefix sums of a polynomial."""
-    out = np.empty(len(starts), np.uint64)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each word in lower case, from prefix sums of a polynomial.
+
+    With ``cuts`` there is a further row for each: the hashes of the words' first
+    so many bytes, and 0 for words that aren't longer.
+    """
+    out = np.zeros((1 + len(cuts), len(starts)), np.uint64)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, side="right")))
@@ -102,9 +106,13 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTE[buf[lo:hi]] * _powers(_P, size)[: hi - lo], out=total[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((total[e] - total[s]) * _powers(_P_INV, size)[s])
+        back = _powers(_P_INV, size)[s]
+        out[0, i:j] = mix((total[e] - total[s]) * back)
+        for row, cut in enumerate(cuts, 1):
+            some = np.flatnonzero(e - s > cut)
+            out[row, i + some] = mix((total[s[some] + cut] - total[s[some]]) * back[some] + U(cut))
         i = j
-    return out
+    return out if cuts else out[0]
 
 
 def shingle_sets(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -3,15 +3,20 @@
 1. Each text's set of five-word shingles gives ``SAMPLES`` MinHash samples.
    Groups of ``ROWS`` samples form the bands; all samples fold into a parity
    bitmap (odd sketch), in which the XOR of two documents' bitmaps has few
-   ones where they share most samples.
+   ones where they share most samples. A second bitmap holds the parities of
+   the full set; the XOR of two of these never has more ones than the sets
+   have differing members, so it rules pairs out without error.
 2. Texts with the same set form a class; from here on a class is one node.
 3. In each band bucket every class meets the bucket's smallest class. Pairs
    whose sketches rule out the threshold go; the others are confirmed on their
    full sets. Components of these links join whole groups of copies without
    listing a group's pairs.
-4. Buckets that still hold several components give the pairs across them, the
-   larger ones in blocks, by sketch and full set again; that finds what a
-   bucket's smallest class is too far from.
+4. In buckets that still hold several components, every class meets one
+   member drawn by hash, another one in each band and round; that joins
+   groups of copies that have drifted apart, again without listing pairs.
+5. Buckets that hold several components even then give all pairs across
+   them, the larger ones in blocks, by sketch and full set; so no link
+   between different components is left.
 
 Two sets at the threshold 0.75 share no bucket with a chance of 5e-6, and
 are ruled out by their sketches with one of about 1e-7.
@@ -33,11 +38,13 @@ from plumbline.session import cut, table
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-BITS = 512
+BITS, WHOLE_BITS = 512, 2048
 #: A link needs LINK[0] * |intersection| >= LINK[1] * |union|.
 LINK = (100, 75)
 #: Standard deviations between the threshold and the sketches that are ruled out.
 SIGMAS = 5.5
+#: Rounds of meeting a drawn member before what is left meets in full; a round that links nothing is the last.
+ROUNDS = 3
 #: Classes of one bucket that meet in one block.
 BLOCK_ROWS = 2048
 #: So many candidate ids, 16 bytes each, are sent to all executors; more are joined by a shuffle.
@@ -64,11 +71,11 @@ def text_sets(column: pa.Array):
 
 
 def _signed(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Two set hashes, the band keys and the sketch of each document; documents without words have zeros."""
+    """Two set hashes, the band keys, and both bitmaps of each document; documents without words have zeros."""
     n = len(ends) - 1
     full = np.flatnonzero(ends[1:] > ends[:-1])
     lo, hi = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    bands, sketch = np.zeros((n, BANDS), np.uint64), np.zeros((n, BITS // 8), np.uint8)
+    bands, sketch, whole = np.zeros((n, BANDS), np.uint64), np.zeros((n, BITS // 8), np.uint8), np.zeros((n, WHOLE_BITS // 8), np.uint8)
     if len(full):
         at = ends[full]
         lo[full] = np.add.reduceat(K.mix(sets ^ K.U(0x5555)), at)
@@ -79,32 +86,43 @@ def _signed(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
             least[i] = np.minimum.reduceat(sets * a[i] + c[i], at)
         keys = (least.reshape(BANDS, ROWS, -1) * K.constants(ROWS, 33)[None, :, None]).sum(1, dtype=np.uint64)
         bands[full] = K.mix(keys + K.constants(BANDS, 34)[:, None]).T
-        bit = (K.mix(least + c[:, None]) & K.U(BITS - 1)).astype(np.int64) + np.arange(len(full)) * BITS
-        odd = (np.bincount(bit.ravel(), minlength=len(full) * BITS) & 1).astype(np.uint8)
-        sketch[full] = np.packbits(odd.reshape(-1, BITS), axis=1)
-    return lo, hi, bands, sketch
+        sketch[full] = _parities(K.mix(least + c[:, None]), np.arange(len(full)), len(full), BITS)
+        whole[full] = _parities(K.mix(sets + K.U(0x7777)), np.repeat(np.arange(len(full)), np.diff(ends)[full]), len(full), WHOLE_BITS)
+    return lo, hi, bands, sketch, whole
+
+
+def _parities(hashes: np.ndarray, row: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """For each row the parities of how many of its hashes fall on each bit."""
+    at = (hashes & K.U(bits - 1)).astype(np.int64) + row * bits
+    odd = (np.bincount(at.ravel(), minlength=rows * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, bits), axis=1)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_lo, set_hi, bands and the sketch's words s0.. of each row."""
+    """doc_id, n_shingles, set_lo, set_hi, bands, and the bitmaps (words s0.., array whole) of each row."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    fields = [slim.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_lo", T.LongType()), T.StructField("set_hi", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [slim.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_lo", T.LongType()), T.StructField("set_hi", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.ArrayType(T.LongType()))]
     fields += [T.StructField(s, T.LongType()) for s in SKETCH]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for first, sets, ends in text_sets(batch.column(1)):
-                lo, hi, bands, sketch = _signed(sets, ends)
+                lo, hi, bands, sketch, whole = _signed(sets, ends)
                 n = len(lo)
-                flat = pa.array(bands.view(np.int64).ravel())
-                out = [ids.slice(first, n), pa.array(np.diff(ends)), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), flat)]
+                out = [ids.slice(first, n), pa.array(np.diff(ends)), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), _lists(bands), _lists(whole)]
                 out += [pa.array(np.ascontiguousarray(x)) for x in sketch.view(np.int64).T]
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
     return slim.mapInArrow(run, T.StructType(fields))
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    """A list of 64-bit integers for each row of a matrix."""
+    flat = np.ascontiguousarray(rows).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+
+
 def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
     """The rows of (a, b, ta, tb) whose full sets reach the threshold."""
     keep = np.zeros(batch.num_rows, bool)
@@ -142,15 +160,15 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(run, pairs.select("a", "b").schema))
 
 
-def differing(x: str, y: str):
-    """Ones in the XOR of the sketches of ``x`` and ``y``."""
-    return sum((F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"{x}.{SKETCH[0]}").bitwiseXOR(F.col(f"{y}.{SKETCH[0]}"))))
-
-
 def _may_link(x: str, y: str):
-    """Neither the sketches nor the sizes rule the threshold out."""
-    small, large = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
-    return (differing(x, y) <= most_differing()) & (LINK[0] * small >= LINK[1] * large)
+    """Neither the sizes nor the bitmaps rule the threshold out."""
+    nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+    near = LINK[0] * F.least(nx, ny) >= LINK[1] * F.greatest(nx, ny)
+    ones = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH]
+    near = near & (sum(ones[1:], ones[0]) <= most_differing())
+    # linked sets differ in at most (nx + ny) (1 - j) / (1 + j) members; an array, as so many columns make a method too long to be compiled
+    odd = F.aggregate(F.zip_with(f"{x}.whole", f"{y}.whole", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+    return near & ((LINK[0] + LINK[1]) * odd <= (LINK[0] - LINK[1]) * (nx + ny))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +191,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = slim.join(classes, ["set_lo", "set_hi"], "left")
 
     reps = worded.join(classes, ["set_lo", "set_hi"]).where("doc_id = class_id").dropDuplicates(["set_lo", "set_hi"])
-    reps = cut(reps.select(F.col("class_id").alias("node"), "n_shingles", "bands", *SKETCH))
+    reps = cut(reps.select(F.col("class_id").alias("node"), "n_shingles", "bands", "whole", *SKETCH))
     entries = reps.select("node", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
     shared = cut(entries.join(buckets, "band").select("band", "node", "least", "size"))
@@ -185,10 +203,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     several = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("z")).where("b < z")
     again = member.join(several, "doc_id").where("class_id <> b").select(F.col("class_id").alias("a"), "b").distinct()
-    links = cut(links.union(again))
-    links = links.union(confirm(_across(shared, components(links, "a", "b"), traits), texts))
-
-    labels = components(links, "a", "b")
+    labels = components(links.union(again), "a", "b")
+    for pairs in [*(lambda known, n=n: _sketched(_drawn(shared, known, n), traits) for n in range(ROUNDS)), lambda known: _across(shared, known, traits)]:
+        links = confirm(pairs(labels), texts)
+        if links.limit(1).count():
+            labels = components(labels.select("node", "label").union(links), "node", "label")
     out = member.join(labels, member.class_id == labels.node, "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("label", "class_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -201,13 +220,27 @@ def _sketched(pairs: DataFrame, traits: DataFrame) -> DataFrame:
     return rows.where(_may_link("x", "y")).select("a", "b").distinct()
 
 
+def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets' entries with their component so far; a class without links is its own."""
+    return shared.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
+
+
+def _drawn(shared: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of each class with the member that round ``n`` draws in its bucket, where the components differ."""
+    entries = _labelled(shared, labels)
+    draw = F.min(F.struct(F.xxhash64("node", "band", F.lit(n)).alias("h"), "node", "label")).alias("met")
+    mixed = entries.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q"), draw).where("p < q").select("band", "met")
+    pairs = entries.join(mixed, "band").where("label <> met.label")
+    return pairs.select(F.greatest("node", "met.node").alias("a"), F.least("node", "met.node").alias("b")).distinct()
+
+
 def _across(shared: DataFrame, labels: DataFrame, traits: DataFrame) -> DataFrame:
     """Pairs of one bucket and different components that may be linked.
 
     A bucket of more than BLOCK_ROWS classes is dealt into blocks; each class
     meets every block, so all pairs are seen, by several tasks.
     """
-    entries = shared.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
+    entries = _labelled(shared, labels)
     mixed = entries.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("band")
     entries = entries.join(mixed, "band").join(traits, "node")
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")

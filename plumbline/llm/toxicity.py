@@ -1,14 +1,13 @@
 """Toxicity by a logistic classifier that is regularised with counterfactuals.
 
-Features are the presence of a text's words, hashed into ``BUCKETS``. The
-loss is the weighted cross entropy of labelled texts, plus ``FAIRNESS`` times
+Features are the presence of a text's words and of their first ``STEMS``
+bytes (inflected words share these), hashed into ``BUCKETS``. The loss is the weighted cross entropy of labelled texts, plus ``FAIRNESS`` times
 the squared change of the score when identity terms are swapped for other
 terms of their group. Texts without identity terms get one put in beside the
 swap, so that a neutral mention alone can't move a score either.
 
 The classifier is fitted in numpy on a bounded sample (``per_class`` texts of
-each label, ``PASSAGES`` passages of ``PASSAGE`` characters of each); whole
-texts are scored.
+each label, none of over ``LONGEST`` characters); whole texts are scored.
 """
 
 from __future__ import annotations
@@ -24,7 +23,9 @@ from plumbline.llm import kernels as K
 from plumbline.llm.langid import held_out
 from plumbline.session import table
 
-BUCKETS = 1 << 18
+BUCKETS, STEMS = 1 << 20, (4, 5, 6, 7)
+#: Weights below this are set to 0.
+SLIGHT = 0.02
 PER_CLASS, LONGEST = 2500, 20_000
 FAIRNESS = 1.0
 #: Groups of identity terms that are swapped for one another.
@@ -43,15 +44,23 @@ IDENTITIES = (
 )
 
 
-def buckets(column: pa.Array):
-    """(first document, distinct word buckets of each document in a row, ends of their ranges) for blocks of a text column."""
+def buckets(column: pa.Array, weights: np.ndarray | None = None):
+    """(first document, distinct feature buckets of each document in a row, ends of their ranges) for blocks of a text column.
+
+    With ``weights``, buckets of weight 0 are left out.
+    """
     buf, at = K.utf8(column)
     for lo, hi in K.chunks(at):
         part, own = buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         starts, ends, first = K.words(part, own, K.ALNUM)
-        word = (K.word_hashes(part, starts, ends) >> K.U(46)).astype(np.int64)
+        hashes = K.word_hashes(part, starts, ends, STEMS)
         doc = np.repeat(np.arange(hi - lo), np.diff(first))
-        pair = np.sort(doc * BUCKETS + word)
+        pairs = []
+        for row in hashes:
+            word = (row >> K.U(44)).astype(np.int64)
+            some = np.flatnonzero((row != 0) if weights is None else (row != 0) & (weights[word] != 0))
+            pairs.append(doc[some] * BUCKETS + word[some])
+        pair = np.sort(np.concatenate(pairs))
         if len(pair) > 1:
             pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))]
         yield lo, pair % BUCKETS, np.searchsorted(pair, np.arange(hi - lo + 1) * BUCKETS)
@@ -61,7 +70,7 @@ def _bucket(words: list[str]) -> np.ndarray:
     """The bucket of each of these words."""
     buf = np.frombuffer(" ".join(words).encode(), np.uint8)
     starts, ends, _ = K.words(buf, np.array([0, len(buf)]), K.ALNUM)
-    return (K.word_hashes(buf, starts, ends) >> K.U(46)).astype(np.int64)
+    return (K.word_hashes(buf, starts, ends) >> K.U(44)).astype(np.int64)
 
 
 def sums(weights: np.ndarray, word: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -124,11 +133,11 @@ class Classifier:
             gb = float(e.sum())
             mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             b -= rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 3e-5)
-        self.weights[used], self.bias = w, float(b)
+        self.weights[used], self.bias = np.where(np.abs(w) < SLIGHT, 0, w), float(b)
 
     def score(self, column: pa.Array) -> np.ndarray:
         out = np.zeros(len(column))
-        for lo, word, ends in buckets(column):
+        for lo, word, ends in buckets(column, self.weights):
             out[lo : lo + len(ends) - 1] = sums(self.weights, word, ends)
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -30, 30)))
 
