@@ -26,6 +26,7 @@ from plumbline.session import table
 BUCKETS, STEMS = 1 << 20, (4, 5, 6, 7)
 #: Weights below this are set to 0.
 SLIGHT = 0.02
+CHI2 = 15.0
 PER_CLASS, LONGEST = 2500, 20_000
 FAIRNESS = 1.0
 #: Groups of identity terms that are swapped for one another.
@@ -79,6 +80,18 @@ def sums(weights: np.ndarray, word: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
+def informative(word: np.ndarray, label: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The buckets whose presence depends on the label by the chi-squared test, at ``CHI2``; in long texts the others would only add noise."""
+    n, pos = len(y), y.sum()
+    both = np.bincount(word, minlength=BUCKETS).astype(np.float64)
+    a = np.bincount(word, label, BUCKETS)
+    used = np.flatnonzero(both)
+    both, a = both[used], a[used]
+    b, c = both - a, pos - a
+    d = n - pos - b
+    return used[n * (a * d - b * c) ** 2 / np.maximum(both * (n - both) * pos * (n - pos), 1) > CHI2]
+
+
 class Classifier:
     """Weights of word buckets and a bias; ``score`` gives probabilities."""
 
@@ -92,13 +105,15 @@ class Classifier:
         parts = list(buckets(pa.array(texts, pa.large_string())))
         word = np.concatenate([w for _, w, _ in parts])
         size = np.concatenate([np.diff(e) for _, _, e in parts])
-        used, col = np.unique(word, return_inverse=True)
         ends, row = np.concatenate(([0], np.cumsum(size))), np.repeat(np.arange(len(y)), size)
+        used = informative(word, y[row], y)
         # identity terms among the columns; each text's counterfactual: which columns come in and go
         terms = [[t for t in _bucket(list(g))] for g in IDENTITIES]
         group = {t: g for g, ts in enumerate(terms) for t in ts}
         used = np.unique(np.concatenate([used, np.array(sorted(group))]))
         col = np.searchsorted(used, word)
+        known = used[np.minimum(col, len(used) - 1)] == word
+        row, col = row[known], col[known]
         change_row, change_col, change_by = [], [], []
         for d in range(len(y)):
             has = [t for t in word[ends[d] : ends[d + 1]] if t in group]
