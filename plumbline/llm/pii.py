@@ -195,7 +195,8 @@ class Forest:
 
 def learn(scan: DataFrame) -> Forest:
     """Trees from the counts of all candidates' feature vectors; the driver gets one row for each vector, at most the product of the bins."""
-    rows = scan.select(F.explode("__cand").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count_if("c.y").alias("pos"), F.count_if(~F.col("c.y")).alias("neg"))
+    # explode_outer: for explode Spark infers a filter that works the candidates out again
+    rows = scan.select(F.explode_outer("__cand").alias("c")).where("c is not null").groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count_if("c.y").alias("pos"), F.count_if(~F.col("c.y")).alias("neg"))
     got = sorted((tuple(int(r[f]) for f in FEATURES), int(r.pos), int(r.neg)) for r in rows.collect())
     return Forest(got)
 
