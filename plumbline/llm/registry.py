@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, decontam, langid, mixing, near_dup, neighbours, pii, toxicity
+from plumbline.llm import chat, decontam, langid, licenses, mixing, near_dup, neighbours, pii, tokens, toxicity
 
 QUERIES = {
     "op1_nearest_neighbours": neighbours.query,
@@ -12,7 +12,9 @@ QUERIES = {
     "op5_chat_formatting": chat.query,
     "op6_mixing": mixing.query,
     "op7_decontamination": decontam.query,
+    "op8_licenses": licenses.query,
     "op9_toxicity": toxicity.query,
+    "op10_token_counts": tokens.query,
 }
 ORACLES = {
     "op1_nearest_neighbours": neighbours.ORACLE,
@@ -20,4 +22,5 @@ ORACLES = {
     "op5_chat_formatting": chat.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_decontamination": decontam.ORACLE,
+    "op8_licenses": licenses.ORACLE,
 }
