@@ -2,9 +2,539 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def FLAGSHIP(spark, sf_dir):
-    raise NotImplementedError
+from plumbline.functions import colours as C
+from plumbline.functions import geometry as G
+from plumbline.functions import text as X
+from plumbline.operators import assembly, colours, dedup, graph, records, select, spatial, stats
+from plumbline.plans import catalogue
+from plumbline.plans.drawing import SQL, Drawing, projection
+from plumbline.session import table
+from plumbline.streaming import arrivals
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+CANON = "CASE WHEN dxftype LIKE 'DIM~_%' ESCAPE '~' THEN 'DIMENSION' ELSE dxftype END"
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(name: str, sql: str | None = None, more: str = ""):
+    """Registers a function of a Drawing; ``sql`` may use ent, lay and blk, and further CTEs."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: _rounded(f(projection(spark, sf_dir)))
+        if sql:
+            ORACLES[name] = f"WITH RECURSIVE {SQL} {', ' + more if more else ''} {sql}"
+        return f
+
+    return add
+
+
+def query_on(name: str, tables: str, sql: str | None = None):
+    """Registers a function of tables by name; ``sql`` stands alone."""
+
+    def add(f):
+        QUERIES[name] = lambda spark, sf_dir: _rounded(f(*[table(spark, sf_dir, t) for t in tables.split()]))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# --- types and layouts -------------------------------------------------------
+
+RESOLVED = """
+res AS (SELECT e.*, l.handle IS NOT NULL AND (e.color_index IS NULL OR e.color_index IN (0, 256, 257)) AND e.true_color IS NULL AS by_layer, l.color_index AS li, l.true_color AS lt FROM ent e LEFT JOIN lay l ON e.layer_handle = l.handle),
+res2 AS (SELECT *, CASE WHEN by_layer THEN li ELSE color_index END AS i, CASE WHEN by_layer THEN lt ELSE true_color END AS t FROM res),
+res3 AS (SELECT *, CASE WHEN (i IS NULL OR i IN (0, 256, 257)) AND t BETWEEN 1 AND 257 THEN t ELSE i END AS resolved_index, CASE WHEN (i IS NULL OR i IN (0, 256, 257)) AND t BETWEEN 1 AND 257 THEN NULL ELSE t END AS resolved_true_color FROM res2)
+"""
+SPACE = """
+sp AS (SELECT e.*, CASE WHEN entmode = 2 THEN 'M' WHEN entmode = 1 THEN 'P' WHEN entmode = 0 AND b.name IS NOT NULL AND owner_handle <> 0
+  THEN CASE WHEN upper(b.name) = '*MODEL_SPACE' THEN 'M' WHEN upper(b.name) LIKE '*PAPER~_SPACE%' ESCAPE '~' THEN 'P' ELSE 'B' END ELSE 'M' END AS space FROM ent e LEFT JOIN blk b ON e.owner_handle = b.handle)
+"""
+NARROW = ["handle", "off", "dxftype", "x", "y"]
+
+
+@query("resolve_color", "SELECT handle, off, dxftype, resolved_index, resolved_true_color FROM res3 WHERE dxftype IN ('LINE', 'ARC') AND space_ok", RESOLVED.replace("res3 AS (SELECT *,", "res3 AS (SELECT *, (entmode <> 1 AND NOT (entmode = 0 AND EXISTS (SELECT 1 FROM blk b WHERE b.handle = owner_handle AND upper(b.name) <> '*MODEL_SPACE'))) AS space_ok,"))
+def resolve_color(d: Drawing) -> DataFrame:
+    """Lines and arcs of model space with their resolved colours."""
+    return d.modelspace().query("LINE ARC").select("handle", "off", "dxftype", "resolved_index", "resolved_true_color")
+
+
+def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["resolve_color"](spark, sf_dir)
+
+
+@query("type_filter", "SELECT handle, off, dxftype, x, y, CASE dxftype WHEN 'CIRCLE' THEN 1 ELSE 2 END AS type_rank FROM ent WHERE dxftype IN ('CIRCLE', 'TEXT')")
+def type_filter(d: Drawing) -> DataFrame:
+    return d.query("circle, text, NO_SUCH_TYPE", styles=False).select(*NARROW, "type_rank")
+
+
+@query("type_wildcard", "SELECT handle, off, dxftype, x, y FROM ent WHERE dxftype LIKE '%LINE' OR dxftype = 'VERTEX_2D'")
+def type_wildcard(d: Drawing) -> DataFrame:
+    return d.query("*LINE VERTEX_*", styles=False).select(*NARROW)
+
+
+@query("type_alias", f"SELECT {CANON} AS dxftype, count(*) AS n, count(DISTINCT handle) AS handles FROM ent WHERE dxftype LIKE 'DIM%' GROUP BY 1")
+def type_alias(d: Drawing) -> DataFrame:
+    return d.query("DIM_LINEAR", styles=False).groupBy("dxftype").agg(F.count("*").alias("n"), F.countDistinct("handle").alias("handles"))
+
+
+@query("present_types", f"SELECT DISTINCT {CANON} AS dxftype, list_position({list(catalogue.TYPES)!r}, {CANON}) AS rank FROM ent WHERE dxftype NOT LIKE 'VERTEX%'")
+def present_types(d: Drawing) -> DataFrame:
+    return d.present_types()
+
+
+@query("type_counts", "SELECT dxftype, count(*) AS n FROM ent GROUP BY 1")
+def type_counts(d: Drawing) -> DataFrame:
+    return stats.counts(d.entities, "dxftype")
+
+
+@query("skip_counts", f"SELECT {CANON} AS dxftype, count(*) FILTER (WHERE dxftype IN {catalogue.WRITABLE!r}) AS written, count(*) FILTER (WHERE dxftype NOT IN {catalogue.WRITABLE!r}) AS skipped FROM ent GROUP BY 1")
+def skip_counts(d: Drawing) -> DataFrame:
+    return select.skipped(d.entities)
+
+
+@query("layout_model", "SELECT handle, off, dxftype, x, y FROM sp WHERE space = 'M'", SPACE)
+def layout_model(d: Drawing) -> DataFrame:
+    return select.layout(d.entities, d.blocks, "MODELSPACE").select(*NARROW)
+
+
+@query("layout_paper", "SELECT handle, off, dxftype, x, y FROM sp WHERE space = 'P'", SPACE)
+def layout_paper(d: Drawing) -> DataFrame:
+    return select.layout(d.entities, d.blocks, "PAPERSPACE").select(*NARROW)
+
+
+@query("color_override_guard", """SELECT unnest([struct_pack(h := grey.h, c := 5), struct_pack(h := white.h, c := 9)]).h AS handle, unnest([struct_pack(h := grey.h, c := 5), struct_pack(h := white.h, c := 9)]).c AS color_index
+FROM (SELECT arg_max(struct_pack(h := handle, n := n), struct_pack(n := n, h := -handle)) FILTER (WHERE c = 9) AS grey, min(n) FILTER (WHERE c = 5) AS blue, arg_min(struct_pack(h := handle, n := n), handle) FILTER (WHERE c = 7) AS white, (SELECT count(*) FROM few) AS total FROM used)
+WHERE total >= 40 AND grey.n >= greatest(16, total // 3) AND blue = 0 AND white.n > 0""", """few AS (SELECT * FROM ent WHERE layer_handle % 10 <> 5 AND (layer_handle % 10 = 9 OR part % 5 = 0)),
+lay2 AS (SELECT handle % 10 AS handle, min(handle % 10) AS c FROM lay GROUP BY 1), used AS (SELECT lay2.handle, lay2.c, coalesce(u.n, 0) AS n FROM lay2 LEFT JOIN (SELECT layer_handle % 10 AS h, count(*) AS n FROM few GROUP BY 1) u ON u.h = lay2.handle)""")
+def color_override_guard(d: Drawing) -> DataFrame:
+    """The override rule on ten merged layers of which one is made busy and one idle."""
+    tenth = F.col("layer_handle") % 10
+    few = d.entities.where((tenth != 5) & ((tenth == 9) | (F.col("part") % 5 == 0))).withColumn("layer_handle", tenth)
+    layers = d.layers.select((F.col("handle") % 10).alias("handle")).distinct().select("handle", F.col("handle").cast("int").alias("color_index"), F.lit(None).cast("long").alias("true_color"))
+    return colours.layer_overrides(few, layers, "AC1027")
+
+
+# --- records -----------------------------------------------------------------
+
+
+@query("dup_handle_max_offset", "SELECT handle, max(off) AS off FROM ent GROUP BY handle")
+def dup_handle_max_offset(d: Drawing) -> DataFrame:
+    return records.by_max_offset(d.entities)
+
+
+@query("dup_handle_scored", """SELECT handle, arg_max(off, struct_pack(s := score, o := off)) AS off, max(score) AS score FROM (SELECT e.handle, e.off, 40 + CASE WHEN size BETWEEN 1 AND 8 THEN 8 ELSE 0 END
+  + 25 * (CASE WHEN a.h IS NULL THEN 0 ELSE 1 END + CASE WHEN b.h IS NULL THEN 0 ELSE 1 END) AS score FROM ent e LEFT JOIN t a ON a.h = e.handle - 1 AND a.dxftype = e.dxftype LEFT JOIN t b ON b.h = e.handle + 1 AND b.dxftype = e.dxftype) GROUP BY handle""", "t AS (SELECT DISTINCT handle AS h, dxftype FROM ent)")
+def dup_handle_scored(d: Drawing) -> DataFrame:
+    return records.by_score(d.entities)
+
+
+@query("records_by_handle_order", "SELECT b.handle, b.name, r.pos FROM blk b JOIN (SELECT h, min(pos) AS pos FROM (SELECT layer_handle * 7 AS h, part AS pos FROM ent) GROUP BY h) r ON r.h = b.handle")
+def records_by_handle_order(d: Drawing) -> DataFrame:
+    request = d.entities.select((F.col("layer_handle") * 7).alias("handle"), F.col("part").alias("pos"))
+    return select.by_request(d.blocks, request, "handle").select("handle", "name", "pos")
+
+
+@query_on("delta_decode", "orders", "SELECT o_orderkey AS handle, o_custkey AS off FROM orders")
+def delta_decode(orders: DataFrame) -> DataFrame:
+    """Handles and offsets survive delta coding within each day of orders."""
+    rows = orders.select(F.to_date("o_orderdate").alias("day"), F.col("o_orderkey").alias("handle"), F.col("o_custkey").alias("off"))
+    coded = records.deltas(rows, "day", ["handle"], ["handle", "off"]).select("day", F.col("handle").alias("ord"), "d_handle", "d_off")
+    return records.undelta(coded, "day", ["ord"], ["handle", "off"]).select("handle", "off")
+
+
+@query("anonymous_numbering", "SELECT handle, concat(name, row_number() OVER (PARTITION BY handle % 16 ORDER BY handle)) AS name, handle % 16 AS part FROM blk WHERE name IN ('*U', '*D')")
+def anonymous_numbering(d: Drawing) -> DataFrame:
+    return records.numbered(d.blocks.withColumn("part", F.col("handle") % 16), "part").select("handle", "name", "part")
+
+
+@query("monotonic_repair", """SELECT handle, p AS part, CASE WHEN c >= 4 AND d < c AND n IS NOT NULL THEN concat('BLOCK', row_number() OVER (PARTITION BY p, n IS NULL ORDER BY off, handle)) ELSE name END AS name
+FROM (SELECT *, count(n) OVER (PARTITION BY p) AS c, count(DISTINCT n) OVER (PARTITION BY p) AS d FROM b)""", "b AS (SELECT handle, name, off, handle % 64 AS p, TRY_CAST(nullif(regexp_extract(name, '^BLOCK([0-9]+)$', 1), '') AS INTEGER) AS n FROM blk)")
+def monotonic_repair(d: Drawing) -> DataFrame:
+    return records.sequential_names(d.blocks.withColumn("part", F.col("handle") % 64), "part")
+
+
+@query("handle_allocation", """SELECT p AS part, handle, new_handle FROM (SELECT p, handle, row_number() OVER (PARTITION BY p ORDER BY handle) AS i FROM (SELECT handle, handle % 50 AS p FROM blk WHERE name = '*D'))
+JOIN (SELECT p, n AS new_handle, row_number() OVER (PARTITION BY p ORDER BY n) AS i FROM (SELECT p, unnest(range(1, 30000)) AS n FROM range(0, 50) g(p)) f WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.p = f.p AND u.h = f.n)) USING (p, i)""", "u AS (SELECT DISTINCT handle % 50 AS p, handle // 50 * 2 + 1 AS h FROM blk WHERE name = '*U')")
+def handle_allocation(d: Drawing) -> DataFrame:
+    """Blocks of a name get free handles, passing over those that others of their part reserve."""
+    part = F.col("handle") % 50
+    used = d.blocks.where("name = '*U'").select(part.alias("part"), (F.floor(F.col("handle") / 50) * 2 + 1).alias("handle"))
+    return records.allocated(d.blocks.where("name = '*D'").select(part.alias("part"), "handle"), "part", used, ["handle"])
+
+
+@query("layer_table_merge", """SELECT coalesce(c.handle, n.handle) AS handle, CASE WHEN n.name IS NULL OR n.name = '' OR regexp_matches(n.name, '[\\x00-\\x1F<>/":;?*=|]') THEN concat('LAYER_', upper(printf('%x', coalesce(c.handle, n.handle)))) ELSE n.name END AS name, c.color_index, c.true_color
+FROM (SELECT * FROM lay WHERE handle % 3 <> 0) c FULL JOIN (SELECT handle, CASE WHEN handle % 5 = 0 THEN name || '?' ELSE name END AS name FROM lay WHERE handle % 4 <> 0) n ON c.handle = n.handle""")
+def layer_table_merge(d: Drawing) -> DataFrame:
+    names = d.layers.where("handle % 4 <> 0").select("handle", F.when(F.col("handle") % 5 == 0, F.concat("name", F.lit("?"))).otherwise(F.col("name")).alias("name"))
+    return records.layer_table(d.layers.where("handle % 3 <> 0"), names)
+
+
+# --- assembly ----------------------------------------------------------------
+
+
+@query("vertices_by_owner", "SELECT owner_handle, count(*) AS n, string_agg(concat(handle, ':', off), ',' ORDER BY handle, off) AS vertices FROM ent WHERE dxftype = 'VERTEX_2D' GROUP BY 1")
+def vertices_by_owner(d: Drawing) -> DataFrame:
+    own = assembly.by_owner(d.entities.where("dxftype = 'VERTEX_2D'"), "owner_handle", ["handle", "off"], ["x", "y"], "v")
+    return own.select("owner_handle", "n", F.array_join(F.transform("v", lambda v: F.concat_ws(":", v["handle"], v["off"])), ",").alias("vertices"))
+
+
+@query("vertices_adjacent_run", """SELECT DISTINCT p.handle, c.h AS child FROM p JOIN c ON c.h > p.handle AND c.h <= p.handle + 40 AND c.h - p.handle = (SELECT count(*) FROM c k WHERE k.h > p.handle AND k.h <= c.h)""",
+       "p AS (SELECT DISTINCT handle FROM ent WHERE dxftype = 'INSERT'), c AS (SELECT DISTINCT handle AS h FROM ent WHERE dxftype IN ('LINE', 'ARC', 'CIRCLE', 'POINT'))")
+def vertices_adjacent_run(d: Drawing) -> DataFrame:
+    return assembly.adjacent(d.entities.where("dxftype = 'INSERT'"), d.entities.where(F.col("dxftype").isin("LINE", "ARC", "CIRCLE", "POINT")))
+
+
+@query_on("vertices_until_seqend", "events", """WITH r AS (SELECT *, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT *, max(CASE WHEN event_type = 'signup' THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS pi, coalesce(max(CASE WHEN event_type NOT IN ('signup', 'view', 'click') THEN i END) OVER (PARTITION BY user_id ORDER BY i), 0) AS stop FROM r)
+SELECT p.user_id, p.event_id, q.event_id AS parent_handle FROM p JOIN r q ON q.user_id = p.user_id AND q.i = p.pi WHERE p.event_type IN ('view', 'click') AND p.stop < p.pi""")
+def vertices_until_seqend(events: DataFrame) -> DataFrame:
+    """Per user, views and clicks between a signup (a polyline) and the next event of another kind (its end)."""
+    return assembly.until_end(events, "user_id", ["ts", "event_id"], "event_type = 'signup'", "event_type in ('view', 'click')", "event_id").select("user_id", "event_id", "parent_handle")
+
+
+@query("attribs_by_insert", """SELECT b.handle, coalesce(string_agg(e.handle || '=' || e.dxftype, ';' ORDER BY e.handle, e.off), '') AS attribs FROM blk b LEFT JOIN ent e ON e.owner_handle = b.handle AND e.dxftype IN ('TEXT', 'MTEXT') GROUP BY b.handle""")
+def attribs_by_insert(d: Drawing) -> DataFrame:
+    own = assembly.attached(d.blocks.select("handle"), d.entities.where("dxftype in ('TEXT', 'MTEXT')"), "owner_handle", ["handle", "off"], ["dxftype"], "a")
+    return own.select("handle", F.array_join(F.transform("a", lambda a: F.concat_ws("=", a["handle"], a["dxftype"])), ";").alias("attribs"))
+
+
+@query_on("carry_forward_runs", "events", "SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS entity FROM events")
+def carry_forward_runs(events: DataFrame) -> DataFrame:
+    return assembly.carried(events, "user_id", ["ts", "event_id"], "event_type = 'purchase'", "event_id", "entity").select("event_id", "user_id", "entity")
+
+
+@query("adjacent_duplicates", "SELECT handle, off, round(gx, 6) AS gx, round(gy, 6) AS gy FROM (SELECT *, lag(gx) OVER w AS px, lag(gy) OVER w AS py FROM g WINDOW w AS (PARTITION BY owner_handle ORDER BY handle, off)) WHERE px IS NULL OR NOT (abs(gx - px) <= 1e-9 AND abs(gy - py) <= 1e-9)", "g AS (SELECT *, floor(x / 20000) AS gx, floor(y / 20) AS gy FROM ent)")
+def adjacent_duplicates(d: Drawing) -> DataFrame:
+    g = d.entities.withColumn("gx", F.floor(F.col("x") / 20000).cast("double")).withColumn("gy", F.floor(F.col("y") / 20).cast("double"))
+    return assembly.without_repeats(g, "owner_handle", ["handle", "off"], "gx", "gy").select("handle", "off", "gx", "gy")
+
+
+@query("adjacent_jumps", "SELECT handle, off, round(coalesce(greatest(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), sqrt((x - lead(x) OVER w) ** 2 + (y - lead(y) OVER w) ** 2)), 0), 6) AS jump FROM ent WINDOW w AS (PARTITION BY owner_handle ORDER BY handle, off)")
+def adjacent_jumps(d: Drawing) -> DataFrame:
+    return assembly.jumps(d.entities, "owner_handle", ["handle", "off"], "x", "y").select("handle", "off", "jump")
+
+
+@query("handle_ref_details", """SELECT r.handle AS src, r.pos, r.ref AS handle, b.name FROM (SELECT handle, ref, min(pos) AS pos FROM (SELECT DISTINCT handle, unnest([layer_handle, owner_handle // 2, part, layer_handle]) AS ref, unnest([0, 1, 2, 3]) AS pos FROM ent WHERE dxftype = 'HATCH') WHERE ref <> handle GROUP BY handle, ref) r JOIN blk b ON b.handle = r.ref""")
+def handle_ref_details(d: Drawing) -> DataFrame:
+    refs = F.array("layer_handle", F.floor(F.col("owner_handle") / 2), "part", "layer_handle")
+    rows = d.entities.where("dxftype = 'HATCH'").select(F.col("handle").alias("src"), refs.alias("refs"))
+    return assembly.references(rows, d.blocks.select("handle", "name"), "refs", "src").select("src", "pos", "handle", "name")
+
+
+@query("acis_strategy", """SELECT handle, off, rule, array_to_string(refs, ',') AS refs FROM (SELECT handle, off, CASE WHEN len(st) = 0 THEN 'scan-only' WHEN conf >= 60 THEN 'stream' WHEN len(bo) > 0 AND conf >= 40 THEN 'stream-overlap' WHEN len(bo) > 0 THEN 'stream-scan-overlap' WHEN conf >= 40 THEN 'stream-mid' ELSE 'lowconf-drop' END AS rule,
+  CASE WHEN len(st) = 0 THEN sc WHEN conf >= 60 THEN st WHEN len(bo) > 0 THEN bo WHEN conf >= 40 THEN st ELSE [] END AS refs FROM (SELECT *, list_filter(st, lambda r: list_contains(sc, r)) AS bo FROM (SELECT handle, off, part % 101 AS conf, list_filter([layer_handle, part % 10], lambda r: r % 4 <> 0) AS st, [part % 10, layer_handle % 10] AS sc FROM ent WHERE dxftype = 'HATCH')))""")
+def acis_strategy(d: Drawing) -> DataFrame:
+    rows = d.entities.where("dxftype = 'HATCH'")
+    stream = F.filter(F.array("layer_handle", F.col("part") % 10), lambda r: r % 4 != 0)
+    scanned = F.array(F.col("part") % 10, F.col("layer_handle") % 10)
+    pick = assembly.reference_strategy(stream, scanned, F.col("part") % 101)
+    return rows.select("handle", "off", pick.alias("p")).select("handle", "off", "p.rule", F.array_join("p.refs", ",").alias("refs"))
+
+
+# --- aggregates and dedup ----------------------------------------------------
+
+
+@query_on("decode_gap", "orders lineitem", "SELECT coalesce(a.k, b.k) AS priority, coalesce(a.n, 0) AS declared, coalesce(b.n, 0) AS decoded, coalesce(a.n, 0) - coalesce(b.n, 0) AS gap FROM (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1) b ON a.k = b.k")
+def decode_gap(orders: DataFrame, items: DataFrame) -> DataFrame:
+    decoded = orders.join(items, orders.o_orderkey == items.l_orderkey, "left_semi")
+    return stats.gaps(orders, decoded, "o_orderpriority").withColumnRenamed("o_orderpriority", "priority")
+
+
+@query("raw_only", "SELECT DISTINCT name FROM blk WHERE handle NOT IN (SELECT owner_handle FROM ent)")
+def raw_only(d: Drawing) -> DataFrame:
+    return d.blocks.join(d.entities, d.blocks.handle == d.entities.owner_handle, "left_anti").select("name").distinct()
+
+
+@query_on("topn_per_type", "events", "SELECT event_type, user_id, n, place FROM (SELECT event_type, user_id, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, min(event_id)) AS place FROM events GROUP BY 1, 2) WHERE place <= 3")
+def topn_per_type(events: DataFrame) -> DataFrame:
+    return stats.top(events, "event_type", "user_id", "event_id", 3)
+
+
+@query_on("modal_hint", "events", "SELECT user_id, arg_max(event_type, struct_pack(n := n, f := -f)) AS event_type FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2) GROUP BY 1")
+def modal_hint(events: DataFrame) -> DataFrame:
+    return stats.mode(events, "user_id", "event_type", "event_id")
+
+
+@query_on("dedup_text_key", "documents", "SELECT doc_id, rank FROM (SELECT *, min(rank) OVER (PARTITION BY k, c) AS best, row_number() OVER (PARTITION BY k, c ORDER BY rank, doc_id) AS n FROM (SELECT doc_id, trim(text) AS k, CAST(round_even(n_chars / 1000.0 * 1000, 0) AS BIGINT) AS c, doc_id % 3 AS rank FROM documents)) WHERE rank = 0 OR (best = rank AND n = 1)")
+def dedup_text_key(docs: DataFrame) -> DataFrame:
+    """Texts of three sources: all of the first, and of the others what no better source has."""
+    rows = docs.select("doc_id", F.trim("text").alias("k"), F.bround(F.col("n_chars") / 1000 * 1000).cast("long").alias("c"), (F.col("doc_id") % 3).alias("rank"))
+    return dedup.by_source(rows, ["k", "c"], "rank", ["doc_id"]).select("doc_id", "rank")
+
+
+@query("dedup_exact_json", "SELECT dxftype, layer_handle, round(gx, 6) AS gx, round(gy, 6) AS gy FROM (SELECT DISTINCT dxftype, layer_handle, floor(x / 10000) AS gx, floor(y / 10) AS gy FROM ent)")
+def dedup_exact_json(d: Drawing) -> DataFrame:
+    g = d.entities.select("dxftype", "layer_handle", F.floor(F.col("x") / 10000).cast("double").alias("gx"), F.floor(F.col("y") / 10).cast("double").alias("gy"))
+    return dedup.exact(g, ["dxftype", "layer_handle"])
+
+
+@query("dedup_signature", """SELECT min(off) AS off, count(*) AS n FROM (SELECT off, layer_handle, CASE WHEN [ax, ay] <= [bx, b_y] THEN [ax, ay, bx, b_y] ELSE [bx, b_y, ax, ay] END AS sig FROM (SELECT off, layer_handle, floor(x / 20000) AS ax, floor(y / 10) AS ay, floor(size) AS bx, floor(angle / 10) AS b_y FROM ent WHERE dxftype = 'LINE')) GROUP BY layer_handle, sig""")
+def dedup_signature(d: Drawing) -> DataFrame:
+    g = d.entities.where("dxftype = 'LINE'").select("off", "layer_handle", F.floor(F.col("x") / 20000).alias("ax"), F.floor(F.col("y") / 10).alias("ay"), F.floor("size").alias("bx"), F.floor(F.col("angle") / 10).alias("by"))
+    return g.groupBy("layer_handle", dedup.line_signature("ax", "ay", "bx", "by").alias("sig")).agg(F.min("off").alias("off"), F.count("*").alias("n")).select("off", "n")
+
+
+@query("dimension_merge", "SELECT handle, off, dxftype FROM (SELECT *, row_number() OVER (PARTITION BY handle ORDER BY dxftype = 'DIM_LINEAR', off) AS n FROM ent WHERE dxftype LIKE 'DIM%') WHERE n = 1")
+def dimension_merge(d: Drawing) -> DataFrame:
+    return dedup.merged_dimensions(d.entities.where("dxftype like 'DIM%'")).select("handle", "off", "dxftype")
+
+
+@query("layer_usage", "SELECT layer_handle, count(*) AS n FROM ent GROUP BY 1")
+def layer_usage(d: Drawing) -> DataFrame:
+    return stats.counts(d.entities, "layer_handle")
+
+
+LINES = "ln AS (SELECT off AS handle, layer_handle, floor(x / 1000) AS x1, floor(y / 5) AS y1, CASE WHEN part % 2 = 0 THEN floor(x / 1000) ELSE floor(x / 1000) + number END AS x2, floor(y / 5) + (part % 2 = 0)::INT * number + CASE WHEN part % 6 = 1 THEN 1 ELSE 0 END AS y2 FROM ent WHERE dxftype IN ('LINE', 'POINT', 'ARC'))"
+
+
+@query("p75_threshold_lines", """SELECT l.handle, l.layer_handle, round(l.len, 6) AS length FROM lone l JOIN (SELECT layer_handle, quantile_cont(len, 0.75) AS q FROM lone GROUP BY 1) USING (layer_handle) WHERE len + 1e-9 >= q""",
+       LINES + """, ends AS (SELECT layer_handle, x1 AS x, y1 AS y FROM ln UNION ALL SELECT layer_handle, x2, y2 FROM ln), one AS (SELECT layer_handle, x, y FROM ends GROUP BY ALL HAVING count(*) = 1),
+lone AS (SELECT ln.*, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len FROM ln WHERE (x1 = x2 OR y1 = y2) AND (layer_handle, x1, y1) IN (SELECT (layer_handle, x, y) FROM one) AND (layer_handle, x2, y2) IN (SELECT (layer_handle, x, y) FROM one))""")
+def p75_threshold_lines(d: Drawing) -> DataFrame:
+    e = d.entities.where("dxftype in ('LINE', 'POINT', 'ARC')")
+    gx, gy, even = F.floor(F.col("x") / 1000).cast("double"), F.floor(F.col("y") / 5).cast("double"), F.col("part") % 2 == 0
+    lines = e.select(F.col("off").alias("handle"), "layer_handle", gx.alias("x1"), gy.alias("y1"), F.when(even, gx).otherwise(gx + F.col("number")).alias("x2"), (gy + F.when(even, F.col("number")).otherwise(0) + F.when(F.col("part") % 6 == 1, 1).otherwise(0)).alias("y2"))
+    return stats.lone_long_lines(lines, "layer_handle")
+
+
+@query("concentric_ratio", """SELECT owner_handle, handle, round(ratio, 6) AS ratio FROM (SELECT owner_handle, off AS handle, x / lead(x) OVER w AS ratio, row_number() OVER w AS n FROM ent WINDOW w AS (PARTITION BY owner_handle ORDER BY x DESC, off)) WHERE n = 1 AND ratio BETWEEN 2 AND 4""")
+def concentric_ratio(d: Drawing) -> DataFrame:
+    return stats.concentric(d.entities.select("owner_handle", F.col("off").alias("handle"), F.col("x").alias("r")), ["owner_handle"])
+
+
+@query("bbox", "SELECT layer_handle, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, count(*) AS n FROM ent GROUP BY 1")
+def bbox(d: Drawing) -> DataFrame:
+    return stats.bounds(d.entities, ["layer_handle"])
+
+
+@query("robust_bounds", """SELECT owner_mod, robust, round(CASE WHEN robust THEN lx ELSE ax END, 6) AS min_x, round(CASE WHEN robust THEN hx ELSE bx END, 6) AS max_x, round(CASE WHEN robust THEN ly ELSE ay END, 6) AS min_y, round(CASE WHEN robust THEN hy ELSE b_y END, 6) AS max_y
+FROM (SELECT *, n >= 16 AND (bx - ax >= 1.6 * (hx - lx) OR b_y - ay >= 1.6 * (hy - ly)) AS robust FROM (SELECT owner_handle % 97 AS owner_mod, count(*) AS n, min(v) AS ax, max(v) AS bx, min(y) AS ay, max(y) AS b_y, quantile_cont(v, 0.02) AS lx, quantile_cont(v, 0.98) AS hx, quantile_cont(y, 0.02) AS ly, quantile_cont(y, 0.98) AS hy FROM (SELECT *, CASE WHEN part % 199 = 0 AND owner_handle % 2 = 0 THEN x * 50 ELSE x END AS v FROM ent) GROUP BY 1))""")
+def robust_bounds(d: Drawing) -> DataFrame:
+    far = F.when((F.col("part") % 199 == 0) & (F.col("owner_handle") % 2 == 0), F.col("x") * 50).otherwise(F.col("x"))
+    return stats.robust_bounds(d.entities.withColumn("owner_mod", F.col("owner_handle") % 97).withColumn("x", far), ["owner_mod"])
+
+
+@query("block_definition_pick", """SELECT layer_handle, arg_max(owner_handle, struct_pack(n := n, p := np, f := -f)) AS owner_handle, max(n) AS n FROM (SELECT layer_handle, owner_handle, count(*) AS n, count(*) FILTER (WHERE dxftype <> 'POINT') AS np, min(off) * 100000 + owner_handle AS f FROM ent GROUP BY 1, 2) GROUP BY 1""")
+def block_definition_pick(d: Drawing) -> DataFrame:
+    rows = d.entities.withColumn("at", F.col("off") * 100000 + F.col("owner_handle"))
+    return stats.best_definition(rows, "layer_handle", "owner_handle", "at")
+
+
+# --- graph -------------------------------------------------------------------
+
+
+EDGES = """edg AS (SELECT DISTINCT handle AS src, 'owner' AS kind, owner_handle AS dst FROM ent WHERE owner_handle > 0 AND dxftype IN ('LINE', 'POINT', 'ARC', 'CIRCLE', 'LWPOLYLINE', 'INSERT') UNION SELECT handle, 'layer', layer_handle FROM ent)"""
+
+
+@query("graph_edges", "SELECT * FROM edg", EDGES)
+def graph_edges(d: Drawing) -> DataFrame:
+    return d.edges()
+
+
+@query("edges_from_to", "SELECT dst, kind, count(*) AS n, min(src) AS first FROM edg WHERE dst <= 50 GROUP BY 1, 2", EDGES)
+def edges_from_to(d: Drawing) -> DataFrame:
+    """Edges into the handles up to 50, by kind."""
+    return d.edges().where("dst <= 50").groupBy("dst", "kind").agg(F.count("*").alias("n"), F.min("src").alias("first"))
+
+
+@query("header_handles_min", "SELECT CASE WHEN upper(name) LIKE '*MODEL%' THEN 'model_space' WHEN upper(name) LIKE '*PAPER%' THEN 'paper_space' WHEN name LIKE '*D%' THEN 'dim_block' ELSE 'anonymous' END AS label, min(handle) AS handle FROM blk WHERE name LIKE '*%' GROUP BY 1")
+def header_handles_min(d: Drawing) -> DataFrame:
+    return graph.header_handles(d.blocks)
+
+
+PARTS = "pg AS (SELECT DISTINCT p_partkey AS src, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) AS dst FROM part WHERE p_partkey % 3 <> 0)"
+
+
+def _parts(part: DataFrame) -> DataFrame:
+    """A graph over parts: each but every third refers to one other."""
+    n = part.agg(F.count("*").alias("n"))
+    return part.where("p_partkey % 3 <> 0").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("dst")).distinct()
+
+
+@query_on("closure", "part", f"WITH RECURSIVE {PARTS}, c(node, depth) AS (SELECT DISTINCT p_partkey, 0 FROM part WHERE p_size = 1 UNION SELECT pg.dst, depth + 1 FROM c JOIN pg ON pg.src = c.node WHERE depth < 64) SELECT node, min(depth) AS depth FROM c GROUP BY 1")
+def closure(part: DataFrame) -> DataFrame:
+    return graph.closure(_parts(part), part.where("p_size = 1").select(F.col("p_partkey").alias("node")))
+
+
+@query_on("cycle_targets", "part", f"WITH RECURSIVE {PARTS}, c(a, b) AS (SELECT src, dst FROM pg UNION SELECT c.a, pg.dst FROM c JOIN pg ON pg.src = c.b) SELECT src, dst FROM pg WHERE (dst, src) IN (SELECT (a, b) FROM c)")
+def cycle_targets(part: DataFrame) -> DataFrame:
+    return graph.cycle_edges(_parts(part))
+
+
+@query_on("purge_unreferenced", "part", f"WITH RECURSIVE {PARTS}, c(node) AS (SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT pg.dst FROM c JOIN pg ON pg.src = c.node) SELECT DISTINCT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT node FROM c)")
+def purge_unreferenced(part: DataFrame) -> DataFrame:
+    return graph.purged(part.select(F.col("p_partkey").alias("node")), _parts(part), part.where("p_size = 1").select(F.col("p_partkey").alias("node")))
+
+
+@query_on("unresolved_fixpoint", "part", f"WITH RECURSIVE {PARTS}, bad(node) AS (SELECT DISTINCT dst FROM pg WHERE dst NOT IN (SELECT src FROM pg) UNION SELECT pg.src FROM bad JOIN pg ON pg.dst = bad.node) SELECT src, dst FROM pg WHERE dst NOT IN (SELECT node FROM bad)")
+def unresolved_fixpoint(part: DataFrame) -> DataFrame:
+    return graph.resolved(_parts(part))
+
+
+@query_on("block_stack_membership", "events", """WITH r AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events),
+q AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY i)) AS aft FROM r), b AS (SELECT *, coalesce(lag(aft) OVER (PARTITION BY user_id ORDER BY i), 0) AS depth FROM q)
+SELECT b.event_id, CAST(depth AS BIGINT) AS depth, (SELECT max(o.event_id) FROM b o WHERE o.user_id = b.user_id AND o.event_type = 'signup' AND o.i = (SELECT max(z.i) FROM b z WHERE z.user_id = b.user_id AND z.event_type = 'signup' AND z.aft = b.depth AND z.i < b.i)) AS inside FROM b WHERE event_type NOT IN ('signup', 'purchase')""")
+def block_stack_membership(events: DataFrame) -> DataFrame:
+    """Per user, signups open and purchases close a block; which is each other event in?"""
+    top = graph.stack_top(events, "user_id", ["ts", "event_id"], "event_type = 'signup'", "event_type = 'purchase'", "event_id")
+    return top.where("event_type not in ('signup', 'purchase')").select("event_id", F.col("depth").cast("long").alias("depth"), "inside")
+
+
+# --- space and geometry ------------------------------------------------------
+
+
+@query("proximity_layer", """SELECT id, layer_handle, score FROM (SELECT id, layer_handle, sum(s) AS score, row_number() OVER (PARTITION BY id ORDER BY sum(s) DESC, layer_handle) AS n FROM (SELECT id, layer_handle, weight + CASE WHEN dx <= 100 THEN 6 WHEN dx <= 400 THEN 3 WHEN dx <= 900 THEN 1 ELSE 0 END + CASE WHEN dy <= 80 THEN 6 WHEN dy <= 250 THEN 3 WHEN dy <= 600 THEN 1 ELSE 0 END AS s
+FROM (SELECT p.id, b.layer_handle, b.weight, greatest(b.min_x - p.x, p.x - b.max_x, 0) AS dx, greatest(b.min_y - p.y, p.y - b.max_y, 0) AS dy FROM pt p, bx b) WHERE dx <= 1600 AND dy <= 900) GROUP BY 1, 2) WHERE n = 1""",
+       "pt AS (SELECT handle AS id, (off * 37 % 100000)::DOUBLE AS x, (off * 91 % 60000)::DOUBLE AS y FROM blk WHERE name = '*U'), bx AS (SELECT handle AS layer_handle, (handle * 7919 % 100000)::DOUBLE AS min_x, (handle * 7919 % 100000 + 2500)::DOUBLE AS max_x, (handle * 104729 % 60000)::DOUBLE AS min_y, (handle * 104729 % 60000 + 1200)::DOUBLE AS max_y, handle % 4 + 1 AS weight FROM lay)")
+def proximity_layer(d: Drawing) -> DataFrame:
+    p = d.blocks.where("name = '*U'").select(F.col("handle").alias("id"), (F.col("off") * 37 % 100000).cast("double").alias("x"), (F.col("off") * 91 % 60000).cast("double").alias("y"))
+    h = F.col("handle")
+    b = d.layers.select(h.alias("layer_handle"), (h * 7919 % 100000).cast("double").alias("min_x"), (h * 7919 % 100000 + 2500).cast("double").alias("max_x"), (h * 104729 % 60000).cast("double").alias("min_y"), (h * 104729 % 60000 + 1200).cast("double").alias("max_y"), (h % 4 + 1).alias("weight"))
+    return spatial.nearby_layer(p, b)
+
+
+@query_on("clusters", "part", """WITH RECURSIVE p AS (SELECT p_partkey AS id, (p_partkey * 7919 % 30011)::DOUBLE AS x, (p_partkey * 104729 % 29989)::DOUBLE AS y FROM part), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON abs(a.x - b.x) <= 400 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 160000),
+c(id, seen) AS (SELECT id, id FROM p UNION SELECT c.id, e.b FROM c JOIN e ON e.a = c.seen) SELECT id, min(seen) AS cluster FROM c GROUP BY 1""")
+def clusters(part: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    return spatial.clusters(part.select(k.alias("id"), (k * 7919 % 30011).cast("double").alias("x"), (k * 104729 % 29989).cast("double").alias("y")), 400.0)
+
+
+@query_on("minsert_expand", "part", """SELECT p_partkey AS part, r AS row, c AS col, round(c * 2.5 * cos(radians(a)) - r * 1.5 * sin(radians(a)), 6) + 0.0 AS dx, round(c * 2.5 * sin(radians(a)) + r * 1.5 * cos(radians(a)), 6) + 0.0 AS dy
+FROM (SELECT p_partkey, (p_partkey * 37 % 360)::DOUBLE AS a, unnest(range(0, greatest(1, p_size % 4))) AS r, p_size % 5 AS m FROM part), LATERAL (SELECT unnest(range(0, greatest(1, m))) AS c)""")
+def minsert_expand(part: DataFrame) -> DataFrame:
+    cells = G.lattice((F.col("p_size") % 4).cast("int"), (F.col("p_size") % 5).cast("int"), F.lit(1.5), F.lit(2.5), (F.col("p_partkey") * 37 % 360).cast("double"))
+    df = part.select(F.col("p_partkey").alias("part"), F.explode(cells).alias("c")).select("part", "c.*")
+    return df.withColumn("dx", F.round("dx", 6) + 0.0).withColumn("dy", F.round("dy", 6) + 0.0)
+
+
+def _summed(df: DataFrame, key: str, points: str) -> DataFrame:
+    total = lambda c: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[c])
+    return df.select(key, F.size(points).cast("long").alias("n"), F.round(total("x"), 3).alias("sum_x"), F.round(total("y"), 3).alias("sum_y"))
+
+
+@query_on("arc_tessellate", "part", """SELECT p_partkey AS part, count(*) AS n, round(sum(10 + r * cos(radians(s + (e - s) / 64 * i))), 3) AS sum_x, round(sum(20 + r * sin(radians(s + (e - s) / 64 * i))), 3) AS sum_y
+FROM (SELECT p_partkey, p_size::DOUBLE AS r, s, CASE WHEN e < s THEN e + 360 ELSE e END AS e, unnest(range(0, 65)) AS i FROM (SELECT *, (p_partkey % 360)::DOUBLE AS s, (p_partkey * 7 % 360)::DOUBLE AS e FROM part)) GROUP BY 1""")
+def arc_tessellate(part: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    pts = G.arc_points(F.lit(10.0), F.lit(20.0), F.col("p_size").cast("double"), (k % 360).cast("double"), (k * 7 % 360).cast("double"))
+    return _summed(part.select(k.alias("part"), pts.alias("p")), "part", "p")
+
+
+@query_on("ellipse_points", "part", """SELECT p_partkey AS part, count(*) AS n, round(sum(5 + mx * cos(t) - my * q * sin(t)), 3) AS sum_x, round(sum(6 + my * cos(t) + mx * q * sin(t)), 3) AS sum_y
+FROM (SELECT p_partkey, mx, my, q, s + (e - s) / 16 * unnest(range(0, 17)) AS t FROM (SELECT p_partkey, p_size::DOUBLE AS mx, (p_partkey % 13)::DOUBLE AS my, (p_partkey % 9 + 1) / 10.0::DOUBLE AS q, s, CASE WHEN e < s THEN e + 2 * pi() ELSE e END AS e FROM (SELECT *, (p_partkey % 6)::DOUBLE AS s, (p_partkey % 5)::DOUBLE AS e FROM part))) GROUP BY 1""")
+def ellipse_points(part: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    pts = G.ellipse_points(F.lit(5.0), F.lit(6.0), F.col("p_size").cast("double"), (k % 13).cast("double"), (k % 9 + 1) / 10, (k % 6).cast("double"), (k % 5).cast("double"), 16)
+    return _summed(part.select(k.alias("part"), pts.alias("p")), "part", "p")
+
+
+@query_on("bulge_segment", "part", """SELECT p_partkey AS part, n + 1 AS n, round(x2 + list_sum([cx + r * cos(a + th * i / n) FOR i IN range(1, n)]), 3) AS sum_x, round(y2 + list_sum([cy + r * sin(a + th * i / n) FOR i IN range(1, n)]), 3) AS sum_y
+FROM (SELECT *, atan2(-cy, -cx) AS a, sqrt(cx * cx + cy * cy) AS r FROM (SELECT *, x2 / 2 - y2 / ch * o AS cx, y2 / 2 + x2 / ch * o AS cy, greatest(2, CAST(ceil(abs(th) * 64 / (2 * pi())) AS INTEGER)) AS n FROM (SELECT *, ch * (1 - b * b) / (4 * b) AS o, 4 * atan(b) AS th FROM (SELECT *, sqrt(x2 * x2 + y2 * y2) AS ch FROM (SELECT p_partkey, (p_size + 1)::DOUBLE AS x2, (p_partkey % 17)::DOUBLE AS y2, (p_partkey % 19 - 9.5) / 10 AS b FROM part)))))""")
+def bulge_segment(part: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    pts = G.bulge_points(F.lit(0.0), F.lit(0.0), (F.col("p_size") + 1).cast("double"), (k % 17).cast("double"), (k % 19 - 9.5) / 10)
+    return _summed(part.select(k.alias("part"), pts.alias("p")), "part", "p")
+
+
+@query("angle_norm", "SELECT handle, off, round(CASE WHEN abs(m) <= 1e-9 OR abs(m - 360) <= 1e-9 THEN 0 ELSE m END, 6) AS angle FROM (SELECT handle, off, ((a % 360) + 360) % 360 AS m FROM (SELECT handle, off, angle * 17 - 500 AS a FROM ent))")
+def angle_norm(d: Drawing) -> DataFrame:
+    return d.entities.select("handle", "off", G.normal_degrees(F.col("angle") * 17 - 500).alias("angle"))
+
+
+@query("line_distance", "SELECT handle, off, round((size * (y - 3) - angle * (x - 2)) / sqrt(size * size + angle * angle), 4) AS dist FROM ent WHERE sqrt(size * size + angle * angle) > 1e-12")
+def line_distance(d: Drawing) -> DataFrame:
+    dist = G.line_distance(F.col("x"), F.col("y"), F.lit(2.0), F.lit(3.0), F.col("size") + 2, F.col("angle") + 3)
+    return d.entities.where(F.hypot("size", "angle") > 1e-12).select("handle", "off", F.round(dist, 4).alias("dist"))
+
+
+@query("insert_transform", "SELECT handle, off, round(100 + x * 2 * cos(radians(angle)) - y * 3 * sin(radians(angle)), 4) AS px, round(200 + x * 2 * sin(radians(angle)) + y * 3 * cos(radians(angle)), 4) AS py FROM ent WHERE dxftype = 'INSERT'")
+def insert_transform(d: Drawing) -> DataFrame:
+    p = G.placed(F.col("x"), F.col("y"), F.lit(100.0), F.lit(200.0), F.lit(2.0), F.lit(3.0), F.col("angle"))
+    return d.entities.where("dxftype = 'INSERT'").select("handle", "off", F.round(p["x"], 4).alias("px"), F.round(p["y"], 4).alias("py"))
+
+
+@query_on("catmull_rom", "embeddings")
+def catmull_rom(embeddings: DataFrame) -> DataFrame:
+    """Curves through each vector's neighbouring components as points."""
+    n = F.floor(F.size("embedding") / 2).cast("int")
+    pts = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at("embedding", 2 * i - 1).cast("double").alias("x"), F.element_at("embedding", 2 * i).cast("double").alias("y")))
+    return _summed(embeddings.where(F.size("embedding") >= 4).select("vec_id", G.catmull_rom(pts).alias("p")), "vec_id", "p")
+
+
+# --- colours, flags, text ----------------------------------------------------
+
+
+@query("true_color_hex", "SELECT handle, off, '#' || lower(printf('%06x', true_color)) AS hex FROM ent WHERE true_color IS NOT NULL")
+def true_color_hex(d: Drawing) -> DataFrame:
+    return d.entities.where("true_color is not null").select("handle", "off", C.true_hex(F.col("true_color")).alias("hex"))
+
+
+@query("aci_rgb", """SELECT DISTINCT color_index, CASE WHEN color_index BETWEEN 1 AND 9 THEN ['#ff0000', '#ffff00', '#00ff00', '#00ffff', '#0000ff', '#ff00ff', '#000000', '#808080', '#c0c0c0'][color_index]
+  WHEN color_index BETWEEN 10 AND 249 THEN printf('#%02x%02x%02x', CAST(round_even((v - v * s * greatest(0, least(k5, 4 - k5, 1))) * 255, 0) AS INTEGER), CAST(round_even((v - v * s * greatest(0, least(k3, 4 - k3, 1))) * 255, 0) AS INTEGER), CAST(round_even((v - v * s * greatest(0, least(k1, 4 - k1, 1))) * 255, 0) AS INTEGER))
+  WHEN color_index BETWEEN 250 AND 255 THEN printf('#%02x%02x%02x', g, g, g) END AS hex
+FROM (SELECT *, (5 + h) % 6 AS k5, (3 + h) % 6 AS k3, (1 + h) % 6 AS k1 FROM (SELECT color_index, CAST(round_even((color_index - 250) / 5.0 * 255, 0) AS INTEGER) AS g, ((color_index - 10) % 24) / 4.0 AS h, CASE WHEN (color_index - 10) // 24 < 5 THEN 1.0 ELSE 0.7 END AS s, greatest(0.28, 1 - ((color_index - 10) // 24) * 0.08) AS v FROM ent))""")
+def aci_rgb(d: Drawing) -> DataFrame:
+    return d.entities.select("color_index").distinct().select("color_index", C.index_hex(F.col("color_index")).alias("hex"))
+
+
+@query("flag_bits", "SELECT part % 256 AS flags, " + ", ".join(f"part % 256 // {1 << i} % 2 = 1 AS {n}" for i, n in enumerate(C.FLAGS)) + ", count(*) AS n FROM ent GROUP BY ALL")
+def flag_bits(d: Drawing) -> DataFrame:
+    df = d.entities.select((F.col("part") % 256).alias("flags"))
+    return df.select("flags", *C.flags(F.col("flags"))).groupBy("flags", *C.FLAGS).agg(F.count("*").alias("n"))
+
+
+@query("units", f"SELECT DISTINCT part % 25 AS code, coalesce({list(catalogue.UNITS)!r}[part % 25 + 1], concat('unknown_', part % 25)) AS units FROM ent")
+def units(d: Drawing) -> DataFrame:
+    code = (F.col("part") % 25).cast("int")
+    names = F.array(*[F.lit(u) for u in catalogue.UNITS])
+    return d.entities.select(code.alias("code")).distinct().select(F.col("code").cast("long").alias("code"), F.coalesce(F.get(names, F.col("code")), F.concat(F.lit("unknown_"), F.col("code").cast("string"))).alias("units"))
+
+
+def _score_sql(t: str) -> str:
+    n = lambda c: f"(length({t}) - length(regexp_replace({t}, '[{c}]', '', 'g')))"
+    a, s, k, c = (n(x) for x in ("A-Za-z0-9", X.SEPARATORS, X.KANA, X.CJK))
+    return f"CASE WHEN length({t}) = 0 THEN -10000 ELSE 2 * {a} + {s} + 3 * {k} + 4 * {c} - 8 * (length({t}) - {a} - {s} - {k} - {c}) END"
+
+
+@query_on("fragment_score", "documents", f"SELECT doc_id, {_score_sql('text')} AS score FROM documents")
+def fragment_score(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", X.fragment_score(F.col("text")).alias("score"))
+
+
+@query_on("best_fragment", "benchmark", rf"""SELECT item_id, f AS fragment FROM (SELECT item_id, f, row_number() OVER (PARTITION BY item_id ORDER BY {_score_sql('f')} DESC, i) AS n FROM (SELECT item_id, trim(unnest(p), ' ') AS f, unnest(range(1, len(p) + 1)) AS i FROM (SELECT item_id, regexp_split_to_array(text, '[^{X.PLAUSIBLE}]+') AS p FROM benchmark)) WHERE f <> '') WHERE n = 1""")
+def best_fragment(items: DataFrame) -> DataFrame:
+    return items.select("item_id", X.best_fragment(F.col("text")).alias("fragment")).where("fragment is not null")
+
+
+@query_on("ascii_preview", "documents", """SELECT doc_id, CASE WHEN length(r) > 96 THEN r[1:93] || '...' ELSE r END AS preview FROM (SELECT doc_id, r, row_number() OVER (PARTITION BY doc_id ORDER BY length(r) DESC, i) AS n FROM (SELECT doc_id, trim(unnest(m), ' ') AS r, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[ -~]{6,}') AS m FROM documents)) WHERE r <> '') WHERE n = 1""")
+def ascii_preview(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", X.ascii_preview(F.col("text")).alias("preview")).where("preview is not null")
+
+
+@query_on("mtext_plain", "benchmark", r"""SELECT item_id, 'Part ' || item_id || chr(10) || text || ' 1/2 {x} \ ' || chr(65) || 'z' AS plain FROM benchmark""")
+def mtext_plain(items: DataFrame) -> DataFrame:
+    """Each item wrapped in markup, and read back."""
+    text = F.concat(F.lit(r"{\fArial|b0;Part "), F.col("item_id").cast("string"), F.lit(r"}\P\H2.5x;"), F.col("text"), F.lit(r"\~\S1^2; \{x\} \\ \U+0041\Lz\l"))
+    return items.select("item_id", X.plain_mtext(text).alias("plain"))
+
+
+@query_on("windowed_counts", "events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(events: DataFrame) -> DataFrame:
+    return arrivals.windowed_counts(events, "ts", "event_type")
+
+
+@query_on("latest_by_key", "events", "SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events GROUP BY 1")
+def latest_by_key(events: DataFrame) -> DataFrame:
+    return arrivals.latest(events.select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
