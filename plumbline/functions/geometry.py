@@ -74,30 +74,35 @@ def placed(x: Column, y: Column, ix: Column, iy: Column, sx: Column, sy: Column,
     return point(ix + x * sx * c - y * sy * s, iy + x * sx * s + y * sy * c)
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value worked out once; a plain Python variable would repeat its whole expression."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def catmull_rom(points: Column, segments: int = 8) -> Column:
     """The points of an open centripetal Catmull-Rom curve through an array of (x, y); fewer than two points stay as they are."""
     n = F.size(points)
     get = lambda i: F.element_at(points, F.least(F.greatest(i, F.lit(1)), n))
+    gap = lambda a, b: F.greatest(F.sqrt(F.hypot(b["x"] - a["x"], b["y"] - a["y"])), F.lit(1e-6))
 
     def span(i):
-        p = [get(i - 1), get(i), get(i + 1), get(i + 2)]
-        gap = lambda a, b: F.greatest(F.sqrt(F.hypot(b["x"] - a["x"], b["y"] - a["y"])), F.lit(1e-6))
-        t1 = gap(p[0], p[1])
-        t2 = t1 + gap(p[1], p[2])
-        t3 = t2 + gap(p[2], p[3])
-        t0 = F.lit(0.0)
-
-        def at(k):
-            t = t1 + (t2 - t1) * k / segments
-            mix = lambda a, b, u, v: a * ((v - t) / (v - u)) + b * ((t - u) / (v - u))
-            out = []
-            for c in "xy":
-                a1, a2, a3 = (mix(p[j][c], p[j + 1][c], u, v) for j, (u, v) in enumerate(((t0, t1), (t1, t2), (t2, t3))))
-                b1, b2 = mix(a1, a2, t0, t2), mix(a2, a3, t1, t3)
-                out.append(mix(b1, b2, t1, t2))
-            return point(*out)
-
-        return F.transform(F.sequence(F.when(i == 1, 0).otherwise(1), F.lit(segments)), at)
+        knots = lambda q: F.struct(q["a"].alias("a"), q["b"].alias("b"), q["c"].alias("c"), q["d"].alias("d"), gap(q["a"], q["b"]).alias("g1"), gap(q["b"], q["c"]).alias("g2"), gap(q["c"], q["d"]).alias("g3"))
+        return let(let(F.struct(get(i - 1).alias("a"), get(i).alias("b"), get(i + 1).alias("c"), get(i + 2).alias("d")), knots), lambda q: F.transform(F.sequence(F.when(i == 1, 0).otherwise(1), F.lit(segments)), lambda k: curve(q, k)))
+
+    def curve(q, k):
+        # u runs from knot b (0) to knot c (g2); a is g1 before, d is g3 behind
+        return let(q["g2"] * k / segments, lambda u: let(F.struct(*[level(q, u, c).alias(c) for c in "xy"]), lambda v: point(*[last(q, u, v[c]) for c in "xy"])))
+
+    def level(q, u, c):
+        ab = q["a"][c] * (-u / q["g1"]) + q["b"][c] * ((u + q["g1"]) / q["g1"])
+        bc = q["b"][c] * ((q["g2"] - u) / q["g2"]) + q["c"][c] * (u / q["g2"])
+        cd = q["c"][c] * ((q["g2"] + q["g3"] - u) / q["g3"]) + q["d"][c] * ((u - q["g2"]) / q["g3"])
+        return F.struct(ab.alias("ab"), bc.alias("bc"), cd.alias("cd"))
+
+    def last(q, u, v):
+        left = v["ab"] * ((q["g2"] - u) / (q["g1"] + q["g2"])) + v["bc"] * ((u + q["g1"]) / (q["g1"] + q["g2"]))
+        right = v["bc"] * ((q["g2"] + q["g3"] - u) / (q["g2"] + q["g3"])) + v["cd"] * (u / (q["g2"] + q["g3"]))
+        return left * ((q["g2"] - u) / q["g2"]) + right * (u / q["g2"])
 
     return F.when(n < 2, points).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), span)))
 

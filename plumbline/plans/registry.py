@@ -530,9 +530,9 @@ def mtext_plain(items: DataFrame) -> DataFrame:
     return items.select("item_id", X.plain_mtext(text).alias("plain"))
 
 
-@query_on("windowed_counts", "events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+@query_on("windowed_counts", "events", "SELECT strftime(ts, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def windowed_counts(events: DataFrame) -> DataFrame:
-    return arrivals.windowed_counts(events, "ts", "event_type")
+    return arrivals.windowed_counts(events, "ts", "event_type").withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
 
 
 @query_on("latest_by_key", "events", "SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events GROUP BY 1")
