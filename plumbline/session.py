@@ -30,7 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder now, without its lineage."""
+#: Rows of an interim result that one partition may hold when its size is known.
+ROWS = 50_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder now, without its lineage.
+
+    Where the number of rows is known (or an upper bound), a small result
+    comes in few partitions, so that long loops don't leave a file for each
+    shuffle partition behind in every round.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(1 + rows // ROWS)).checkpoint(eager=True)

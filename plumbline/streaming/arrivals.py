@@ -17,6 +17,7 @@ def arriving(spark: SparkSession, path: str, schema, per_trigger: int = 100) ->
 
 def windowed_counts(rows: DataFrame, ts: str, by: str, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, by, n) of tumbling windows; state goes once the watermark has passed a window."""
+    rows = rows.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks take no timestamps without zone
     w = F.window(ts, size)
     rows = rows.withWatermark(ts, late) if rows.isStreaming else rows
     return rows.groupBy(w.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
