@@ -15,15 +15,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     label of that label, so that chains halve. Hot nodes only ever meet
     partial minimums and joins whose skew Spark may split. Rounds end when no
     label changes; each round is checkpointed, so its lineage stays short.
+    ``edges`` is read twice and should be a table or checkpoint.
     """
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    links = cut(pairs.union(pairs.select(F.col("y"), F.col("x"))).distinct())
-    labels = cut(links.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
+    n = 2 * pairs.count()
+    links = cut(pairs.union(pairs.select(F.col("y"), F.col("x"))).distinct(), n)
+    labels = cut(links.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), n)
     while True:
         near = links.join(labels, links.y == labels.node).groupBy("x").agg(F.min("label").alias("m"))
         step = labels.join(near, labels.node == near.x).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         roots = step.select(F.col("node").alias("root"), F.col("label").alias("top"))
-        after = cut(step.join(roots, step.label == roots.root).select("node", "old", F.col("top").alias("label")))
+        after = cut(step.join(roots, step.label == roots.root).select("node", "old", F.col("top").alias("label")), n)
         moved = after.where("label <> old").limit(1).count()
         labels = after.select("node", "label")
         if not moved:

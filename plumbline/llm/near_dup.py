@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from plumbline.llm import kernels as K
 from plumbline.llm.graph import components
+from plumbline.session import ROWS as ROWS_A_PART
 from plumbline.session import cut, table
 
 BANDS, ROWS = 32, 4
@@ -146,8 +147,12 @@ def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts' full sets reach the threshold; texts: (node, text), one row a node."""
     pairs = cut(pairs)
+    n = pairs.count()
+    if not n:
+        return pairs.select("a", "b")
+    pairs = pairs.coalesce(1 + n // ROWS_A_PART)
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    few = 2 * pairs.count() <= BROADCAST_IDS
+    few = 2 * n <= BROADCAST_IDS
     texts = texts.join(F.broadcast(ids) if few else ids, "node", "left_semi")
     ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
@@ -157,7 +162,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 1024):
                 yield _linked(batch.slice(i, 1024))
 
-    return cut(rows.mapInArrow(run, pairs.select("a", "b").schema))
+    return cut(rows.mapInArrow(run, pairs.select("a", "b").schema), n)
 
 
 def _may_link(x: str, y: str):
@@ -203,11 +208,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     several = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("z")).where("b < z")
     again = member.join(several, "doc_id").where("class_id <> b").select(F.col("class_id").alias("a"), "b").distinct()
-    labels = components(links.union(again), "a", "b")
-    for pairs in [*(lambda known, n=n: _sketched(_drawn(shared, known, n), traits) for n in range(ROUNDS)), lambda known: _across(shared, known, traits)]:
-        links = confirm(pairs(labels), texts)
-        if links.limit(1).count():
-            labels = components(labels.select("node", "label").union(links), "node", "label")
+    labels = components(cut(links.union(again)), "a", "b")
+    merged = lambda more: components(cut(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "a", "b")
+    for n in range(ROUNDS):
+        links = confirm(_sketched(_drawn(shared, labels, n), traits), texts)
+        if not links.limit(1).count():
+            break
+        labels = merged(links)
+    links = confirm(_across(shared, labels, traits), texts)
+    if links.limit(1).count():
+        labels = merged(links)
     out = member.join(labels, member.class_id == labels.node, "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("label", "class_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
