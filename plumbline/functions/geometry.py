@@ -81,7 +81,10 @@ def let(value: Column, then) -> Column:
 
 def catmull_rom(points: Column, segments: int = 8) -> Column:
     """The points of an open centripetal Catmull-Rom curve through an array of (x, y); fewer than two points stay as they are."""
-    n = F.size(points)
+    return let(points, lambda own: _catmull_rom(own, F.size(own), segments))
+
+
+def _catmull_rom(points: Column, n: Column, segments: int) -> Column:
     get = lambda i: F.element_at(points, F.least(F.greatest(i, F.lit(1)), n))
     gap = lambda a, b: F.greatest(F.sqrt(F.hypot(b["x"] - a["x"], b["y"] - a["y"])), F.lit(1e-6))
 
@@ -107,6 +110,39 @@ def catmull_rom(points: Column, segments: int = 8) -> Column:
     return F.when(n < 2, points).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), n - 1), span)))
 
 
+def bspline(points: Column, degree: int = 3, samples: int = 32) -> Column:
+    """The points of a clamped uniform B-spline at ``samples`` + 1 even parameters, by de Boor's scheme.
+
+    With no more control points than the degree they stay as they are.
+    """
+    return let(F.struct(points.alias("own"), F.size(points).alias("n")), lambda v: _bspline(v["own"], v["n"], degree, samples))
+
+
+def _bspline(points: Column, n: Column, degree: int, samples: int) -> Column:
+
+    def at(s):
+        head = F.struct((s * (n - degree) / samples).alias("u"), F.least(F.floor(s * (n - degree) / samples).cast("int"), n - degree - 1).alias("k"))
+        return let(head, lambda h: level(h, 0, F.array(*[F.element_at(points, h["k"] + j + 1) for j in range(degree + 1)])))
+
+    def level(h, r, d):
+        if r == degree:
+            return F.element_at(d, 1)
+        knot = lambda i: F.least(F.greatest(i - degree, F.lit(0)), n - degree).cast("double")
+
+        def blend(d):
+            out = []
+            for j in range(r + 1, degree + 1):
+                lo, hi = knot(h["k"] + j), knot(h["k"] + j + degree - r)
+                w = (h["u"] - lo) / (hi - lo)
+                p, q = F.element_at(d, j - r), F.element_at(d, j - r + 1)
+                out.append(point(*[p[c] * (1 - w) + q[c] * w for c in "xy"]))
+            return F.array(*out)
+
+        return let(d, lambda own: level(h, r + 1, blend(own)))
+
+    return F.when(n <= degree, points).otherwise(F.transform(F.sequence(F.lit(0), F.lit(samples)), at))
+
+
 def open_knots(n: Column, degree: int) -> Column:
     """The clamped uniform knots of ``n`` control points."""
     return F.transform(F.sequence(F.lit(0), n + degree), lambda i: F.least(F.greatest(i - degree, F.lit(0)), n - degree).cast("double"))

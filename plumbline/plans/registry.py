@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import colours as C
 from plumbline.functions import geometry as G
 from plumbline.functions import text as X
-from plumbline.operators import assembly, colours, dedup, graph, records, select, spatial, stats
+from plumbline.operators import assembly, blocks, colours, dedup, graph, records, select, spatial, stats
 from plumbline.plans import catalogue
 from plumbline.plans.drawing import SQL, Drawing, projection
 from plumbline.session import table
@@ -180,6 +180,27 @@ def layer_table_merge(d: Drawing) -> DataFrame:
     return records.layer_table(d.layers.where("handle % 3 <> 0"), names)
 
 
+@query("layer_text_pairs", """SELECT a.handle, arg_min(b.handle, struct_pack(g := abs(a.handle - b.handle), h := b.handle)) AS text_handle FROM nl a JOIN nl b ON b.name = a.name || '_TEXT' AND abs(a.handle - b.handle) BETWEEN 1 AND 8 GROUP BY 1""",
+       "nl AS (SELECT handle, CASE WHEN handle % 3 = 0 THEN concat('L', handle // 6) ELSE concat('L', handle // 6, '_TEXT') END AS name FROM lay)")
+def layer_text_pairs(d: Drawing) -> DataFrame:
+    stem = F.concat(F.lit("L"), F.floor(F.col("handle") / 6).cast("string"))
+    return blocks.text_layers(d.layers.select("handle", F.when(F.col("handle") % 3 == 0, stem).otherwise(F.concat(stem, F.lit("_TEXT"))).alias("name")))
+
+
+@query("positional_names", "SELECT a.layer_handle, a.handle, b.name FROM (SELECT layer_handle, handle, row_number() OVER (PARTITION BY layer_handle ORDER BY handle) AS i FROM (SELECT DISTINCT layer_handle, handle FROM ent WHERE dxftype = 'INSERT')) a JOIN (SELECT handle % 100 AS layer_handle, name, row_number() OVER (PARTITION BY handle % 100 ORDER BY off) AS i FROM blk) b USING (layer_handle, i)")
+def positional_names(d: Drawing) -> DataFrame:
+    """Inserts of a layer get block names by their places."""
+    handles = d.entities.where("dxftype = 'INSERT'").select("layer_handle", "handle").distinct()
+    names = d.blocks.select((F.col("handle") % 100).alias("layer_handle"), "name", "off")
+    return records.zipped(names, handles, "layer_handle", "handle").select("layer_handle", "handle", "name")
+
+
+@query("object_map_encode", "SELECT owner_handle, handle, handle - coalesce(lag(handle) OVER w, 0) AS d_handle, off - coalesce(lag(off) OVER w, 0) AS d_off FROM (SELECT owner_handle, handle, max(off) AS off FROM ent GROUP BY 1, 2) WINDOW w AS (PARTITION BY owner_handle ORDER BY handle)")
+def object_map_encode(d: Drawing) -> DataFrame:
+    rows = d.entities.groupBy("owner_handle", "handle").agg(F.max("off").alias("off"))
+    return records.deltas(rows, "owner_handle", ["handle"], ["handle", "off"]).drop("off")
+
+
 # --- assembly ----------------------------------------------------------------
 
 
@@ -473,6 +494,28 @@ def catmull_rom(embeddings: DataFrame) -> DataFrame:
     return _summed(embeddings.where(F.size("embedding") >= 4).select("vec_id", G.catmull_rom(pts).alias("p")), "vec_id", "p")
 
 
+@query_on("bspline_sample", "embeddings")
+def bspline_sample(embeddings: DataFrame) -> DataFrame:
+    """B-splines with each vector's neighbouring components as control points."""
+    n = F.floor(F.size("embedding") / 2).cast("int")
+    pts = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at("embedding", 2 * i - 1).cast("double").alias("x"), F.element_at("embedding", 2 * i).cast("double").alias("y")))
+    return _summed(embeddings.where(F.size("embedding") >= 8).select("vec_id", G.bspline(pts).alias("p")), "vec_id", "p")
+
+
+@query_on("flatten_inserts", "part", """WITH RECURSIVE i AS (SELECT p_partkey % 40 AS block, (p_partkey * 3 + 1) % 40 AS child, p_partkey % 50 AS x, 3 AS y, 1 + p_partkey % 3 / 10.0 AS sx, radians(p_partkey * 15 % 360) AS t FROM part WHERE p_size = 7 AND (p_partkey * 3 + 1) % 40 > p_partkey % 40),
+f(root, block, a, b, c, d, tx, ty, depth) AS (SELECT k, k, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM range(0, 8) r(k) UNION ALL
+  SELECT root, child, a * sx * cos(t) + b * sx * sin(t), -a * sin(t) + b * cos(t), c * sx * cos(t) + d * sx * sin(t), -c * sin(t) + d * cos(t), a * x + b * y + tx, c * x + d * y + ty, depth + 1 FROM f JOIN i USING (block) WHERE depth < 8)
+SELECT root, depth, count(*) AS n, round(sum(a * px + b * py + tx), 3) AS sum_x, round(sum(c * px + d * py + ty), 3) AS sum_y FROM f JOIN (SELECT p_partkey % 40 AS block, p_size AS px, p_partkey % 100 AS py FROM part WHERE p_size <> 7) m USING (block) GROUP BY 1, 2""")
+def flatten_inserts(part: DataFrame) -> DataFrame:
+    """Eight blocks of parts with what is inserted in them, down to depth 8."""
+    k = F.col("p_partkey")
+    roots = part.select((k % 8).alias("root")).distinct().select("root", F.col("root").alias("block"))
+    inserts = part.where("p_size = 7").select((k % 40).alias("block"), ((k * 3 + 1) % 40).alias("child"), (k % 50).cast("double").alias("x"), F.lit(3.0).alias("y"), (1 + k % 3 / 10).alias("sx"), F.lit(1.0).alias("sy"), (k * 15 % 360).cast("double").alias("rotation")).where("child > block")
+    members = part.where("p_size <> 7").select((k % 40).alias("block"), k.alias("id"), F.col("p_size").cast("double").alias("x"), (k % 100).cast("double").alias("y"))
+    flat = blocks.flattened(roots, inserts, members)
+    return flat.groupBy("root", "depth").agg(F.count("*").alias("n"), F.round(F.sum("px"), 3).alias("sum_x"), F.round(F.sum("py"), 3).alias("sum_y"))
+
+
 # --- colours, flags, text ----------------------------------------------------
 
 

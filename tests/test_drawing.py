@@ -124,6 +124,25 @@ def test_catmull_rom_matches_loop(spark):
         assert g == pytest.approx(w, abs=1e-9)
 
 
+def test_bspline_matches_basis(spark):
+    pts = [(0.0, 0.0), (1.0, 3.0), (4.0, 2.0), (5.0, -1.0), (7.0, 0.0)]
+    df = spark.createDataFrame([([dict(x=x, y=y) for x, y in pts],)], "p array<struct<x:double,y:double>>")
+    got = [(p.x, p.y) for p in df.select(G.bspline(F.col("p"), 3, 10).alias("c")).first().c]
+    t = [0, 0, 0, 0, 1, 2, 2, 2, 2]
+
+    def basis(i, p, u):
+        if p == 0:
+            return float(t[i] <= u < t[i + 1] or (u == t[-1] and t[i] < t[i + 1] == u))
+        left = (u - t[i]) / (t[i + p] - t[i]) * basis(i, p - 1, u) if t[i + p] > t[i] else 0.0
+        right = (t[i + p + 1] - u) / (t[i + p + 1] - t[i + 1]) * basis(i + 1, p - 1, u) if t[i + p + 1] > t[i + 1] else 0.0
+        return left + right
+
+    for s, g in enumerate(got):
+        u = 2 * s / 10
+        assert g == pytest.approx(tuple(sum(basis(i, 3, u) * p[c] for i, p in enumerate(pts)) for c in (0, 1)), abs=1e-9)
+    assert len(got) == 11
+
+
 @pytest.mark.parametrize(
     ("markup", "plain"),
     [(r"a\Pb", "a\nb"), (r"{\fArial;x}", "x"), (r"\\P \{y\}", r"\P {y}"), (r"\S1#2;z", "1/2z"), (r"\U+00e9\~\Lq\l", "é q"), ("", ""), (None, ""), ("end\\", "end\\"), (r"\A1;k\H3", "k")],
