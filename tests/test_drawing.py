@@ -188,8 +188,9 @@ def test_exchange_round_trip(spark, tmp_path):
 
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    stream = arrivals.windowed_counts(arrivals.arriving(spark, "/root/testdata/sf0.001/events.parquet", events.schema), "ts", "event_type")
-    q = stream.writeStream.format("memory").queryName("arrived").outputMode("complete").option("checkpointLocation", str(tmp_path)).start()
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = arrivals.windowed_counts(arrivals.arriving(spark, str(tmp_path / "in"), events.schema, 1), "ts", "event_type")
+    q = stream.writeStream.format("memory").queryName("arrived").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).start()
     q.processAllAvailable()
     q.stop()
     key = lambda df: sorted((r.start, r.event_type, r.n) for r in df.collect())
