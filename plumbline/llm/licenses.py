@@ -50,6 +50,15 @@ DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DI
 0. You just DO WHAT THE FUCK YOU WANT TO.""",
 }
 
+#: Digests of further licences' canonical forms, with and without their title line.
+DIGESTS = {
+    "0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c": "MIT",
+    "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164": "MIT",
+    "6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127": "MIT",
+    "e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229": "Unlicense",
+    "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee": "ISC",
+    "447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2": "BSD-2-Clause",
+}
 
 def _lines(text: Column) -> Column:
     """A text in canonical form with its lines kept apart."""
@@ -70,7 +79,8 @@ def plain(text: str) -> str:
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(digest, license) of known licences; a larger collection may be any table of these two columns."""
-    rows = [(hashlib.sha256(plain(t).encode()).hexdigest(), name) for name, t in (TEXTS if texts is None else texts).items()]
+    rows = list(DIGESTS.items()) if texts is None else [(hashlib.sha256(plain(t).encode()).hexdigest(), name) for name, t in texts.items()]
+    rows += [(hashlib.sha256(plain(t).encode()).hexdigest(), name) for name, t in TEXTS.items()] if texts is None else []
     return spark.createDataFrame(rows, "digest string, license string")
 
 
@@ -106,7 +116,7 @@ def _oracle() -> str:
     t = "lower(coalesce(text, ''))"
     for a, b in SPELLINGS:
         t = f"replace({t}, {quoted(a)}, {quoted(b)})"
-    lic = ", ".join(f"({quoted(hashlib.sha256(plain(x).encode()).hexdigest())}, {quoted(n)})" for n, x in TEXTS.items())
+    lic = ", ".join(f"({quoted(hashlib.sha256(plain(x).encode()).hexdigest())}, {quoted(n)})" for n, x in TEXTS.items()) + "".join(f", ({quoted(k)}, {quoted(v)})" for k, v in DIGESTS.items())
     note = ", ".join(f"({quoted(plain(k))}, {quoted(v)})" for k, v in NOTICES.items())
     return rf"""
 WITH lic(digest, license) AS (VALUES {lic}), note(line, grants) AS (VALUES {note}),

@@ -381,11 +381,11 @@ def test_token_counts_equal_plain_longest_match(docs):
 def test_licenses(spark, docs):
     isc = licenses.TEXTS["ISC"]
     changed = "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + isc.upper().replace("LICENSE", "LICENCE").replace(", ", " ,  ").replace("\n", "\n\n* ")
-    rows = [(1, isc), (2, changed), (3, isc + " more"), (4, "x\nReleased under the MIT Licence!\ny\nReleased under the MIT License."), (5, None), (6, "")]
+    rows = [(1, isc), (2, changed), (3, isc + " more"), (4, "x\nReleased under the MIT Licence!\ny\nReleased under the MIT License."), (5, None), (6, ""), (7, "ISC Licence:\n\n(c) 1999 A. N. Other\n" + isc)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash"))
     got = {r.doc_id: r for r in licenses.scanned(df, licenses.known(spark)).collect()}
     assert got[1].license == got[2].license == "ISC" and got[1].digest == got[2].digest and got[3].license is None
-    assert got[4].notices == "MIT" and got[5].digest == got[6].digest == hashlib.sha256(b"").hexdigest()
+    assert got[7].license == "ISC" and got[4].notices == "MIT" and got[5].digest == got[6].digest == hashlib.sha256(b"").hexdigest()
     assert licenses.scanned(docs, licenses.known(spark)).count() == docs.count()
 
 
