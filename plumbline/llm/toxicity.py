@@ -165,7 +165,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, longe
     with both labels counts as toxic.
     """
     y = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    sizes = y.groupBy("y").count()
+    sizes = F.broadcast(y.groupBy("y").count())  # two rows
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 31))
     y = y.join(sizes, "y").where(draw * F.col("count") < F.lit(float(2 * per_class) * (1 << 31))).select("doc_id", "y", draw.alias("d"))
     order = Window.partitionBy("y").orderBy("d", "doc_id")
