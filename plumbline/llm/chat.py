@@ -31,7 +31,7 @@ def _turns(chats: DataFrame) -> DataFrame:
 def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, h1, h2, pos, x1, x2): each distinct turn with its place from 1 and the hashes of the prefix that it ends."""
     dealt = deal(turns.select("conv_id", *ORDER).distinct(), ["conv_id"], ORDER)
-    dealt = totals(dealt, ["conv_id"], ORDER, {"pos": (F.count, lambda a, b: a + b, F.lit(1))})
+    dealt = totals(dealt, ["conv_id"], ORDER, {"pos": (F.sum, lambda a, b: a + b, F.lit(1))})
     xor = lambda a, b: a.bitwiseXOR(b)
     return totals(dealt, ["conv_id"], ORDER, {"x1": (F.bit_xor, xor, F.xxhash64("pos", "h1")), "x2": (F.bit_xor, xor, F.xxhash64("h2", "pos"))}).drop("__part")
 

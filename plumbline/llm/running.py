@@ -21,16 +21,19 @@ def deal(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def totals(dealt: DataFrame, keys: list[str], order: list[str], values: dict[str, tuple[Callable, Callable, Column]]) -> DataFrame:
-    """``dealt`` with a running total for each name in ``values``: (aggregate, how two of its results add up, input)."""
+    """``dealt`` with a running total for each name in ``values``: (aggregate, how two of its results add up, input).
+
+    The aggregate must also take its own results, as a sum or a XOR does.
+    """
     part = ["__part", *keys]
     local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = dealt.select("*", *[agg(value).over(local).alias(f"__own_{n}") for n, (agg, _, value) in values.items()])
     whole = dealt.groupBy(*part).agg(*[agg(value).alias(f"__all_{n}") for n, (agg, _, value) in values.items()])
+    # one row for each key and range: a key's earlier ranges
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = whole.select(*[F.col(c).alias(f"__k_{c}") for c in part], *[agg(F.col(f"__all_{n}")) .over(before).alias(f"__before_{n}") if agg is not F.count else F.sum(F.col(f"__all_{n}")).over(before).alias(f"__before_{n}") for n, (agg, _, _) in values.items()])
+    earlier = whole.select(*[F.col(c).alias(f"__k_{c}") for c in part], *[agg(f"__all_{n}").over(before).alias(f"__before_{n}") for n, (agg, _, _) in values.items()])
     on = own["__part"] == earlier["__k___part"]
     for k in keys:
         on = on & own[k].eqNullSafe(earlier[f"__k_{k}"])
-    out = own.join(earlier, on)
-    sums = [F.when(F.col(f"__before_{n}").isNull(), F.col(f"__own_{n}")).otherwise(add(F.col(f"__before_{n}"), F.col(f"__own_{n}"))).alias(n) for n, (_, add, _) in values.items()]
-    return out.select(*dealt.columns, *sums)
+    sums = [F.coalesce(add(F.col(f"__before_{n}"), F.col(f"__own_{n}")), F.col(f"__own_{n}")).alias(n) for n, (_, add, _) in values.items()]
+    return own.join(earlier, on).select(*dealt.columns, *sums)
