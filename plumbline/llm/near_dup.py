@@ -28,7 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,10 +99,15 @@ def _parities(hashes: np.ndarray, row: np.ndarray, rows: int, bits: int) -> np.n
     return np.packbits(odd.reshape(-1, bits), axis=1)
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart, with or without an id: 64 bits of id and text. Two of n different rows share one with a chance of n^2 / 2^65."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_lo, set_hi, bands, and the bitmaps (words s0.., array whole) of each row."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    fields = [slim.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_lo", T.LongType()), T.StructField("set_hi", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.ArrayType(T.LongType()))]
+    """doc_id, key, n_shingles, set_lo, set_hi, bands, and the bitmaps (words s0.., array whole) of each row."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+    fields = [slim.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_lo", T.LongType()), T.StructField("set_hi", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.ArrayType(T.LongType()))]
     fields += [T.StructField(s, T.LongType()) for s in SKETCH]
 
     def run(batches):
@@ -111,7 +116,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for first, sets, ends in text_sets(batch.column(1)):
                 lo, hi, bands, sketch, whole = _signed(sets, ends)
                 n = len(lo)
-                out = [ids.slice(first, n), pa.array(np.diff(ends)), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), _lists(bands), _lists(whole)]
+                out = [ids.slice(first, n), batch.column(2).slice(first, n), pa.array(np.diff(ends)), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), _lists(bands), _lists(whole)]
                 out += [pa.array(np.ascontiguousarray(x)) for x in sketch.view(np.int64).T]
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
@@ -144,8 +149,8 @@ def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array(keep)).select([0, 1])
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets reach the threshold; texts: (node, text), one row a node."""
+def confirm(pairs: DataFrame, texts: DataFrame, repeated: bool = False) -> DataFrame:
+    """The pairs (a, b) whose texts' full sets reach the threshold; texts: (node, text), equal ones where a node is ``repeated``."""
     pairs = cut(pairs)
     n = pairs.count()
     if not n:
@@ -154,6 +159,8 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     few = 2 * n <= BROADCAST_IDS
     texts = texts.join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    if repeated:
+        texts = texts.dropDuplicates(["node"])
     ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
 
@@ -176,51 +183,71 @@ def _may_link(x: str, y: str):
     return near & ((LINK[0] + LINK[1]) * odd <= (LINK[0] - LINK[1]) * (nx + ny))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id and kept of each row of ``docs``.
+def _grouped(docs: DataFrame, id_col: str, text_col: str, by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, key, n_shingles, set_lo, set_hi), and the classes (set_lo, set_hi, class_id, best) of those with words.
 
-    * ``class_id``: the smallest doc_id with the same shingle set;
-      ``component_id``: the smallest doc_id reachable over links;
-      ``kept``: doc_id equals component_id.
-    * Null, empty and blank texts have no shingles and stand alone.
-    * Rows that repeat a doc_id are one document: whatever one of its texts
-      is linked with is linked with all of them.
-    * A row without doc_id joins the component of its text, names none, and is
-      kept only where that component has no id at all.
-    * Other columns of ``docs`` aren't read; an empty table gives no rows.
+    A class and its links go by the key of its first row, by id (nulls last)
+    and key, so that texts without id take part as all others. ``best`` is the
+    first row of the class's whole component, as (no_id, doc_id, key).
+    ``by_id``: texts of one id belong to one component, linked or not.
     """
     sign = cut(signatures(docs, id_col, text_col))
-    slim = sign.select("doc_id", "n_shingles", "set_lo", "set_hi")
+    slim = sign.select("doc_id", "key", "n_shingles", "set_lo", "set_hi")
     worded = sign.where("n_shingles > 0")
-    classes = cut(worded.groupBy("set_lo", "set_hi").agg(F.min("doc_id").alias("class_id")))
-    member = slim.join(classes, ["set_lo", "set_hi"], "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    classes = cut(worded.groupBy("set_lo", "set_hi").agg(first).select("set_lo", "set_hi", F.col("first.key").alias("node"), "first"))
 
-    reps = worded.join(classes, ["set_lo", "set_hi"]).where("doc_id = class_id").dropDuplicates(["set_lo", "set_hi"])
-    reps = cut(reps.select(F.col("class_id").alias("node"), "n_shingles", "bands", "whole", *SKETCH))
+    reps = worded.join(classes, ["set_lo", "set_hi"]).where("key = node").dropDuplicates(["set_lo", "set_hi"])
+    reps = cut(reps.select("node", "n_shingles", "bands", "whole", *SKETCH))
     entries = reps.select("node", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
     shared = cut(entries.join(buckets, "band").select("band", "node", "least", "size"))
 
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text"))
+    repeated = slim.groupBy("key").count().where("count > 1").limit(1).count() > 0
+    texts = docs.select(row_key(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
     traits = reps.drop("bands")
     stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    links = confirm(_sketched(stars, traits), texts)
+    links = confirm(_sketched(stars, traits), texts, repeated)
 
-    several = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("z")).where("b < z")
-    again = member.join(several, "doc_id").where("class_id <> b").select(F.col("class_id").alias("a"), "b").distinct()
-    labels = components(cut(links.union(again)), "a", "b")
+    if by_id:
+        member = slim.where("doc_id is not null").join(classes.select("set_lo", "set_hi", "node"), ["set_lo", "set_hi"]).select("doc_id", "node")
+        several = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b < z")
+        links = links.union(member.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    labels = components(cut(links), "a", "b")
     merged = lambda more: components(cut(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "a", "b")
     for n in range(ROUNDS):
-        links = confirm(_sketched(_drawn(shared, labels, n), traits), texts)
+        links = confirm(_sketched(_drawn(shared, labels, n), traits), texts, repeated)
         if not links.limit(1).count():
             break
         labels = merged(links)
-    links = confirm(_across(shared, labels, traits), texts)
+    links = confirm(_across(shared, labels, traits), texts, repeated)
     if links.limit(1).count():
         labels = merged(links)
-    out = member.join(labels, member.class_id == labels.node, "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("label", "class_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = cut(classes.join(labels, "node", "left").select("set_lo", "set_hi", "first", F.coalesce("label", "node").alias("label")))
+    best = named.groupBy("label").agg(F.min("first").alias("best"))
+    # cut, so that Spark may split the join at a large component
+    return slim, cut(named.join(best, "label").select("set_lo", "set_hi", F.col("first.doc_id").alias("class_id"), "best"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id and kept of each row of ``docs``.
+
+    * ``class_id``: the smallest doc_id with the same shingle set;
+      ``component_id``: the smallest doc_id reachable over links;
+      ``kept``: doc_id equals component_id.
+    * Null, empty and blank texts have no shingles and stand alone.
+    * Rows that repeat a doc_id are one document: whatever one of its texts
+      is linked with is linked with all of them.
+    * A row without doc_id joins the component of its text and names none.
+      Where a component has no id at all, one of its texts is kept (all rows
+      that equal it are).
+    * Other columns of ``docs`` aren't read; an empty table gives no rows.
+    """
+    slim, classes = _grouped(docs, id_col, text_col, by_id=True)
+    out = slim.join(classes, ["set_lo", "set_hi"], "left")
+    named = F.when(F.col("n_shingles") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
+    kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id").eqNullSafe(named)).otherwise((F.col("n_shingles") == 0) | (F.col("key") == F.col("best.key")))
+    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), named.alias("component_id"), kept.alias("kept"))
 
 
 def _sketched(pairs: DataFrame, traits: DataFrame) -> DataFrame:
@@ -262,11 +289,21 @@ def _across(shared: DataFrame, labels: DataFrame, traits: DataFrame) -> DataFram
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id, once."""
-    ids = cut(near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id")).distinct())
-    out = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]), "left_semi")
-    repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([id_col]) if repeated else out
+    """The rows of ``docs`` that stay: of each component the first by id (nulls last) and hash of the text, once.
+
+    Here rows are told apart by id and text: texts that aren't linked all stay,
+    whether they have no id or share one. Of rows that are equal in both the
+    one whose other columns have the smallest hash stays.
+    """
+    slim, classes = _grouped(docs, id_col, text_col, by_id=False)
+    keys = classes.select(F.col("best.key").alias("__key")).union(slim.where("n_shingles = 0").select("key"))
+    keys = cut(keys.distinct())
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    out = keyed.join(keys, "__key", "left_semi")
+    if not slim.groupBy("key").count().where("count > 1").limit(1).count():
+        return out.select(docs.columns)
+    least = F.min_by(F.struct(*docs.columns), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])).alias("__row")
+    return out.groupBy("__key").agg(least).select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,24 @@ def test_near_duplicates_of_drifted_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_rows_without_or_with_a_shared_id(spark):
+    """Different texts all stay, near copies don't, in whatever partitions the rows come."""
+    text = lambda g, i=0: " ".join(f"w{g}x{j}" for j in range(60)) + f" e{i}"
+    rows = [(None, text(g)) for g in range(6)] + [(None, text(0, 1)), (None, text(5)), (None, None), (None, ""), (None, " "), (None, None)]
+    rows += [(1, text(7)), (None, text(7, 2)), (None, text(7)), (2, text(8)), (2, text(9)), (2, text(8)), (3, text(9, 1)), (4, None)]
+    left = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        left.append(sorted(((r.doc_id, r.text) for r in near_dup.keep_one(df).collect()), key=repr))
+    assert left[0] == left[1]
+    assert {r for r in left[0] if r[0]} == {(1, text(7)), (2, text(8)), (2, text(9)), (4, None)}
+    none = [t for i, t in left[0] if i is None]
+    assert len(none) == len(set(none)) and {None, "", " ", *[text(g) for g in range(1, 6)]} <= set(none)
+    assert len(none) == 9 and len({text(0), text(0, 1)} & set(none)) == 1
+    got = near_dup.near_duplicates(spark.createDataFrame([r for r in rows if r[0] is None], "doc_id long, text string")).collect()
+    assert len(got) == 14 and sum(r.kept for r in got if r.n_shingles) == 8 and all(r.component_id is None for r in got)
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = np.random.default_rng(0)
     for _ in range(30):
