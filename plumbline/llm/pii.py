@@ -8,7 +8,8 @@ score each candidate by its format and context, and a threshold for each
 generator, calibrated on those counts, selects the ones to redact.
 
 Labels are weak: a candidate counts as positive if it overlaps a base span
-(for secrets: if its value mixes letters and digits). The features leave out
+(for secrets: if its value mixes letters and digits; for addresses also: if
+its at is in brackets). The features leave out
 what the base patterns go by (plus signs, checksums, the @), so the trees must
 find their way by the rest and carry over to what these patterns miss.
 """
@@ -36,7 +37,7 @@ PATTERNS = {
 GENERATORS = {
     "number": ("phone", r"(?<![0-9A-Za-z])[+(]{0,2}[0-9](?:[\x20()./-]{0,2}[0-9]){6,24}"),
     "address": ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@|\x20?[(\[]at[)\]]\x20?|\x20at\x20)[A-Za-z0-9-]{1,64}+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[A-Za-z0-9-]{1,64}+)++"),
-    "secret": ("secret", r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?[a-z0-9_/+-]{6,200}+[\"']?"),
+    "secret": ("secret", r"(?i)(?<![a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x20]{0,2}[:=][\x20]{0,2}[\"']?(?:[a-z0-9_/+=~-]|\.++(?=[a-z0-9_/+=~-])){6,}+[\"']?"),
 }
 #: What a text must contain for a pattern to match at all.
 NEEDS = {"email": "@", "phone": "+", "ip": ".", "card": None, "number": None, "address": None, "secret": None}
@@ -47,6 +48,28 @@ FEATURES = ("gen", "digits", "groups", "sep", "ctx", "edge", "size")
 BLOCK = 256
 
 
+def _examples():
+    """Made-up counts of feature vectors, learnt from beside every table's own, so that a generator has a threshold however few candidates a table has.
+
+    Grouped numbers of a phone's length are positive, bare runs and dates
+    aren't; so are addresses; so are secrets with digits, of 16 characters and
+    more, but not plain words. A table's own counts soon outweigh these.
+    """
+    for d in range(7, 21):
+        yield (0, d, 1, 0, 0, 0, 0), 0, 15
+        yield (0, d, 1, 0, 0, 1, 0), 0, 5
+        yield from [((0, d, g, sep, 0, 0, 0), 0, 2) for g in (2, 3, 4) for sep in (1, 2)]
+    for d in (10, 11, 12):
+        yield from [((0, d, g, 3, ctx, 0, 0), 10, 0) for g in (3, 4, 5) for ctx in (0, 1)]
+    yield from [((1, d, g, 0, ctx, 0, 0), 5, 0) for d in range(5) for g in (2, 3, 4, 5) for ctx in (0, 4)]
+    for sep in (0, 1):
+        yield from [((2, d, 0, sep, 0, 0, size), 5, 0) for d in (4, 8, 16) for size in range(2, 9)]
+        yield from [((2, 0, 0, sep, 0, 0, size), 0, 10) for size in range(4)]
+
+
+EXAMPLES = tuple(_examples())
+
+
 def _marked(name: str, pattern: str) -> Column:
     """The text cut at the pattern's matches: outside, match, outside, ..., outside."""
     text = F.col("__t")
@@ -107,7 +130,7 @@ def _candidates() -> Column:
         each.append(f"""transform(__f_{name}, m -> named_struct('start', m.start, 'rank', {rank}, 'end', m.end,
           'gen', {g}, 'digits', least(20, length({_DIGITS})), 'groups', {groups}, 'sep', {sep}, 'ctx', {ctx},
           'edge', cast(m.after rlike '[A-Za-z0-9@]' as int), 'size', {'least(8, length(m.s) div 8)' if name == 'secret' else '0'},
-          'weak', {"m.s rlike '[0-9]' and m.s rlike '[:=].*[a-zA-Z]' and length(m.s) >= 20" if name == 'secret' else 'false'}))""")
+          'weak', {"m.s like '%[at]%' or m.s like '%(at)%'" if name == 'address' else "m.s rlike '[0-9]' and m.s rlike '^[^:=]*+[:=][^a-zA-Z]*+[a-zA-Z]' and length(m.s) >= 20" if name == 'secret' else 'false'}))""")
     each = [x.replace("\\W", "\\\\W") for x in each]
     return F.expr(f"concat({', '.join(each)})").alias("__cand")
 
@@ -130,7 +153,7 @@ _LABELLED = "transform(__cand, c -> named_struct('start', c.start, 'rank', c.ran
 class Forest:
     """Boosted trees of depth two over binned features, as sums of CASE expressions, with a threshold for each generator."""
 
-    def __init__(self, rows: list[tuple[tuple[int, ...], int, int]], rounds: int = 10, rate: float = 0.5, precision: float = 0.9, least: int = 20):
+    def __init__(self, rows: list[tuple[tuple[int, ...], int, int]], rounds: int = 10, rate: float = 0.5, precision: float = 0.9):
         self.trees: list[tuple] = []
         score = [0.0] * len(rows)
         for _ in range(rounds if rows else 0):
@@ -149,7 +172,7 @@ class Forest:
             for i, (s, a, b) in enumerate(own):
                 pos, neg = pos + a, neg + b
                 last = i + 1 == len(own) or own[i + 1][0] < s
-                if last and pos >= least and pos >= precision * (pos + neg):
+                if last and pos and pos >= precision * (pos + neg):
                     self.least[gen] = s
 
     def _grow(self, ids, rows, grad, depth, rate):
@@ -194,11 +217,11 @@ class Forest:
 
 
 def learn(scan: DataFrame) -> Forest:
-    """Trees from the counts of all candidates' feature vectors; the driver gets one row for each vector, at most the product of the bins."""
+    """Trees from the counts of all candidates' feature vectors and EXAMPLES; the driver gets one row for each vector, at most the product of the bins."""
     # explode_outer: for explode Spark infers a filter that works the candidates out again
     rows = scan.select(F.explode_outer("__cand").alias("c")).where("c is not null").groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count_if("c.y").alias("pos"), F.count_if(~F.col("c.y")).alias("neg"))
     got = sorted((tuple(int(r[f]) for f in FEATURES), int(r.pos), int(r.neg)) for r in rows.collect())
-    return Forest(got)
+    return Forest(sorted([*got, *EXAMPLES]))
 
 
 def selected(scan: DataFrame, forest: Forest) -> DataFrame:

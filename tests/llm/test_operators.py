@@ -219,6 +219,18 @@ def test_redaction_leaves_no_base_span(spark, docs):
             assert clean[r.doc_id].text == r.text or r.doc_id == 1
 
 
+def test_secrets_go_whole_from_tables_of_all_sizes(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1g~x=="
+    rows = [(1, f"set token={jwt}. Then go on."), (2, "api_key: " + "a1B2" * 500 + " end"), (3, "write to jane.doe [at] example [dot] org please"), (4, "password: example and token: nothing")]
+    few, many = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(10 * k + i, t) for k in range(60) for i, t in rows], "doc_id long, text string")
+    want = {1: "set [SECRET]. Then go on.", 2: "[SECRET] end", 3: "write to [EMAIL] please", 4: rows[3][1]}
+    assert {r.doc_id: r.text for r in pii.redacted(few).collect()} == want
+    assert all(r.text == want[r.doc_id % 10] for r in pii.redacted(many).collect())
+    for r in rows[:3]:
+        assert pii.find(few.where(F.col("doc_id") == r[0])).first().spans
+    assert pii.redacted(spark.createDataFrame([(1, "token=" + "=" * 300_000)], few.schema)).count() == 1
+
+
 def test_forest_finds_the_feature():
     rows = [((0, d, g, 0, 0, 0, 0), 90 if d > 9 else 1, 2 if d > 9 else 60) for d in range(5, 16) for g in range(3)]
     forest = pii.Forest(rows)
