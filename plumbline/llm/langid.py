@@ -29,6 +29,10 @@ LETTER = np.zeros(256, np.float32)
 for _lo, _hi in ((65, 91), (97, 123), (128, 256)):
     LETTER[_lo:_hi] = 1
 UNDETERMINED = "und"
+#: The share of training passages that may score below the threshold, before the margin.
+BELOW, MARGIN = 0.002, 0.95
+#: Texts of fewer letters (bytes) are too short to be told from no language; no score rejects them.
+JUDGED = 24
 
 
 def soft(x: np.ndarray) -> np.ndarray:
@@ -172,7 +176,7 @@ def train(passages: list[tuple[str, bytes]], steps: int = 260, batch: int = 128,
     net, rng = ByteGRU(labels, seed), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1 if len(labels) > 1 else 1):
-        data, mask, truth = np.zeros((WINDOW, batch), np.uint8), np.zeros((WINDOW, batch), np.float32), np.arange(batch) % len(labels)
+        data, mask, truth = np.zeros((WINDOW, batch), np.uint8), np.zeros((WINDOW, batch), np.float32), (np.arange(batch) + (step - 1) * batch) % len(labels)  # in turn, so that any number of languages is learnt
         for i, y in enumerate(truth):
             text = by[y][rng.integers(len(by[y]))]
             size = min(len(text), WINDOW if rng.random() < 0.7 else int(rng.integers(4, WINDOW)))
@@ -276,8 +280,33 @@ def learnt(docs: DataFrame) -> ByteGRU | None:
     return train(sample(docs.where(~held_out())))
 
 
+def threshold(net: ByteGRU | None, passages: list[tuple[str, bytes]]) -> float:
+    """The score from which a text counts as in a language: ``MARGIN`` of what all but ``BELOW`` of the training passages reach; 0 without any.
+
+    Whole texts are as long as their passages or longer, and scores of longer
+    texts scatter less. A network of one language scores all texts 1.
+    """
+    judged = [t.decode() for _, t in passages if LETTER[np.frombuffer(t, np.uint8)].sum() >= JUDGED]
+    if net is None or not judged:
+        return 0.0
+    _, score = decide(net, pa.array(judged, pa.large_string()))
+    return MARGIN * float(np.quantile(score, BELOW))
+
+
+def calibrated(docs: DataFrame) -> tuple[ByteGRU | None, float]:
+    """The network learnt as by ``learnt``, and its threshold."""
+    passages = sample(docs.where(~held_out()))
+    net = train(passages)
+    return net, threshold(net, passages)
+
+
 def accepted(docs: DataFrame, net: ByteGRU | None, least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` in a learnt language with a score of at least ``least``; null and letterless texts go."""
+    """The rows of ``docs`` in a learnt language with a score of at least ``least``, or of fewer than ``JUDGED`` letters; null and letterless texts go.
+
+    Where nothing was learnt, nothing can be told, and all rows stay.
+    """
+    if net is None:
+        return docs
     sent, at = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")
 
     def run(batches):
@@ -285,7 +314,10 @@ def accepted(docs: DataFrame, net: ByteGRU | None, least: float = 0.0) -> DataFr
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
                 langs, score = decide(sent.value, part.column(at))
-                yield part.filter(pa.array((np.array(langs, object) != UNDETERMINED) & (score >= least)))
+                buf, ends = K.utf8(part.column(at))
+                letters = np.concatenate(([0], np.cumsum(LETTER[buf] > 0)))
+                short = letters[ends[1:]] - letters[ends[:-1]] < JUDGED
+                yield part.filter(pa.array((np.array(langs, object) != UNDETERMINED) & (short | (score >= least))))
 
     return docs.mapInArrow(run, docs.schema)
 

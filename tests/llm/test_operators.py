@@ -283,6 +283,27 @@ def test_language_of_odd_texts(spark, docs):
     assert langid.sample(docs.limit(0)) == [] and langid.train([]) is None
 
 
+def test_language_stage_rejects_junk_and_keeps_clean_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(600)) for _ in range(20)]
+    junk += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(100)) for _ in range(20)]
+    net, least = langid.calibrated(docs)
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*junk, "Re."])], "doc_id long, text string")
+    left = {r.doc_id for r in langid.accepted(docs.select("doc_id", "text").union(extra), net, least).select("doc_id").collect()}
+    assert sum(i < 0 for i in left) <= 4 and -1 - len(junk) in left
+    held = {r.doc_id for r in docs.where(langid.held_out() & F.expr("text rlike '\\\\p{L}'")).collect()}
+    assert len(held) > 20 and len(held - left) <= len(held) // 50
+    assert langid.accepted(docs, *langid.calibrated(docs.withColumn("lang", F.lit(None).cast("string")))).count() == docs.count()
+
+
+def test_all_languages_are_learnt(monkeypatch):
+    seen, labels = set(), [f"l{i:03}" for i in range(300)]
+    monkeypatch.setattr(langid.ByteGRU, "gradient", lambda self, data, mask, weight, truth: (seen.update(truth.tolist()), (0.0, {k: np.zeros_like(v) for k, v in self.p.items()}))[1])
+    langid.train([(x, x.encode() * 9) for x in labels], steps=3)
+    assert len(seen) == 300
+
+
 def test_toxicity():
     rng = random.Random(3)
     common = [f"w{i}" for i in range(300)]
