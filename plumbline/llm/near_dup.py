@@ -104,9 +104,9 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
     """doc_id, key, n_shingles, set_lo, set_hi, bands, and the bitmaps (words s0.., array whole) of each row."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (row_key(id_col, text_col) if key is None else key).alias("key"))
     fields = [slim.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_lo", T.LongType()), T.StructField("set_hi", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("whole", T.ArrayType(T.LongType()))]
     fields += [T.StructField(s, T.LongType()) for s in SKETCH]
 
@@ -183,15 +183,20 @@ def _may_link(x: str, y: str):
     return near & ((LINK[0] + LINK[1]) * odd <= (LINK[0] - LINK[1]) * (nx + ny))
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, by_id: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, key, n_shingles, set_lo, set_hi), and the classes (set_lo, set_hi, class_id, best) of those with words.
+def _grouped(docs: DataFrame, id_col: str, text_col: str, by_id: bool) -> tuple[DataFrame, DataFrame, Column, bool]:
+    """The rows (doc_id, key, n_shingles, set_lo, set_hi), the classes (set_lo, set_hi, class_id, best) of those with words, the column of the key, and whether it repeats.
 
     A class and its links go by the key of its first row, by id (nulls last)
     and key, so that texts without id take part as all others. ``best`` is the
     first row of the class's whole component, as (no_id, doc_id, key).
+    Whole-number ids that are all there and all different are keys themselves:
+    then the hub of a bucket is its smallest id, and fewer rounds follow.
     ``by_id``: texts of one id belong to one component, linked or not.
     """
-    sign = cut(signatures(docs, id_col, text_col))
+    key = F.col(id_col)
+    if docs.schema[id_col].dataType != T.LongType() or docs.groupBy(key.alias("i")).count().where("i is null or count > 1").limit(1).count():
+        key = row_key(id_col, text_col)
+    sign = cut(signatures(docs, id_col, text_col, key))
     slim = sign.select("doc_id", "key", "n_shingles", "set_lo", "set_hi")
     worded = sign.where("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
@@ -204,7 +209,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, by_id: bool) -> tuple[
     shared = cut(entries.join(buckets, "band").select("band", "node", "least", "size"))
 
     repeated = slim.groupBy("key").count().where("count > 1").limit(1).count() > 0
-    texts = docs.select(row_key(id_col, text_col).alias("node"), F.col(text_col).alias("text"))
+    texts = docs.select(key.alias("node"), F.col(text_col).alias("text"))
     traits = reps.drop("bands")
     stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     links = confirm(_sketched(stars, traits), texts, repeated)
@@ -223,10 +228,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, by_id: bool) -> tuple[
     links = confirm(_across(shared, labels, traits), texts, repeated)
     if links.limit(1).count():
         labels = merged(links)
-    named = cut(classes.join(labels, "node", "left").select("set_lo", "set_hi", "first", F.coalesce("label", "node").alias("label")))
+    named = classes.join(labels, "node", "left").select("set_lo", "set_hi", "first", F.coalesce("label", "node").alias("label"))
     best = named.groupBy("label").agg(F.min("first").alias("best"))
     # cut, so that Spark may split the join at a large component
-    return slim, cut(named.join(best, "label").select("set_lo", "set_hi", F.col("first.doc_id").alias("class_id"), "best"))
+    return slim, cut(named.join(best, "label").select("set_lo", "set_hi", F.col("first.doc_id").alias("class_id"), "best")), key, repeated
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
       that equal it are).
     * Other columns of ``docs`` aren't read; an empty table gives no rows.
     """
-    slim, classes = _grouped(docs, id_col, text_col, by_id=True)
+    slim, classes, _, _ = _grouped(docs, id_col, text_col, by_id=True)
     out = slim.join(classes, ["set_lo", "set_hi"], "left")
     named = F.when(F.col("n_shingles") > 0, F.col("best.doc_id")).otherwise(F.col("doc_id"))
     kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id").eqNullSafe(named)).otherwise((F.col("n_shingles") == 0) | (F.col("key") == F.col("best.key")))
@@ -295,12 +300,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     whether they have no id or share one. Of rows that are equal in both the
     one whose other columns have the smallest hash stays.
     """
-    slim, classes = _grouped(docs, id_col, text_col, by_id=False)
+    slim, classes, key, repeated = _grouped(docs, id_col, text_col, by_id=False)
     keys = classes.select(F.col("best.key").alias("__key")).union(slim.where("n_shingles = 0").select("key"))
     keys = cut(keys.distinct())
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    keyed = docs.withColumn("__key", key)
     out = keyed.join(keys, "__key", "left_semi")
-    if not slim.groupBy("key").count().where("count > 1").limit(1).count():
+    if not repeated:
         return out.select(docs.columns)
     least = F.min_by(F.struct(*docs.columns), F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])).alias("__row")
     return out.groupBy("__key").agg(least).select("__row.*")
