@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import cut
 
 
-def edges(entities: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(src, kind, dst), distinct: ``owner`` of the six types that decode one, ``layer`` of all, and ``handle_ref`` between blocks of one name."""
-    owned = entities.where(F.col("dxftype").isin("LINE", "POINT", "ARC", "CIRCLE", "LWPOLYLINE", "INSERT") & (F.col("owner_handle") > 0))
-    return owned.select(F.col("handle").alias("src"), F.lit("owner").alias("kind"), F.col("owner_handle").alias("dst")).union(entities.select("handle", F.lit("layer"), "layer_handle")).distinct()
+#: The handle columns that make edges, by the kind of their edges.
+REFERENCES = {"linetype": "linetype_handle", "material": "material_handle", "plotstyle": "plotstyle_handle", "extension_dict": "extension_dict_handle"}
+#: The types whose owner is decoded.
+OWNED = ("LINE", "POINT", "ARC", "CIRCLE", "LWPOLYLINE", "INSERT")
+
+
+def edges(entities: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """(src, kind, dst), distinct: what each entity refers to.
+
+    ``owner`` of the six types that decode one, ``layer`` of all, and
+    ``linetype``, ``material``, ``plotstyle``, ``extension_dict``, ``reactor``
+    (an array) and ``handle_ref`` (an array) where ``entities`` has their
+    columns (``linetype_handle`` ..., ``reactor_handles``, ``handle_refs``).
+    Handle 0, nulls and an entity's own handle make no edge.
+    """
+    there = set(entities.columns)
+    owner = F.when(F.col("dxftype").isin(*OWNED), F.col("owner_handle")).cast("long")
+    one = lambda kind, handle: F.array(F.struct(F.lit(kind).alias("kind"), handle.cast("long").alias("dst")))
+    ends = [one("owner", owner), one("layer", F.col("layer_handle"))]
+    ends += [one(kind, F.col(c)) for kind, c in REFERENCES.items() if c in there]
+    ends += [F.expr(f"transform(coalesce({c}, array()), h -> named_struct('kind', '{kind}', 'dst', cast(h as bigint)))") for kind, c in (("reactor", "reactor_handles"), ("handle_ref", "handle_refs")) if c in there]
+    each = entities.select(F.col("handle").alias("src"), F.explode(F.concat(*ends)).alias("e")).select("src", "e.kind", "e.dst")
+    return each.where("dst <> 0 and dst <> src").distinct()
 
 
 def header_handles(blocks: DataFrame) -> DataFrame:
@@ -21,57 +42,150 @@ def header_handles(blocks: DataFrame) -> DataFrame:
     return blocks.select(label.alias("label"), "handle").where("label is not null").groupBy("label").agg(F.min("handle").alias("handle"))
 
 
-def closure(pairs: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
+#: Steps of a search that are planned as one job.
+STRIDE = 4
+
+
+def closure(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth): all that is reachable from ``roots`` (node) over ``pairs`` (src, dst), with the fewest steps.
 
-    The frontier is joined and anti-joined with what is known until it is
-    empty; cycles end by themselves. Each round is checkpointed.
+    The frontier goes on until nothing new is found, however deep; cycles end
+    by themselves. ``STRIDE`` steps at a time make one job, whose new nodes
+    are checkpointed; those at its last step are the next frontier.
     """
-    links = pairs.select(F.col("src"), F.col("dst")).where("src is not null and dst is not null").distinct()
-    known = cut(roots.select(F.col("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)))
-    front = known
-    for d in range(1, depth + 1):
-        front = cut(front.join(links, front.node == links.src).select(F.col("dst").alias("node")).distinct().join(known, "node", "left_anti").withColumn("depth", F.lit(d)))
-        if not front.limit(1).count():
-            break
-        known = cut(known.union(front))
-    return known
-
-
-def reach(pairs: DataFrame, rounds: int = 32) -> DataFrame:
-    """(src, dst): the transitive closure of sparse ``pairs``; path lengths double each round."""
-    known = cut(pairs.select("src", "dst").where("src is not null and dst is not null").distinct())
-    n = known.count()
-    for _ in range(rounds):
-        longer = known.alias("a").join(known.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        known = cut(known.union(longer).distinct())
-        m = known.count()
+    links = cut(pairs.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    known = [cut(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))]
+    front, depth = known[0].select("node"), 0
+    while True:
+        seen = reduce(DataFrame.union, [k.select("node") for k in known])
+        steps = []
+        for d in range(depth + 1, depth + STRIDE + 1):
+            front = front.join(links, front.node == links.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+            steps.append(front.withColumn("depth", F.lit(d)))
+        found = cut(reduce(DataFrame.union, steps).groupBy("node").agg(F.min("depth").alias("depth")))
+        if not found.limit(1).count():
+            return reduce(DataFrame.union, known)
+        depth += STRIDE
+        # few pieces, so that plans stay short
+        known = [*known, found] if len(known) < 16 else [cut(reduce(DataFrame.union, [*known, found]))]
+        front = found.where(F.col("depth") == depth).select("node")
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, label): the smallest node reachable, for each node of ``edges``.
+
+    Each round every root hooks on its smallest neighbour if that is smaller,
+    pointers jump until each meets its root, and edges are contracted to roots;
+    edges within a root go. Of a component's roots at least half end every two
+    rounds, and jumps halve a chain, so both loops are logarithmic, whatever
+    the order of the nodes along a path. Hot nodes only ever meet partial
+    minimums and joins that Spark may split.
+    """
+    links = _contracted(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null"))
+    single = edges.select(F.explode(F.array(a, b)).alias("node")).where("node is not null").distinct()
+    n, ups = links.count(), []
+    while n:
+        ends = links.select(F.col("x").alias("node"), F.col("y").alias("near")).union(links.select("y", "x"))
+        up = cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up")), 2 * n)
+        while True:
+            above = up.select(F.col("node").alias("__n"), F.col("up").alias("top"))
+            up = cut(up.join(above, up.up == above["__n"]).select("node", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")), 2 * n)
+            if not up.where("moved").limit(1).count():
+                break
+            up = up.select("node", "up")
+        up = up.select("node", "up")
+        ups.append(up)
+        links = _contracted(_moved(_moved(links, "x", up), "y", up), n)
+        n = links.count()
+    labels = single.select("node", F.col("node").alias("label"))
+    for up in ups:
+        labels = _moved(labels, "label", up)
+    return cut(labels)
+
+
+def _moved(rows: DataFrame, column: str, up: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` replaced by what ``up`` (node, up) has for it."""
+    above = up.select(F.col("node").alias("__n"), F.col("up").alias("__up"))
+    return rows.join(above, rows[column] == above["__n"], "left").select(*[F.coalesce("__up", column).alias(c) if c == column else c for c in rows.columns])
+
+
+def _contracted(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """The distinct pairs of different ends, the smaller one first."""
+    return cut(links.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), rows)
+
+
+def merged(labels: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """``labels`` (node, label) of ``components`` after further edges: these join components, and nodes that had none."""
+    first = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    own = labels.select("node", F.col("label").alias("up"))
+    top = components(_moved(_moved(first, "x", own), "y", own), "x", "y").select(F.col("node").alias("__n"), F.col("label").alias("__top"))
+    # a node without component so far is its own label
+    return cut(labels.join(top, labels.label == top["__n"], "full_outer").select(F.coalesce("node", "__n").alias("node"), F.coalesce("__top", "label").alias("label")))
+
+
+def _trimmed(left: DataFrame) -> DataFrame:
+    """The pairs that are left when those without a pair before or after them go, until none goes."""
+    n = left.count()
+    while n:
+        starts, ends = left.select(F.col("src").alias("dst")).distinct(), left.select(F.col("dst").alias("src")).distinct()
+        left = cut(left.join(starts, "dst", "left_semi").join(ends, "src", "left_semi").select("src", "dst"), n)
+        m = left.count()
         if m == n:
-            return known
+            break
         n = m
-    return known
+    return left
+
+
+def _least_reaching(pairs: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node from which each node can be reached, itself included."""
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    colours = cut(nodes.withColumn("colour", F.col("node")))
+    while True:
+        near = pairs.join(colours, pairs.src == colours.node).groupBy("dst").agg(F.min("colour").alias("near"))
+        after = cut(colours.join(near, colours.node == near.dst, "left").select("node", F.least("colour", "near").alias("colour"), (F.col("near") < F.col("colour")).alias("moved")))
+        if not after.where("moved").limit(1).count():
+            return after.select("node", "colour")
+        colours = after.select("node", "colour")
 
 
 def cycle_edges(pairs: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose target can get back to the source."""
-    back = reach(pairs).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return pairs.select("src", "dst").distinct().join(back, ["src", "dst"], "left_semi")
+    """The pairs (src, dst) whose target can get back to the source.
+
+    Pairs that start or end outside every cycle are trimmed. Of the rest each
+    node takes the smallest node that reaches it as its colour; the nodes of a
+    colour that get back to that node are one strong component, and leave with
+    it. No table is ever larger than the pairs.
+    """
+    given = cut(pairs.select("src", "dst").where("src is not null and dst is not null").distinct())
+    found = [given.where("src = dst")]
+    left = _trimmed(given.where("src <> dst"))
+    while left.limit(1).count():
+        colours = _least_reaching(left)
+        at = colours.select(F.col("node").alias("__s"), F.col("colour").alias("cs"))
+        to = colours.select(F.col("node").alias("__d"), F.col("colour").alias("cd"))
+        same = cut(left.join(at, left.src == at["__s"]).join(to, left.dst == to["__d"]).where("cs = cd").select("src", "dst", F.col("cs").alias("colour")))
+        back = closure(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), same.where("src = colour").select(F.col("colour").alias("node")))
+        core = cut(back.select("node"))
+        inside = same.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        found.append(cut(inside.select("src", "dst")))
+        left = _trimmed(cut(same.join(core.withColumnRenamed("node", "src"), "src", "left_anti").join(core.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")))
+    return reduce(DataFrame.union, found)
 
 
 def purged(nodes: DataFrame, pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The nodes that no root reaches."""
-    return nodes.select("node").distinct().join(closure(pairs, roots), "node", "left_anti")
+    return nodes.select("node").distinct().join(closure(pairs, roots).select("node"), "node", "left_anti")
 
 
-def resolved(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """The pairs (src, dst) that are left when pairs to targets without own pairs are dropped until none is left to drop; targets equal to ``src`` count as defined."""
+def resolved(pairs: DataFrame) -> DataFrame:
+    """The pairs (src, dst) that are left when pairs to targets without own pairs are dropped, until none is left to drop."""
     left = cut(pairs.select("src", "dst").distinct())
     n = left.count()
-    for _ in range(rounds):
-        left = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    while n:
+        left = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), n)
         m = left.count()
         if m == n:
-            return left
+            break
         n = m
     return left
 

@@ -11,19 +11,38 @@ def by_max_offset(objects: DataFrame) -> DataFrame:
     return objects.groupBy("handle").agg(F.max("off").alias("off"))
 
 
+#: What a repeated record scores: for a type, a size, its class, its own or another decoded handle, and for one or two neighbouring layer records.
+TYPED, SIZED, CLASSED, OWN, FOREIGN, LAYERS = 32, 8, {"ENTITY": 16, "OBJECT": -8}, 10000, -5000, {1: 6000, 2: 12000}
+#: The type code of a layer record, how near in offset a neighbour must be, and the score of a record that can't be parsed.
+LAYER_CODE, NEARBY, UNPARSED = 0x33, 256, -536870912
+
+
 def by_score(objects: DataFrame) -> DataFrame:
-    """(handle, off, score): of records that repeat a handle the best one, and of equal ones the later.
+    """(handle, off, score): of records that repeat a handle the best one, and of equal ones the later; ``score`` is null where a handle has one record.
 
-    A record scores 40 for a known type, 8 for a size that makes sense, and 25
-    for each neighbouring handle (one less or more) that has a record of the
-    same type.
+    objects (handle, off, type_code, data_size, class, decoded_handle,
+    parsed_ok). A layer record gains by layer records of the handle before and
+    the one after, if these repeat too and lie within ``NEARBY`` of its offset.
+    Neighbours meet by handle and stretch of offsets, so no handle's records
+    are compared pair by pair.
     """
-    types = objects.select(F.col("handle").alias("__h"), F.col("dxftype").alias("__t")).distinct()
-    near = types.select((F.col("__h") + 1).alias("handle"), F.col("__t").alias("dxftype"), F.lit(1).alias("__n")).union(types.select(F.col("__h") - 1, "__t", F.lit(1)))
-    bonus = near.groupBy("handle", "dxftype").agg(F.sum("__n").alias("__n"))
-    own = F.when(F.col("dxftype").isNotNull(), 40).otherwise(0) + F.when(F.col("size").between(1, 8), 8).otherwise(0)
-    df = objects.join(bonus, ["handle", "dxftype"], "left").withColumn("score", own + 25 * F.coalesce("__n", F.lit(0)))
-    return df.groupBy("handle").agg(F.max(F.struct("score", "off")).alias("best")).select("handle", "best.off", "best.score")
+    many = objects.groupBy("handle").agg(F.count("*").alias("__n"))
+    df = objects.join(many, "handle")
+    layer = df.where((F.col("__n") > 1) & F.col("parsed_ok") & (F.col("type_code") == LAYER_CODE)).select("handle", "off").distinct()
+    stretch = F.floor(F.col("off") / NEARBY)
+    near = layer.withColumn("__side", F.explode(F.array(F.lit(-1), F.lit(1))))
+    near = near.select((F.col("handle") + F.col("__side")).alias("handle"), "__side", F.col("off").alias("__o"), F.explode(F.sequence(stretch - 1, stretch + 1)).alias("__s"))
+    met = layer.withColumn("__s", stretch).join(near, ["handle", "__s"]).where(F.abs(F.col("off") - F.col("__o")) <= NEARBY)
+    bonus = met.groupBy("handle", "off").agg(F.countDistinct("__side").alias("__m"))
+    df = df.join(bonus, ["handle", "off"], "left")
+    score = F.when(F.col("type_code") != 0, TYPED).otherwise(0) + F.when(F.col("data_size") > 0, SIZED).otherwise(0)
+    for name, n in CLASSED.items():
+        score = score + F.when(F.col("class") == name, n).otherwise(0)
+    decoded = F.col("decoded_handle")
+    score = score + F.when(decoded == F.col("handle"), OWN).when(decoded != 0, FOREIGN).otherwise(0)
+    layers = F.when(F.col("type_code") == LAYER_CODE, F.when(F.col("__m") == 2, LAYERS[2]).when(F.col("__m") == 1, LAYERS[1]).otherwise(0)).otherwise(0)
+    score = F.when(F.col("__n") > 1, F.when(F.col("parsed_ok"), score + layers).otherwise(UNPARSED))
+    return df.withColumn("score", score).groupBy("handle").agg(F.max(F.struct("score", "off")).alias("best")).select("handle", "best.off", "best.score")
 
 
 def deltas(rows: DataFrame, part: str | None, order: list[str], columns: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,10 +134,24 @@ def dup_handle_max_offset(d: Drawing) -> DataFrame:
     return records.by_max_offset(d.entities)
 
 
-@query("dup_handle_scored", """SELECT handle, arg_max(off, struct_pack(s := score, o := off)) AS off, max(score) AS score FROM (SELECT e.handle, e.off, 40 + CASE WHEN size BETWEEN 1 AND 8 THEN 8 ELSE 0 END
-  + 25 * (CASE WHEN a.h IS NULL THEN 0 ELSE 1 END + CASE WHEN b.h IS NULL THEN 0 ELSE 1 END) AS score FROM ent e LEFT JOIN t a ON a.h = e.handle - 1 AND a.dxftype = e.dxftype LEFT JOIN t b ON b.h = e.handle + 1 AND b.dxftype = e.dxftype) GROUP BY handle""", "t AS (SELECT DISTINCT handle AS h, dxftype FROM ent)")
+CANDIDATES = """cand AS (SELECT handle, part AS off, CASE WHEN number % 3 = 0 THEN 51 ELSE part % 50 END AS type_code, CAST(size AS BIGINT) AS data_size, ['ENTITY', 'OBJECT', 'UNUSED'][part % 3 + 1] AS class,
+  CASE part % 5 WHEN 0 THEN handle WHEN 1 THEN 0 WHEN 2 THEN NULL ELSE CASE WHEN part % 2 = 0 THEN handle + 9 END END AS decoded_handle, part % 11 <> 0 AS parsed_ok FROM ent),
+many AS (SELECT *, count(*) OVER (PARTITION BY handle) AS n FROM cand), lr AS (SELECT DISTINCT handle, off FROM many WHERE n > 1 AND parsed_ok AND type_code = 51)"""
+
+
+@query("dup_handle_scored", """SELECT handle, arg_max(off, struct_pack(s := coalesce(score, -999999999), o := off)) AS off, max(score) AS score FROM (SELECT handle, off, CASE WHEN n > 1 THEN CASE WHEN parsed_ok THEN
+  CASE WHEN type_code <> 0 THEN 32 ELSE 0 END + CASE WHEN data_size > 0 THEN 8 ELSE 0 END + CASE class WHEN 'ENTITY' THEN 16 WHEN 'OBJECT' THEN -8 ELSE 0 END + CASE WHEN decoded_handle = handle THEN 10000 WHEN decoded_handle <> 0 THEN -5000 ELSE 0 END
+  + CASE WHEN type_code = 51 THEN 6000 * (CASE WHEN EXISTS (SELECT 1 FROM lr WHERE lr.handle = m.handle - 1 AND abs(lr.off - m.off) <= 256) THEN 1 ELSE 0 END + CASE WHEN EXISTS (SELECT 1 FROM lr WHERE lr.handle = m.handle + 1 AND abs(lr.off - m.off) <= 256) THEN 1 ELSE 0 END) ELSE 0 END
+  ELSE -536870912 END END AS score FROM many m) GROUP BY handle""", CANDIDATES)
 def dup_handle_scored(d: Drawing) -> DataFrame:
-    return records.by_score(d.entities)
+    """Records that repeat a handle, with what stands for their types, sizes and decoded handles."""
+    part, handle = F.col("part"), F.col("handle")
+    decoded = F.when(part % 5 == 0, handle).when(part % 5 == 1, F.lit(0)).when((part % 5 > 2) & (part % 2 == 0), handle + 9)
+    rows = d.entities.select(
+        handle, part.alias("off"), F.when(F.col("number") % 3 == 0, F.lit(51)).otherwise(part % 50).alias("type_code"), F.bround("size").cast("long").alias("data_size"),
+        F.element_at(F.array(*[F.lit(c) for c in ("ENTITY", "OBJECT", "UNUSED")]), (part % 3 + 1).cast("int")).alias("class"), decoded.alias("decoded_handle"), (part % 11 != 0).alias("parsed_ok"),
+    )
+    return records.by_score(rows)
 
 
 @query("records_by_handle_order", "SELECT b.handle, b.name, r.pos FROM blk b JOIN (SELECT h, min(pos) AS pos FROM (SELECT layer_handle * 7 AS h, part AS pos FROM ent) GROUP BY h) r ON r.h = b.handle")
@@ -355,18 +370,35 @@ def block_definition_pick(d: Drawing) -> DataFrame:
 # --- graph -------------------------------------------------------------------
 
 
-EDGES = """edg AS (SELECT DISTINCT handle AS src, 'owner' AS kind, owner_handle AS dst FROM ent WHERE owner_handle > 0 AND dxftype IN ('LINE', 'POINT', 'ARC', 'CIRCLE', 'LWPOLYLINE', 'INSERT') UNION SELECT handle, 'layer', layer_handle FROM ent)"""
+LINKED = """lnk AS (SELECT *, CASE WHEN part % 3 = 0 THEN part % 20 END AS linetype_handle, part % 2 * (part % 30) AS material_handle, CASE WHEN number = 7 THEN handle END AS plotstyle_handle,
+  CASE WHEN part % 10 = 1 THEN part END AS extension_dict_handle, CASE WHEN part % 4 <> 0 THEN [layer_handle, part % 8, layer_handle] END AS reactor_handles, CASE WHEN dxftype = 'HATCH' THEN [part, handle, owner_handle] END AS handle_refs FROM ent)"""
+EDGES = LINKED + """, one AS (SELECT handle AS src, 'owner' AS kind, owner_handle AS dst FROM lnk WHERE dxftype IN ('LINE', 'POINT', 'ARC', 'CIRCLE', 'LWPOLYLINE', 'INSERT') UNION ALL SELECT handle, 'layer', layer_handle FROM lnk
+UNION ALL SELECT handle, 'linetype', linetype_handle FROM lnk UNION ALL SELECT handle, 'material', material_handle FROM lnk UNION ALL SELECT handle, 'plotstyle', plotstyle_handle FROM lnk UNION ALL SELECT handle, 'extension_dict', extension_dict_handle FROM lnk
+UNION ALL SELECT handle, 'reactor', unnest(reactor_handles) FROM lnk UNION ALL SELECT handle, 'handle_ref', unnest(handle_refs) FROM lnk), edg AS (SELECT DISTINCT src, kind, dst FROM one WHERE dst <> 0 AND dst <> src)"""
+
+
+def _linked(d: Drawing) -> Drawing:
+    """The drawing with columns for all kinds of references."""
+    part, layer = F.col("part"), F.col("layer_handle")
+    return replace(d, entities=d.entities.select(
+        "*", F.when(part % 3 == 0, part % 20).alias("linetype_handle"), (part % 2 * (part % 30)).alias("material_handle"), F.when(F.col("number") == 7, F.col("handle")).alias("plotstyle_handle"),
+        F.when(part % 10 == 1, part).alias("extension_dict_handle"), F.when(part % 4 != 0, F.array(layer, part % 8, layer)).alias("reactor_handles"), F.when(F.col("dxftype") == "HATCH", F.array(part, F.col("handle"), F.col("owner_handle"))).alias("handle_refs"),
+    ))
 
 
 @query("graph_edges", "SELECT * FROM edg", EDGES)
 def graph_edges(d: Drawing) -> DataFrame:
-    return d.edges()
+    """Edges of all eight kinds."""
+    return _linked(d).edges()
 
 
-@query("edges_from_to", "SELECT dst, kind, count(*) AS n, min(src) AS first FROM edg WHERE dst <= 50 GROUP BY 1, 2", EDGES)
+@query("edges_from_to", "SELECT coalesce(o.handle, i.handle) AS handle, coalesce(o.kind, i.kind) AS kind, coalesce(n_from, 0) AS n_from, coalesce(n_to, 0) AS n_to, first FROM (SELECT src AS handle, kind, count(*) AS n_from FROM edg GROUP BY 1, 2) o FULL JOIN (SELECT dst AS handle, kind, count(*) AS n_to, min(src) AS first FROM edg GROUP BY 1, 2) i ON o.handle = i.handle AND o.kind = i.kind", EDGES)
 def edges_from_to(d: Drawing) -> DataFrame:
-    """Edges into the handles up to 50, by kind."""
-    return d.edges().where("dst <= 50").groupBy("dst", "kind").agg(F.count("*").alias("n"), F.min("src").alias("first"))
+    """Edges out of and into every handle, by kind."""
+    e = _linked(d).edges()
+    out = e.groupBy(F.col("src").alias("handle"), "kind").agg(F.count("*").alias("n_from"))
+    into = e.groupBy(F.col("dst").alias("handle"), "kind").agg(F.count("*").alias("n_to"), F.min("src").alias("first"))
+    return out.join(into, ["handle", "kind"], "full_outer").fillna(0, ["n_from", "n_to"])
 
 
 @query("header_handles_min", "SELECT CASE WHEN upper(name) LIKE '*MODEL%' THEN 'model_space' WHEN upper(name) LIKE '*PAPER%' THEN 'paper_space' WHEN name LIKE '*D%' THEN 'dim_block' ELSE 'anonymous' END AS label, min(handle) AS handle FROM blk WHERE name LIKE '*%' GROUP BY 1")
@@ -383,7 +415,7 @@ def _parts(part: DataFrame) -> DataFrame:
     return part.where("p_partkey % 3 <> 0").crossJoin(F.broadcast(n)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("dst")).distinct()
 
 
-@query_on("closure", "part", f"WITH RECURSIVE {PARTS}, c(node, depth) AS (SELECT DISTINCT p_partkey, 0 FROM part WHERE p_size = 1 UNION SELECT pg.dst, depth + 1 FROM c JOIN pg ON pg.src = c.node WHERE depth < 64) SELECT node, min(depth) AS depth FROM c GROUP BY 1")
+@query_on("closure", "part", f"WITH RECURSIVE {PARTS}, c(node, depth) AS (SELECT DISTINCT p_partkey, 0 FROM part WHERE p_size = 1 UNION SELECT pg.dst, depth + 1 FROM c JOIN pg ON pg.src = c.node WHERE depth < (SELECT count(*) FROM part)) SELECT node, min(depth) AS depth FROM c GROUP BY 1")
 def closure(part: DataFrame) -> DataFrame:
     return graph.closure(_parts(part), part.where("p_size = 1").select(F.col("p_partkey").alias("node")))
 
