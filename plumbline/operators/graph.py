@@ -86,7 +86,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     n, ups = links.count(), []
     while n:
         ends = links.select(F.col("x").alias("node"), F.col("y").alias("near")).union(links.select("y", "x"))
-        up = cut(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up")), 2 * n)
+        up = ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up"))
         while True:
             above = up.select(F.col("node").alias("__n"), F.col("up").alias("top"))
             up = cut(up.join(above, up.up == above["__n"]).select("node", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")), 2 * n)
@@ -118,9 +118,10 @@ def merged(labels: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
     """``labels`` (node, label) of ``components`` after further edges: these join components, and nodes that had none."""
     first = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     own = labels.select("node", F.col("label").alias("up"))
-    top = components(_moved(_moved(first, "x", own), "y", own), "x", "y").select(F.col("node").alias("__n"), F.col("label").alias("__top"))
+    top = components(_moved(_moved(first, "x", own), "y", own), "x", "y").withColumnRenamed("label", "up")
     # a node without component so far is its own label
-    return cut(labels.join(top, labels.label == top["__n"], "full_outer").select(F.coalesce("node", "__n").alias("node"), F.coalesce("__top", "label").alias("label")))
+    new = top.join(labels.select("node"), "node", "left_anti").select("node", F.col("up").alias("label"))
+    return cut(_moved(labels, "label", top).select("node", "label").union(new))
 
 
 def _trimmed(left: DataFrame) -> DataFrame:
