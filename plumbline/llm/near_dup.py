@@ -11,9 +11,9 @@
    whose sketches rule out the threshold go; the others are confirmed on their
    full sets. Components of these links join whole groups of copies without
    listing a group's pairs.
-4. In buckets that still hold several components, every class meets one
-   member drawn by hash, another one in each band and round; that joins
-   groups of copies that have drifted apart, again without listing pairs.
+4. Where many pairs would be left across components of one bucket, every
+   class meets a member drawn by hash, another one in each band and round;
+   that joins groups of copies that have drifted apart.
 5. Buckets that hold several components even then give all pairs across
    them, the larger ones in blocks, by sketch and full set; so no link
    between different components is left.
@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import kernels as K
-from plumbline.llm.graph import components
-from plumbline.session import ROWS as ROWS_A_PART
+from plumbline.operators.graph import components, merged
 from plumbline.session import cut, table
 
 BANDS, ROWS = 32, 4
@@ -44,12 +43,12 @@ BITS, WHOLE_BITS = 512, 2048
 LINK = (100, 75)
 #: Standard deviations between the threshold and the sketches that are ruled out.
 SIGMAS = 5.5
-#: Rounds of meeting a drawn member before what is left meets in full; a round that links nothing is the last.
-ROUNDS = 3
+#: Rounds of meeting a drawn member, while more than PAIRS_AN_ENTRY pairs for each bucket entry are left across components and rounds link any; what is left then meets in full.
+ROUNDS, PAIRS_AN_ENTRY = 8, 1
 #: Classes of one bucket that meet in one block.
 BLOCK_ROWS = 2048
-#: So many candidate ids, 16 bytes each, are sent to all executors; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: So many rows of two or three numbers are sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 
 
@@ -150,15 +149,18 @@ def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, repeated: bool = False) -> DataFrame:
-    """The pairs (a, b) whose texts' full sets reach the threshold; texts: (node, text), equal ones where a node is ``repeated``."""
+    """The pairs (a, b) whose texts' full sets reach the threshold; texts: (node, text), equal ones where a node is ``repeated``.
+
+    Pairs are dealt by their second node, so that a hub's text is read by the
+    tasks of its pairs alone; Spark may split a hot hub's, as nothing after
+    the join needs them together.
+    """
     pairs = cut(pairs)
     n = pairs.count()
     if not n:
         return pairs.select("a", "b")
-    pairs = pairs.coalesce(1 + n // ROWS_A_PART)
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    few = 2 * n <= BROADCAST_IDS
-    texts = texts.join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts.join(_sent(ids, 2 * n), "node", "left_semi")
     if repeated:
         texts = texts.dropDuplicates(["node"])
     ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -169,7 +171,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, repeated: bool = False) -> DataF
             for i in range(0, batch.num_rows, 1024):
                 yield _linked(batch.slice(i, 1024))
 
-    return cut(rows.mapInArrow(run, pairs.select("a", "b").schema), n)
+    return cut(rows.mapInArrow(run, pairs.select("a", "b").schema))
+
+
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` rows at most, for a join: sent to all executors if these are few."""
+    return F.broadcast(df) if n <= BROADCAST_IDS else df
 
 
 def _may_link(x: str, y: str):
@@ -193,45 +200,51 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, by_id: bool) -> tuple[
     then the hub of a bucket is its smallest id, and fewer rounds follow.
     ``by_id``: texts of one id belong to one component, linked or not.
     """
-    key = F.col(id_col)
-    if docs.schema[id_col].dataType != T.LongType() or docs.groupBy(key.alias("i")).count().where("i is null or count > 1").limit(1).count():
+    key, unique = F.col(id_col), docs.schema[id_col].dataType == T.LongType()
+    unique = unique and not docs.groupBy(key.alias("i")).count().where("i is null or count > 1").limit(1).count()
+    if not unique:
         key = row_key(id_col, text_col)
     sign = cut(signatures(docs, id_col, text_col, key))
     slim = sign.select("doc_id", "key", "n_shingles", "set_lo", "set_hi")
-    worded = sign.where("n_shingles > 0")
+    repeated = not unique and slim.groupBy("key").count().where("count > 1").limit(1).count() > 0
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
-    classes = cut(worded.groupBy("set_lo", "set_hi").agg(first).select("set_lo", "set_hi", F.col("first.key").alias("node"), "first"))
-
-    reps = worded.join(classes, ["set_lo", "set_hi"]).where("key = node").dropDuplicates(["set_lo", "set_hi"])
-    reps = cut(reps.select("node", "n_shingles", "bands", "whole", *SKETCH))
+    # rows of one set have one signature
+    traits = F.any_value(F.struct("n_shingles", "bands", "whole", *SKETCH)).alias("t")
+    reps = cut(sign.where("n_shingles > 0").groupBy("set_lo", "set_hi").agg(first, traits).select("set_lo", "set_hi", "first", F.col("first.key").alias("node"), "t.*"))
+    classes, traits = reps.select("set_lo", "set_hi", "first", "node"), reps.select("node", "n_shingles", "whole", *SKETCH)
     entries = reps.select("node", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
-    shared = cut(entries.join(buckets, "band").select("band", "node", "least", "size"))
-
-    repeated = slim.groupBy("key").count().where("count > 1").limit(1).count() > 0
+    # cut, so that Spark may split the join at a large bucket
+    least = cut(entries.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least"))
+    shared = cut(entries.join(least, "band").select("band", "node", "least"))
     texts = docs.select(key.alias("node"), F.col(text_col).alias("text"))
-    traits = reps.drop("bands")
     stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     links = confirm(_sketched(stars, traits), texts, repeated)
-
-    if by_id:
+    if by_id and not unique:
         member = slim.where("doc_id is not null").join(classes.select("set_lo", "set_hi", "node"), ["set_lo", "set_hi"]).select("doc_id", "node")
         several = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b < z")
-        links = links.union(member.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
-    labels = components(cut(links), "a", "b")
-    merged = lambda more: components(cut(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)), "a", "b")
-    for n in range(ROUNDS):
-        links = confirm(_sketched(_drawn(shared, labels, n), traits), texts, repeated)
-        if not links.limit(1).count():
+        links = cut(links.union(member.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()))
+    labels = components(links, "a", "b")
+    entries, many, n = shared.select("band", "node"), True, 0
+    while many:
+        left, size, across = _mixed(entries, labels)
+        if not size:
             break
-        labels = merged(links)
-    links = confirm(_across(shared, labels, traits), texts, repeated)
-    if links.limit(1).count():
-        labels = merged(links)
-    named = classes.join(labels, "node", "left").select("set_lo", "set_hi", "first", F.coalesce("label", "node").alias("label"))
-    best = named.groupBy("label").agg(F.min("first").alias("best"))
+        if n == 0:  # no other class meets another one any more
+            nodes = cut(left.select("node").distinct(), size)
+            traits = cut(traits.join(_sent(nodes, size), "node", "left_semi"))
+        many = n < ROUNDS and across > PAIRS_AN_ENTRY * size
+        links = confirm(_sketched(_drawn(left, n), traits) if many else _across(left, traits), texts, repeated)
+        if links.limit(1).count():
+            labels = merged(labels, links, "a", "b")
+        elif many:
+            n = ROUNDS
+        entries, n = left.select("band", "node"), n + 1
+    # only classes with links have a best row other than their own
+    inside = classes.join(labels, "node")
+    best = labels.join(inside.groupBy("label").agg(F.min("first").alias("best")), "label").select("node", "best")
+    named = classes.join(best, "node", "left").select("set_lo", "set_hi", F.col("first.doc_id").alias("class_id"), F.coalesce("best", "first").alias("best"))
     # cut, so that Spark may split the join at a large component
-    return slim, cut(named.join(best, "label").select("set_lo", "set_hi", F.col("first.doc_id").alias("class_id"), "best")), key, repeated
+    return slim, cut(named), key, repeated
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,35 +269,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _sketched(pairs: DataFrame, traits: DataFrame) -> DataFrame:
-    """The pairs (a, b) that neither sketches nor sizes rule out."""
+    """Of distinct pairs (a, b) those that neither sketches nor sizes rule out."""
     x, y = traits.alias("x"), traits.alias("y")
     rows = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-    return rows.where(_may_link("x", "y")).select("a", "b").distinct()
+    return rows.where(_may_link("x", "y")).select("a", "b")
 
 
-def _labelled(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """The buckets' entries with their component so far; a class without links is its own."""
-    return shared.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
+def _mixed(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, float]:
+    """Of the entries (band, node) those of buckets that hold several components, with ``size`` of the bucket and ``label``; how many they are, and how many pairs lie across components. A class without links is its own component."""
+    named = entries.join(_sent(labels, labels.count()), "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    by = named.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.sum(F.col("n").cast("double") * F.col("n")).alias("inside"))
+    buckets = cut(by.where("parts > 1").select("band", "size", "inside"))
+    n, size, across = buckets.agg(F.count("*"), F.sum("size"), F.sum((F.col("size").cast("double") * F.col("size") - F.col("inside")) / 2)).first()
+    if not size:
+        return named, 0, 0.0
+    return cut(named.join(_sent(buckets.select("band", "size"), n), "band"), size), size, across
 
 
-def _drawn(shared: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+def _drawn(entries: DataFrame, n: int) -> DataFrame:
     """Pairs (a, b) of each class with the member that round ``n`` draws in its bucket, where the components differ."""
-    entries = _labelled(shared, labels)
-    draw = F.min(F.struct(F.xxhash64("node", "band", F.lit(n)).alias("h"), "node", "label")).alias("met")
-    mixed = entries.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q"), draw).where("p < q").select("band", "met")
-    pairs = entries.join(mixed, "band").where("label <> met.label")
+    met = cut(entries.groupBy("band").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "band", F.lit(n))).alias("met")))
+    pairs = entries.join(met, "band").where("label <> met.label")
     return pairs.select(F.greatest("node", "met.node").alias("a"), F.least("node", "met.node").alias("b")).distinct()
 
 
-def _across(shared: DataFrame, labels: DataFrame, traits: DataFrame) -> DataFrame:
+def _across(entries: DataFrame, traits: DataFrame) -> DataFrame:
     """Pairs of one bucket and different components that may be linked.
 
     A bucket of more than BLOCK_ROWS classes is dealt into blocks; each class
     meets every block, so all pairs are seen, by several tasks.
     """
-    entries = _labelled(shared, labels)
-    mixed = entries.groupBy("band").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("band")
-    entries = entries.join(mixed, "band").join(traits, "node")
+    entries = entries.join(traits, "node")
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     x = entries.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("x")
     y = entries.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
