@@ -45,7 +45,8 @@ WORDED = {"ip": "[0-9]", "card": "[0-9]", "number": "[0-9]", "address": r"@|[(\[
 #: Words before a candidate, by what they speak of.
 CONTEXT = {1: r"(?:phone|tel|call|fax|mobile|cell)\W*$", 2: r"(?:card|visa|account|acct|iban)\W*$", 3: r"(?:ssn|passport|licen[cs]e|id)\W*$", 4: r"(?:mail|contact|write)\W*$"}
 FEATURES = ("gen", "digits", "groups", "sep", "ctx", "edge", "size")
-BLOCK = 256
+#: Parts whose lengths are summed at once, and characters of a piece of text.
+BLOCK, PIECE = 64, 4096
 
 
 def _examples():
@@ -82,6 +83,11 @@ def _marked(name: str, pattern: str) -> Column:
     return F.when(test, cut).otherwise(F.array().cast("array<string>")).alias(f"__p_{name}")
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` for a value that is worked out once; a column that a lambda names would be worked out again for each element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _found(name: str) -> Column:
     """array<struct<start, end, s, before, after>> of the matches, from the parts.
 
@@ -89,36 +95,49 @@ def _found(name: str) -> Column:
     thousands of matches in a text don't cost their square.
     """
     p, n = f"__p_{name}", f"__n_{name}"
-    total = f"transform(sequence(0, cast((size({n}) - 1) div {BLOCK} as int)), b -> aggregate(slice({n}, b * {BLOCK} + 1, {BLOCK}), 0, (a, x) -> a + x))"
-    return F.expr(f"""
-      case when size({p}) < 3 then cast(array() as array<struct<start:int,end:int,s:string,before:string,after:string>>)
-      else flatten(transform(sequence(0, cast((size({n}) - 1) div {BLOCK} as int)), b ->
-        transform(filter(sequence(0, least({BLOCK}, size({n}) - b * {BLOCK}) - 1), j -> j % 2 = 1), j -> named_struct(
-          'start', aggregate(slice({total}, 1, b), 0, (a, x) -> a + x) + aggregate(slice({n}, b * {BLOCK} + 1, j), 0, (a, x) -> a + x),
-          'end', aggregate(slice({total}, 1, b), 0, (a, x) -> a + x) + aggregate(slice({n}, b * {BLOCK} + 1, j + 1), 0, (a, x) -> a + x),
-          's', {p}[b * {BLOCK} + j],
-          'before', right({p}[b * {BLOCK} + j - 1], 16),
-          'after', left({p}[b * {BLOCK} + j + 1], 1))))) end
-    """).alias(f"__f_{name}")
+    blocks = f"sequence(0, cast((size({n}) - 1) div {BLOCK} as int))"
+    total = f"transform({blocks}, b -> aggregate(slice({n}, b * {BLOCK} + 1, {BLOCK}), 0, (a, x) -> a + x))"
+    inside = f"aggregate(slice({n}, b * {BLOCK} + 1, j), o, (a, x) -> a + x)"
+    match = _let(inside, "at", f"named_struct('start', at, 'end', at + {n}[b * {BLOCK} + j], 's', {p}[b * {BLOCK} + j], 'before', right({p}[b * {BLOCK} + j - 1], 16), 'after', left({p}[b * {BLOCK} + j + 1], 1))")
+    own = f"transform(filter(sequence(0, least({BLOCK}, size({n}) - b * {BLOCK}) - 1), j -> j % 2 = 1), j -> {match})"
+    rows = _let(total, "sums", f"transform({blocks}, b -> {_let('aggregate(slice(sums, 1, b), 0, (a, x) -> a + x)', 'o', own)})")
+    return F.expr(f"case when size({p}) < 3 then cast(array() as array<struct<start:int,end:int,s:string,before:string,after:string>>) else flatten({rows}) end").alias(f"__f_{name}")
 
 
 _DIGITS = "regexp_replace(m.s, '[^0-9]', '')"
 VALID = {
     "email": "true",
     "ip": "forall(split(m.s, '[.]'), x -> x rlike '^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$')",
-    "card": f"length({_DIGITS}) between 14 and 19 and aggregate(sequence(1, length({_DIGITS})), 0, (a, i) -> a + case when i % 2 = 1 then int(substring({_DIGITS}, -i, 1)) else int(substring({_DIGITS}, -i, 1)) * 2 - if(int(substring({_DIGITS}, -i, 1)) > 4, 9, 0) end) % 10 = 0",
+    "card": _let(_DIGITS, "d", "length(d) between 14 and 19 and aggregate(sequence(1, length(d)), 0, (a, i) -> a + case when i % 2 = 1 then int(substring(d, -i, 1)) else int(substring(d, -i, 1)) * 2 - if(int(substring(d, -i, 1)) > 4, 9, 0) end) % 10 = 0"),
     "phone": f"length({_DIGITS}) between 10 and 15",
 }
 
 
+def _before(spans: str, at: str, field: str = "start", test: str = "<") -> str:
+    """SQL for how many of some spans have a ``field`` before ``at``, by bisection. The spans of one pattern come in order and don't overlap."""
+    mid = "cast((r.lo + r.hi) div 2 as int)"
+    step = f"if(r.lo >= r.hi, r, if({spans}[{mid}].{field} {test} {at}, named_struct('lo', {mid} + 1, 'hi', r.hi), named_struct('lo', r.lo, 'hi', {mid})))"
+    return f"if(size({spans}) = 0, 0, aggregate(sequence(0, cast(ceil(log2(size({spans}) + 1)) as int)), named_struct('lo', 0, 'hi', size({spans})), (r, i) -> {step}, r -> r.lo))"
+
+
+def _last_end(spans: str, at: str) -> str:
+    """SQL for the end of the last of some spans that starts before ``at``; 0 without any."""
+    return _let(_before(spans, at), "k", f"if(k > 0, {spans}[k - 1].end, 0)")
+
+
+def _touches(c: str, lists: list[str]) -> str:
+    """SQL for: span ``c`` overlaps one of some lists' spans."""
+    return "(" + " or ".join(f"{_last_end(x, f'{c}.end')} > {c}.start" for x in lists) + ")"
+
+
 def _base() -> Column:
-    """All base spans by start, then kind."""
-    each = [f"transform(filter(__f_{k}, m -> {VALID[k]}), m -> named_struct('start', m.start, 'rank', {i}, 'end', m.end))" for i, k in enumerate(BASE)]
-    return F.expr(f"array_sort(concat({', '.join(each)}))").alias("__base")
+    """The base spans of each kind, in order."""
+    each = [f"'{k}', transform(filter(__f_{k}, m -> {VALID[k]}), m -> named_struct('start', m.start, 'rank', {i}, 'end', m.end))" for i, k in enumerate(BASE)]
+    return F.expr(f"named_struct({', '.join(each)})").alias("__base")
 
 
 def _candidates() -> Column:
-    """The generators' spans with their features."""
+    """The spans of each generator with their features and weak labels, in order."""
     each = []
     for g, (name, (kind, _)) in enumerate(GENERATORS.items()):
         ctx = "case " + " ".join(f"when lower(m.before) rlike '{p}' then {v}" for v, p in CONTEXT.items()) + " else 0 end"
@@ -127,27 +146,25 @@ def _candidates() -> Column:
             sep = "case when m.s rlike '[\"\\']' then 1 else 0 end" if name == "secret" else "0"
         rank = f"if(length({_DIGITS}) >= 13, {KINDS.index('card')}, {KINDS.index('phone')})" if name == "number" else KINDS.index(kind)
         groups = "least(6, size(split(m.s, '[^0-9]+')))" if name == "number" else "least(6, size(split(m.s, '[.]|dot')))" if name == "address" else "0"
-        each.append(f"""transform(__f_{name}, m -> named_struct('start', m.start, 'rank', {rank}, 'end', m.end,
+        weak = "m.s like '%[at]%' or m.s like '%(at)%'" if name == "address" else "m.s rlike '[0-9]' and m.s rlike '^[^:=]*+[:=][^a-zA-Z]*+[a-zA-Z]' and length(m.s) >= 20" if name == "secret" else "false"
+        each.append(f"""'{name}', transform(__f_{name}, m -> named_struct('start', m.start, 'rank', {rank}, 'end', m.end,
           'gen', {g}, 'digits', least(20, length({_DIGITS})), 'groups', {groups}, 'sep', {sep}, 'ctx', {ctx},
           'edge', cast(m.after rlike '[A-Za-z0-9@]' as int), 'size', {'least(8, length(m.s) div 8)' if name == 'secret' else '0'},
-          'weak', {"m.s like '%[at]%' or m.s like '%(at)%'" if name == 'address' else "m.s rlike '[0-9]' and m.s rlike '^[^:=]*+[:=][^a-zA-Z]*+[a-zA-Z]' and length(m.s) >= 20" if name == 'secret' else 'false'}))""")
+          'y', {weak} or {_touches('m', [f'base.{k}' for k in BASE])}))""")
     each = [x.replace("\\W", "\\\\W") for x in each]
-    return F.expr(f"concat({', '.join(each)})").alias("__cand")
+    return F.expr(_let("__base", "base", f"named_struct({', '.join(each)})")).alias("__cand")
 
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with base spans in ``__base`` and candidates in ``__cand``; null texts are empty."""
+    """``docs`` with base spans by kind in ``__base`` and candidates by generator in ``__cand``; null texts are empty."""
     own = docs.columns
     names = {**PATTERNS, **{g: p for g, (_, p) in GENERATORS.items()}}
     df = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
     df = df.select(*own, "__t", *[_marked(k, p) for k, p in names.items()])
     df = df.select("*", *[F.transform(f"__p_{k}", F.length).alias(f"__n_{k}") for k in names])
     df = df.select(*own, "__t", *[_found(k) for k in names])
-    df = df.select(*own, "__t", _base(), _candidates())
-    return df.withColumn("__cand", F.expr(_LABELLED))
-
-
-_LABELLED = "transform(__cand, c -> named_struct('start', c.start, 'rank', c.rank, 'end', c.end, " + ", ".join(f"'{f}', c.{f}" for f in FEATURES) + ", 'y', c.weak or exists(__base, b -> b.start < c.end and b.end > c.start)))"
+    df = df.select(*own, "__t", *[f"__f_{g}" for g in GENERATORS], _base())
+    return df.select(*own, "__t", "__base", _candidates())
 
 
 class Forest:
@@ -218,18 +235,29 @@ class Forest:
 
 def learn(scan: DataFrame) -> Forest:
     """Trees from the counts of all candidates' feature vectors and EXAMPLES; the driver gets one row for each vector, at most the product of the bins."""
+    every = F.concat(*[F.col(f"__cand.{g}") for g in GENERATORS])
     # explode_outer: for explode Spark infers a filter that works the candidates out again
-    rows = scan.select(F.explode_outer("__cand").alias("c")).where("c is not null").groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count_if("c.y").alias("pos"), F.count_if(~F.col("c.y")).alias("neg"))
+    rows = scan.select(F.explode_outer(every).alias("c")).where("c is not null").groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES]).agg(F.count_if("c.y").alias("pos"), F.count_if(~F.col("c.y")).alias("neg"))
     got = sorted((tuple(int(r[f]) for f in FEATURES), int(r.pos), int(r.neg)) for r in rows.collect())
     return Forest(sorted([*got, *EXAMPLES]))
 
 
 def selected(scan: DataFrame, forest: Forest) -> DataFrame:
-    """``scan`` with ``__spans``: base spans, and chosen candidates that overlap no base span and no better candidate."""
-    scored = "transform(__cand, c -> named_struct('start', c.start, 'rank', c.rank, 'end', c.end, 'gen', c.gen, 'score', " + forest.score() + "))"
-    df = scan.withColumn("__cand", F.expr(f"filter({scored}, c -> ({forest.chosen()}) and not exists(__base, b -> b.start < c.end and b.end > c.start))"))
-    better = "filter(__cand, c -> not exists(__cand, d -> d.start < c.end and d.end > c.start and (d.score > c.score or d.score = c.score and (d.start < c.start or d.start = c.start and d.gen < c.gen))))"
-    return df.withColumn("__spans", F.expr(f"array_sort(concat(__base, transform({better}, c -> named_struct('start', c.start, 'rank', c.rank, 'end', c.end))))"))
+    """``scan`` with ``__spans``: base spans, and in ``__picked`` (by generator) chosen candidates that overlap no base span and no better candidate."""
+    scored = []
+    for g in GENERATORS:
+        fits = f"({forest.chosen()}) and not {_touches('c', [f'base.{k}' for k in BASE])}"
+        scored.append(f"'{g}', filter(transform(cand.{g}, c -> named_struct('start', c.start, 'rank', c.rank, 'end', c.end, 'gen', c.gen, 'score', {forest.score()})), c -> {fits})")
+    df = scan.withColumn("__cand", F.expr(_let("struct(__base as base, __cand as cand)", "v", f"named_struct({', '.join(scored)})".replace("base.", "v.base.").replace("cand.", "v.cand."))))
+    picked = []
+    for g in GENERATORS:
+        # of another generator's spans those that overlap are a stretch; all of these stretches together are no longer than both lists
+        better = "d.score > c.score or d.score = c.score and (d.start < c.start or d.start = c.start and d.gen < c.gen)"
+        beaten = [_let(f"named_struct('k', {_before(f'v.{o}', 'c.end')}, 'j', {_before(f'v.{o}', 'c.start', 'end', '<=')})", "z", f"z.k > z.j and exists(slice(v.{o}, z.j + 1, z.k - z.j), d -> {better})") for o in GENERATORS if o != g]
+        picked.append(f"'{g}', transform(filter(v.{g}, c -> not ({' or '.join(beaten)})), c -> named_struct('start', c.start, 'rank', c.rank, 'end', c.end))")
+    df = df.withColumn("__picked", F.expr(_let("__cand", "v", f"named_struct({', '.join(picked)})")))
+    every = ", ".join([f"__base.{k}" for k in BASE] + [f"__picked.{g}" for g in GENERATORS])
+    return df.withColumn("__all_base", F.expr("array_sort(concat(" + ", ".join(f"__base.{k}" for k in BASE) + "))")).withColumn("__spans", F.expr(f"array_sort(concat({every}))"))
 
 
 def _joined(spans: str) -> Column:
@@ -245,8 +273,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     scan = scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     df = selected(scan, learn(scan))
-    counts = [F.expr(f"cast(size(filter(__base, b -> b.rank = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return df.select("doc_id", *counts, F.sha2(_joined("__base"), 256).alias("base_sha256"), _joined("__spans").alias("spans"))
+    counts = [F.size(f"__base.{k}").cast("long").alias(f"n_{k}") for k in BASE]
+    return df.select("doc_id", *counts, F.sha2(_joined("__all_base"), 256).alias("base_sha256"), _joined("__spans").alias("spans"))
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -258,9 +286,15 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     scan = scanned(docs, text_col)
     df = selected(scan, learn(scan))
     labels = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    text = F.expr(f"""case when size(__spans) = 0 then __t else aggregate(__spans, named_struct('at', 0, 'out', ''), (a, s) ->
-      if(s.end <= a.at, a, named_struct('at', s.end, 'out', concat(a.out, substring(__t, a.at + 1, greatest(0, s.start - a.at)), {labels}[s.rank]))),
-      a -> concat(a.out, substring(__t, a.at + 1))) end""")
+    # each span follows what lies between it and the furthest end of the spans before it; the text is cut into pieces once
+    lists = [(f"v.b.{k}", i) for i, k in enumerate(BASE)] + [(f"v.p.{g}", len(KINDS)) for g in GENERATORS]
+    at = "greatest(0, " + ", ".join(_last_end(x, f"s.start + if({i} < s.rank, 1, 0)") for x, i in lists) + ")"
+    piece = lambda x, y: f"if({y} > {x}, array_join(transform(sequence(cast({x} div {PIECE} as int), cast(({y} - 1) div {PIECE} as int)), q -> substring(v.t[q], greatest({x} - q * {PIECE}, 0) + 1, least({y} - q * {PIECE}, {PIECE}) - greatest({x} - q * {PIECE}, 0))), ''), '')"
+    one = _let(at, "at", f"if(s.end <= at, '', concat({piece('at', 's.start')}, {labels}[s.rank]))")
+    end = "greatest(" + ", ".join(_last_end(x, "v.n + 1") for x, _ in lists) + ")"
+    whole = f"concat(array_join(transform(v.s, s -> {one}), ''), {_let(end, 'at', piece('at', 'v.n'))})"
+    held = f"named_struct('t', regexp_extract_all(__t, '(?s).{{1,{PIECE}}}', 0), 'n', length(__t), 's', __spans, 'b', __base, 'p', __picked)"
+    text = F.expr(f"case when size(__spans) = 0 then __t else {_let(held, 'v', whole)} end")
     df = df.withColumn("__t", F.when(F.col(text_col).isNotNull(), text))
     size = F.when(F.size("__spans") > 0, F.length("__t")).otherwise(F.col("n_chars")) if "n_chars" in own else None
     return df.select(*[F.col("__t").alias(c) if c == text_col else size.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in own])
