@@ -6,26 +6,34 @@ by word it tracks the longest run that ends at each word; a run of
 hashes cut a document down to stretches in which every pair of neighbouring
 words is a pair of some item, as only these can hold an occurrence.
 
-An automaton takes at most ``AUTOMATON_WORDS`` words of items (some 500 bytes
-of memory each); a larger benchmark is split into several automata and the
-documents pass by one after the other.
+One automaton takes ``AUTOMATON_WORDS`` words of items at most, some 500
+bytes of memory each. A benchmark of no more words, counted first, is one
+automaton that every task has. A larger one is dealt into groups: stretches of
+documents meet the groups that hold one of their windows by a join of window
+hashes, each group's automaton is built in the task that reads them, and only
+a filter of ``FILTER_BITS`` bits goes to all tasks.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import kernels as K
-from plumbline.session import table
+from plumbline.session import cut, table
 
 WINDOW = 10
 AUTOMATON_WORDS = 200_000
+#: Bits of the filter of word pairs for a benchmark of several groups; stretches that one task reads by one automaton.
+FILTER_BITS, STRETCHES = 1 << 26, 20_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -131,19 +139,12 @@ class Automaton:
 
     def stretches(self, hashes: np.ndarray) -> list[tuple[int, int]]:
         """Ranges of words outside which no occurrence can lie."""
-        n = len(hashes)
-        if n < self.least:
+        if len(hashes) < self.least:
             return []
-        both = np.zeros(n + 1, bool)  # word i and the next are a pair of some item
-        if n > 1 and len(self.pairs):
-            p = _pairs(hashes)
-            some = np.flatnonzero(self.filter[(p >> K.U(42)).astype(np.int64)])
-            at = np.minimum(np.searchsorted(self.pairs, p[some]), len(self.pairs) - 1)
-            both[1 + some[self.pairs[at] == p[some]]] = True
-        edge = np.diff(both.astype(np.int8))
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(np.append(edge, -both[-1].astype(np.int8)) == -1)
-        need = max(2, min(self.least if self.least > 1 else 2, self.window))
-        out = [(int(a), int(b) + 1) for a, b in zip(start, end, strict=True) if b + 1 - a >= need]
+        p = _pairs(hashes) if len(self.pairs) else np.zeros(0, np.uint64)
+        some = np.flatnonzero(self.filter[(p >> K.U(42)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.pairs, p[some]), max(0, len(self.pairs) - 1))
+        out = _runs(some[self.pairs[at] == p[some]], len(hashes), min(self.least, self.window))
         if len(self.one_word):
             out += [(int(i), int(i) + 1) for i in np.flatnonzero(np.isin(hashes, self.one_word))]
         return out
@@ -160,23 +161,164 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return K.mix(h[:-1] * k[0] + h[1:] * k[1])
 
 
-def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, most: int = AUTOMATON_WORDS) -> list:
-    """Broadcast automata over all items, each of about ``most`` words at most. Items stream to the driver one partition at a time."""
-    sc, out, part, size = benchmark.sparkSession.sparkContext, [], [], 0
-    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
-        ws = words_of(row.t)
-        if part and size + len(ws) > most:
-            out.append(sc.broadcast(Automaton(part, window)))
-            part, size = [], 0
-        part.append((row.i, ws))
-        size += len(ws)
-    if part:
-        out.append(sc.broadcast(Automaton(part, window)))
-    return out
+def _runs(pairs: np.ndarray, n: int, least: int) -> list[tuple[int, int]]:
+    """Ranges of at least ``least`` (and two) of ``n`` words in which every two neighbours are among ``pairs``, given by the first's place."""
+    both = np.zeros(n + 1, bool)  # word i - 1 and word i are a pair
+    both[1 + pairs] = True
+    edge = np.diff(both.astype(np.int8))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(np.append(edge, -both[-1].astype(np.int8)) == -1)
+    return [(int(a), int(b) + 1) for a, b in zip(start, end, strict=True) if b + 1 - a >= max(2, least)]
 
 
-def matched(column: pa.Array, machines: list[Automaton]):
+def _grams(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` words in a row."""
+    k = K.constants(n, 43)
+    m = len(h) - n + 1
+    return K.mix(sum((h[j : j + m] * k[j] for j in range(n)), K.U(n))) if m > 0 else np.zeros(0, np.uint64)
+
+
+@dataclass(frozen=True)
+class Items:
+    """A benchmark made ready: one automaton for all tasks, or, beyond its size, parts of items by group with a filter of their word pairs."""
+
+    window: int
+    machine: Broadcast | None = None
+    parts: DataFrame | None = None
+    grams: DataFrame | None = None
+    bits: Broadcast | None = None
+    lengths: tuple[int, ...] = ()
+
+
+def prepared(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, most: int = AUTOMATON_WORDS) -> Items:
+    """The items made ready to be looked for. Their words are counted first; only a benchmark of at most ``most`` comes to the driver.
+
+    Null texts and ids take no part. Items of any length are cut into parts
+    that share ``window`` - 1 words with the next, so no window is lost.
+    """
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
+    total = rows.agg(F.sum(F.regexp_count("text", F.lit(WORD.pattern)))).first()[0] or 0
+    sc = benchmark.sparkSession.sparkContext
+    if total <= most:
+        return Items(window, sc.broadcast(Automaton([(r.item, words_of(r.text)) for r in rows.collect()], window)))
+    size, groups = max(most // 8, 2 * window), -(-2 * total // most)
+
+    def cut_up(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ws = words_of(text)
+                out += [(item, ws[i : i + size]) for i in range(0, max(1, len(ws) - window + 1), size - window + 1)] if ws else []
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.string()))], names=["item", "words"])
+
+    parts = rows.mapInArrow(cut_up, "item string, words array<string>").withColumn("group", F.pmod(F.xxhash64("item", "words"), F.lit(groups)))
+    parts = cut(parts)
+    lengths = tuple(sorted(r.n for r in parts.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()))
+
+    def keys(batches):
+        for batch in batches:
+            for ws, group in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                h = _hashes(ws)
+                gram, pair = np.unique(_grams(h, min(len(ws), window))).view(np.int64), np.unique(_pairs(h)).view(np.int64)
+                kinds = np.repeat(["gram", "pair"], [len(gram), len(pair)])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(np.concatenate([gram, pair])), pa.array(np.full(len(kinds), group, np.int64))], names=["kind", "hash", "group"])
+
+    hashed = cut(parts.select("item", "words", "group").mapInArrow(keys, "kind string, hash long, group long"))
+    bit = f"pmod(hash, {FILTER_BITS})"
+    filled = hashed.where("kind = 'pair'").select(F.expr(f"{bit} div 64").alias("at"), F.expr(f"shiftleft(1L, cast({bit} % 64 as int))").alias("b")).groupBy("at").agg(F.bit_or("b").alias("b"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in filled.toLocalIterator():  # FILTER_BITS / 64 rows at most
+        bits[r["at"]] = r.b
+    return Items(window, None, parts, hashed.where("kind = 'gram'").select("hash", "group").distinct(), sc.broadcast(bits), lengths)
+
+
+def _stretches(column: pa.Array, lengths: tuple[int, ...], bits: np.ndarray):
+    """(row, first word, words, gram hashes) of the stretches of a text column that may hold an occurrence."""
+    buf, at = K.utf8(column)
+    for lo, hi in K.chunks(at):
+        part, own = buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        starts, ends, first = K.words(part, own, K.ALNUM)
+        hashes = K.word_hashes(part, starts, ends)
+        for d in range(hi - lo):
+            a, b = first[d], first[d + 1]
+            h = hashes[a:b]
+            pos = _pairs(h).view(np.int64) % FILTER_BITS if b - a > 1 else np.zeros(0, np.int64)
+            runs = _runs(np.flatnonzero((bits[pos >> 6] >> (pos & 63)) & 1), int(b - a), min(lengths))
+            if 1 in lengths:  # any word may be an item
+                runs = [(0, int(b - a))] if b > a else []
+            for x, y in runs:
+                ws = [bytes(part[starts[a + i] : ends[a + i]]).decode().translate(LOWER) for i in range(x, y)]
+                yield lo + d, x, ws, np.unique(np.concatenate([_grams(h[x:y], n) for n in lengths])).view(np.int64)
+
+
+def _row_key(*columns: str):
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(29), *columns).alias("b"))
+
+
+def _met(docs: DataFrame, items: Items) -> DataFrame:
+    """``docs`` (with ``text``) and ``__ranges``, ``__items``: ranges of words inside occurrences, and the items, by joins with the groups of a large benchmark."""
+    keyed = docs.withColumn("__key", _row_key("text"))
+    filled, lengths, window = items.bits, items.lengths, items.window
+
+    def run(batches):
+        bits = filled.value
+        for batch in batches:
+            rows = list(_stretches(batch.column(1), lengths, bits))
+            keys = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["key", "first", "words", "grams"])
+
+    kind = keyed.schema["__key"].dataType
+    found = keyed.where("text is not null").select(F.col("__key").alias("key"), "text").mapInArrow(run, T.StructType([T.StructField("key", kind), T.StructField("first", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("grams", T.ArrayType(T.LongType()))]))
+    found = cut(found)
+    which = found.select("key", "first", F.explode("grams").alias("hash")).join(items.grams, "hash").select("key", "first", "group").distinct()
+    # equal texts are read once; a group that many stretches meet is dealt to several tasks
+    which = cut(which)
+    salts = which.groupBy("group").agg(F.ceil(F.count("*") / STRETCHES).cast("int").alias("salts"))
+    left = which.join(salts, "group").withColumn("salt", F.pmod(F.xxhash64("key", "first"), F.col("salts")).cast("int")).drop("salts")
+    left = left.join(found.dropDuplicates(["key", "first"]).drop("grams"), ["key", "first"]).select("group", "salt", "key.a", "key.b", "first", "words")
+    right = items.parts.join(salts, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "item", "words")
+
+    def read(stretch, part):
+        out = []
+        if len(stretch) and len(part):
+            machine = Automaton([(i, list(w)) for i, w in zip(part["item"], part["words"], strict=True)], window)
+            for a, b, first, ws in zip(stretch["a"], stretch["b"], stretch["first"], stretch["words"], strict=True):
+                hit, names = np.zeros(len(ws), bool), set()
+                machine.read(list(ws), hit, names)
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
+                if len(edge):
+                    out.append((a, b, (edge[::2] + first).tolist(), (edge[1::2] + first).tolist(), sorted(names)))
+        return pd.DataFrame(out, columns=["a", "b", "starts", "ends", "names"])
+
+    hits = left.groupBy("group", "salt").cogroup(right.groupBy("group", "salt")).applyInPandas(read, "a long, b long, starts array<long>, ends array<long>, names array<string>")
+    hits = hits.groupBy("a", "b").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("__ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("__items"))
+    hits = cut(hits.select(F.struct("a", "b").alias("__key"), "__ranges", "__items"))
+    return keyed.join(hits, "__key", "left").drop("__key")
+
+
+def matched(column: pa.Array, machine: Automaton):
     """(number of words, marked words or None, items, word starts, word ends) of each text of a column."""
+    for n, starts, ends, hashes, part in _worded(column):
+        hit, found = None, set()
+        for x, y in machine.stretches(hashes):
+            ws = [bytes(part[starts[i] : ends[i]]).decode().translate(LOWER) for i in range(x, y)]
+            hit = np.zeros(n, bool) if hit is None else hit
+            machine.read(ws, hit[x:y], found)
+        yield n, hit, found, starts, ends
+
+
+def _given(column: pa.Array, ranges: list, names: list):
+    """As ``matched``, from ranges of words that joins have found."""
+    for (n, starts, ends, _, _), own, items in zip(_worded(column), ranges, names, strict=True):
+        hit = None
+        if own:
+            hit = np.zeros(n, bool)
+            for r in own:
+                hit[r["starts"] : r["ends"]] = True
+        yield n, hit, set(items or ()), starts, ends
+
+
+def _worded(column: pa.Array):
+    """(number of words, their starts and ends in the text, their hashes, its bytes) of each text of a column."""
     buf, at = K.utf8(column)
     for lo, hi in K.chunks(at):
         part, own = buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
@@ -184,66 +326,78 @@ def matched(column: pa.Array, machines: list[Automaton]):
         hashes = K.word_hashes(part, starts, ends)
         for d in range(hi - lo):
             a, b = first[d], first[d + 1]
-            hit, found = None, set()
-            for m in machines:
-                for x, y in m.stretches(hashes[a:b]):
-                    ws = [bytes(part[starts[a + i] : ends[a + i]]).decode().translate(LOWER) for i in range(x, y)]
-                    hit = np.zeros(b - a, bool) if hit is None else hit
-                    m.read(ws, hit[x:y], found)
-            yield int(b - a), hit, found, starts[a:b] - own[d], ends[a:b] - own[d]
+            yield int(b - a), starts[a:b] - own[d], ends[a:b] - own[d], hashes[a:b], part[own[d] : own[d + 1]]
+
+
+def _looked_up(docs: DataFrame, items: Items, at: int, schema, finish) -> DataFrame:
+    """``finish(batch, matches)`` for each batch of ``docs``, whose column ``at`` is the text."""
+    machine = items.machine
+    if machine is not None:
 
+        def run(batches):
+            for batch in batches:
+                yield finish(batch, matched(batch.column(at), machine.value))
 
-def contamination(docs: DataFrame, machines: list, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        return docs.mapInArrow(run, schema)
+    width = len(docs.columns)
+
+    def joined(batches):
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
+            yield finish(own, _given(batch.column(at), batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()))
+
+    return _met(docs, items).mapInArrow(joined, schema)
+
+
+def contamination(docs: DataFrame, benchmark: Items, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit and items (ids as sorted strings) of each row; other columns aren't read."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def run(batches):
-        own = [m.value for m in machines]
-        for batch in batches:
-            got = [(n, 0 if hit is None else int(hit.sum()), sorted(found)) for n, hit, found, _, _ in matched(batch.column(1), own)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
+    def finish(batch, matches):
+        got = [(n, 0 if hit is None else int(hit.sum()), sorted(found)) for n, hit, found, _, _ in matches]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
 
     fields = [slim.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
-    return slim.mapInArrow(run, T.StructType(fields))
+    return _looked_up(slim, benchmark, 1, T.StructType(fields), finish)
 
 
-def cleaned(docs: DataFrame, machines: list, max_coverage: float = 0.5) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: Items, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without occurrences: marked words are cut out of texts, and rows go of which more than ``max_coverage`` is marked.
 
-    What is cut takes the characters between its words along. ``n_chars``, if
-    there, follows. All other columns and all other rows stay as they are.
+    * What is cut takes the characters between its words along. ``n_chars``,
+      if there, follows.
+    * Null, empty and wordless texts and all others without an occurrence stay
+      as they are; repeated rows get equal results; an empty table gives none.
     """
     names = docs.columns
     at, sized = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def run(batches):
-        own = [m.value for m in machines]
-        for batch in batches:
-            keep, changed = np.ones(batch.num_rows, bool), {}
-            for i, (n, hit, _, starts, ends) in enumerate(matched(batch.column(at), own)):
-                if hit is None or not hit.any():
-                    continue
-                keep[i] = hit.sum() <= max_coverage * n
-                raw, out, pos = batch.column(at)[i].as_py().encode(), [], 0
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
-                for x, y in zip(edge[::2], edge[1::2], strict=True):
-                    out.append(raw[pos : starts[x]])
-                    pos = ends[y - 1]
-                changed[i] = b"".join([*out, raw[pos:]]).decode()
-            columns = list(batch.columns)
-            if changed:
-                texts = columns[at].to_pylist()
+    def finish(batch, matches):
+        keep, changed = np.ones(batch.num_rows, bool), {}
+        for i, (n, hit, _, starts, ends) in enumerate(matches):
+            if hit is None or not hit.any():
+                continue
+            keep[i] = hit.sum() <= max_coverage * n
+            raw, out, pos = batch.column(at)[i].as_py().encode(), [], 0
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], hit, [0]))))
+            for x, y in zip(edge[::2], edge[1::2], strict=True):
+                out.append(raw[pos : starts[x]])
+                pos = ends[y - 1]
+            changed[i] = b"".join([*out, raw[pos:]]).decode()
+        columns = list(batch.columns)
+        if changed:
+            texts = columns[at].to_pylist()
+            for i, t in changed.items():
+                texts[i] = t
+            columns[at] = pa.array(texts, columns[at].type)
+            if sized is not None:
+                sizes = columns[sized].to_pylist()
                 for i, t in changed.items():
-                    texts[i] = t
-                columns[at] = pa.array(texts, columns[at].type)
-                if sized is not None:
-                    sizes = columns[sized].to_pylist()
-                    for i, t in changed.items():
-                        sizes[i] = len(t)
-                    columns[sized] = pa.array(sizes, columns[sized].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
+                    sizes[i] = len(t)
+                columns[sized] = pa.array(sizes, columns[sized].type)
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _looked_up(docs, benchmark, at, docs.schema, finish)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +407,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, text or id take no part; items that repeat an id count once;
     repeated rows get equal results.
     """
-    out = contamination(table(spark, sf_dir, "documents"), automata(table(spark, sf_dir, "benchmark")))
+    out = contamination(table(spark, sf_dir, "documents"), prepared(table(spark, sf_dir, "benchmark")))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
