@@ -16,8 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.running import deal, totals
-from plumbline.session import table
+from plumbline.operators.running import deal, totals
+from plumbline.session import cut, table
 
 LEVELS = ["domain", "lang", "source"]
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,8 +66,8 @@ def budgets(leaves: DataFrame, weights: dict[tuple, float], share: float, max_ep
     return up.select(*LEVELS, "tokens", F.floor(F.col("given") + 1e-6).cast("long").alias("target"))
 
 
-def chosen(docs: DataFrame, domain: Column, weights: dict[tuple, float], share: float = 0.6, max_epochs: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens, target and copies of the documents that are selected.
+def chosen(docs: DataFrame, domain: Column, weights: dict[tuple, float], share: float = 0.6, max_epochs: int = 2, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, target and copies of the documents that are selected, and ``key`` where one is given.
 
     * ``copies``: in how many epochs the document is.
     * Null, empty and blank texts have no tokens and are never selected.
@@ -76,16 +76,19 @@ def chosen(docs: DataFrame, domain: Column, weights: dict[tuple, float], share:
     * An empty table gives no rows; other columns of ``docs`` aren't read.
     """
     n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    slim = docs.select(F.col(id_col).alias("doc_id"), domain.alias("domain"), F.col("lang"), F.col("source"), n.alias("n_tokens")).where("n_tokens > 0")
+    more = [] if key is None else ["key"]
+    # written once, so that texts are read and counted once
+    slim = docs.select(F.col(id_col).alias("doc_id"), domain.alias("domain"), F.col("lang"), F.col("source"), n.alias("n_tokens"), *[key.alias("key") for _ in more])
+    slim = cut(slim).where("n_tokens > 0")
     plan = budgets(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), weights, share, max_epochs)
     plan = plan.select(*[F.col(c).alias(f"__{c}") for c in LEVELS], "target", F.floor(F.col("target") / F.col("tokens")).cast("int").alias("full"), "tokens")
     rows = slim.join(plan, reduce(lambda a, b: a & b, [slim[c].eqNullSafe(plan[f"__{c}"]) for c in LEVELS])).drop(*[f"__{c}" for c in LEVELS])
     rows = rows.withColumn("rest", F.col("target") - F.col("full") * F.col("tokens"))
     rows = rows.withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), "full", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    order = ["draw", "n_tokens"]
+    order = ["draw", "n_tokens", *more]
     rows = totals(deal(rows, LEVELS, order), LEVELS, order, {"running": (F.sum, lambda a, b: a + b, F.col("n_tokens"))})
     rows = rows.withColumn("copies", F.col("full") + (F.col("running") <= F.col("rest")).cast("int")).where("copies > 0")
-    return rows.select("doc_id", *LEVELS, "n_tokens", "target", "copies")
+    return rows.select("doc_id", *LEVELS, "n_tokens", "target", "copies", *more)
 
 
 #: Of the query and the pipeline: domains are made from the source's number, as ``documents`` has none.
@@ -100,12 +103,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The selected rows of ``docs`` as often as they are selected, with ``epoch`` from 0."""
-    picked = chosen(docs, F.expr(DOMAIN_SQL), WEIGHTS, SHARE, MAX_EPOCHS, SEED)
-    picked = picked.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    """The selected rows of ``docs`` as often as they are selected, with ``epoch`` from 0.
+
+    * Rows are told apart by all their columns, so rows without id or of one
+      id are selected each for itself, and the budget holds.
+    * Rows that are equal in all columns are selected each, too: what is
+      selected of them is counted, and one of them comes out so many times.
+    * Null, empty and blank texts are never selected; an empty table gives none.
+    """
     own = docs.columns
-    rows = docs.join(picked, docs["doc_id"].eqNullSafe(picked["__id"])).where(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) > 0)
-    return rows.select(*own, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("epoch"))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
+    # a null and the value after it mustn't hash as one
+    key = F.xxhash64(*[F.col(c) for c in hashed], F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in hashed]))
+    picked = chosen(docs, F.expr(DOMAIN_SQL), WEIGHTS, SHARE, MAX_EPOCHS, SEED, key=key)
+    picked = picked.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("copies").alias("__copies")).agg(F.count("*").alias("__rows"))
+    picked = cut(picked)
+    rows = docs.withColumn("__k", key)
+    if picked.where("__rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id", "__k"])
+    rows = rows.join(picked, (rows["__k"] == picked["__key"]) & rows["doc_id"].eqNullSafe(picked["__id"]))
+    rows = rows.select(*own, "__rows", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("epoch"))
+    return rows.select(*own, "epoch", F.explode(F.sequence(F.lit(1), F.col("__rows"))).alias("__n")).drop("__n")
 
 
 def _oracle() -> str:
