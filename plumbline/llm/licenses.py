@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,10 @@ from plumbline.session import table
 
 #: Equivalent spellings.
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("authorised", "authorized"), ("favour", "favor"), ("behaviour", "behavior"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("https://", "http://"))
-#: A line that states a copyright: it has a year, (c) or the sign after the word, or nothing but "all rights reserved".
-COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright[^\na-z0-9]*(\(c\)|©|[0-9]{4})[^\n]*|©[^\n]*|\(c\)[^\na-z]*[0-9]{4}[^\n]*|all rights reserved[^\na-z0-9]*)"
+#: A line that states a copyright: it starts with the word and has a year, (c), the sign or a place for a name after it, or has nothing but "all rights reserved".
+COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright[^\n]*(\(c\)|©|[0-9]{4})[^\n]*|copyright[^\na-z0-9]*[<{\[][^\n]*|©[^\n]*|\(c\)[^\na-z]*[0-9]{4}[^\n]*|all rights reserved[^\na-z0-9]*)"
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
-#: One-line notices and what they grant.
+#: One-line notices and what they grant; a line is one if its canonical digest is that of the notice.
 NOTICES = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
     "Released under the MIT License.": "MIT",
@@ -35,30 +36,25 @@ NOTICES = {
     "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
     "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause",
 }
-#: Whole licences.
-TEXTS = {
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
-    "WTFPL": """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.
-DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
-0. You just DO WHAT THE FUCK YOU WANT TO.""",
-}
+#: Whole licences as their publishers give them: NAME.txt, and NAME~variant.txt for another wording.
+FOLDER = Path(__file__).parent / "licences"
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+TITLE_WORDS = 16
+
+
+def texts() -> list[tuple[str, str]]:
+    """(name, text) of all known whole licences, with and without their title and what follows their terms."""
+    return [(path.stem.partition("~")[0], v) for path in sorted(FOLDER.glob("*.txt")) for v in variants(path.read_text(encoding="utf-8"))]
+
+
+def variants(text: str) -> list[str]:
+    """A licence as it is; without its title, which is a first paragraph of few words that is no sentence; and both without the appendix behind the end of its terms."""
+    out = [text]
+    title, _, rest = text.strip().partition("\n\n")
+    if len(title.split()) <= TITLE_WORDS and not title.endswith(".") and rest:
+        out.append(rest)
+    return out + [t[: t.index(END_OF_TERMS) + len(END_OF_TERMS)] for t in out if END_OF_TERMS in t] + [t[: t.index(END_OF_TERMS)] for t in out if END_OF_TERMS in t]
 
-#: Digests of further licences' canonical forms, with and without their title line.
-DIGESTS = {
-    "0cf21bdfd1964a97a8615e128534845826afbc887edc95aa5c925cbf64386b5c": "MIT",
-    "35a446201226de6b27cfb7106d0f6c697f63bfeac2913dcf89024911e66ef164": "MIT",
-    "6c833965e9ca4cf8095655005226f24fe8bf7b1605dbe513204837a7371fa127": "MIT",
-    "e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229": "Unlicense",
-    "f172f90a892d869d5d840d5f4363218a9b21bdb1bd3925ba9c752d1660134fee": "ISC",
-    "447686a56472ea2e9713ca89034ee666e6646bd1a33eba38690cb875708663e2": "BSD-2-Clause",
-}
 
 def _lines(text: Column) -> Column:
     """A text in canonical form with its lines kept apart."""
@@ -77,11 +73,15 @@ def plain(text: str) -> str:
     return re.sub("[ \n]+", " ", t).strip(" ")
 
 
-def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license) of known licences; a larger collection may be any table of these two columns."""
-    rows = list(DIGESTS.items()) if texts is None else [(hashlib.sha256(plain(t).encode()).hexdigest(), name) for name, t in texts.items()]
-    rows += [(hashlib.sha256(plain(t).encode()).hexdigest(), name) for name, t in TEXTS.items()] if texts is None else []
-    return spark.createDataFrame(rows, "digest string, license string")
+def digest(text: str) -> str:
+    """The canonical digest of one known licence or notice."""
+    return hashlib.sha256(plain(text).encode()).hexdigest()
+
+
+def known(spark: SparkSession, licences: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license) of (name, text) pairs, by default of ``texts``; a larger collection may be any table of these two columns."""
+    rows = {(digest(text), name) for name, text in (texts() if licences is None else licences)}
+    return spark.createDataFrame(sorted(rows), "digest string, license string")
 
 
 def scanned(docs: DataFrame, licenses: DataFrame, notices: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,9 +97,9 @@ def scanned(docs: DataFrame, licenses: DataFrame, notices: dict[str, str] | None
     lined = F.regexp_replace("__t", PUNCTUATION, " ")
     bare = F.when(F.contains("__t", F.lit("copyright")) | F.contains("__t", F.lit("©")) | F.contains("__t", F.lit("(c)")) | F.contains("__t", F.lit("all rights reserved")), F.regexp_replace(F.regexp_replace("__t", COPYRIGHT, "\n"), PUNCTUATION, " ")).otherwise(lined)
     df = df.select("doc_id", "__t", F.sha2(F.trim(F.regexp_replace(bare, "[ \n]+", " ")), 256).alias("digest"))
-    grants = {plain(k): v for k, v in (NOTICES if notices is None else notices).items()}
+    grants = {digest(k): v for k, v in (NOTICES if notices is None else notices).items()}
     names = F.create_map(*[F.lit(x) for kv in grants.items() for x in kv])
-    own = F.transform(F.filter(F.split("__t", "\n"), lambda line: F.contains(line, F.lit("license"))), lambda line: names[F.trim(F.regexp_replace(F.regexp_replace(line, PUNCTUATION, " "), " +", " "))])
+    own = F.transform(F.filter(F.split("__t", "\n"), lambda line: F.contains(line, F.lit("license"))), lambda line: names[F.sha2(F.trim(F.regexp_replace(F.regexp_replace(line, PUNCTUATION, " "), " +", " ")), 256)])
     found = F.array_join(F.array_sort(F.array_distinct(F.filter(own, lambda x: x.isNotNull()))), ",")
     df = df.select("doc_id", "digest", F.when(F.contains("__t", F.lit("license")), found).otherwise(F.lit("")).alias("notices"))
     one = licenses.groupBy("digest").agg(F.min("license").alias("license"))
@@ -116,12 +116,14 @@ def _oracle() -> str:
     t = "lower(coalesce(text, ''))"
     for a, b in SPELLINGS:
         t = f"replace({t}, {quoted(a)}, {quoted(b)})"
-    lic = ", ".join(f"({quoted(hashlib.sha256(plain(x).encode()).hexdigest())}, {quoted(n)})" for n, x in TEXTS.items()) + "".join(f", ({quoted(k)}, {quoted(v)})" for k, v in DIGESTS.items())
-    note = ", ".join(f"({quoted(plain(k))}, {quoted(v)})" for k, v in NOTICES.items())
+    lic = ", ".join(f"({quoted(x)}, {quoted(n)})" for n, x in texts())
+    note = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in NOTICES.items())
+    canon = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '{COPYRIGHT}', chr(10), 'g'), '{PUNCTUATION}', ' ', 'g'), '[ \n]+', ' ', 'g'), ' ')"
     return rf"""
-WITH lic(digest, license) AS (VALUES {lic}), note(line, grants) AS (VALUES {note}),
+WITH known(text, license) AS (VALUES {lic}), notice(text, grants) AS (VALUES {note}),
+lic AS (SELECT sha256({canon(t)}) AS digest, min(license) AS license FROM known GROUP BY 1), note AS (SELECT DISTINCT {canon(t)} AS line, grants FROM notice),
 d AS (SELECT doc_id, {t} AS t FROM documents),
-g AS (SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(t, '{COPYRIGHT}', chr(10), 'g'), '{PUNCTUATION}', ' ', 'g'), '[ \n]+', ' ', 'g'), ' ')) AS digest FROM d),
+g AS (SELECT doc_id, sha256({canon('t')}) AS digest FROM d),
 l AS (SELECT doc_id, trim(regexp_replace(regexp_replace(unnest(string_split(t, chr(10))), '{PUNCTUATION}', ' ', 'g'), ' +', ' ', 'g'), ' ') AS line FROM d),
 n AS (SELECT doc_id, string_agg(DISTINCT grants, ',' ORDER BY grants) AS notices FROM l JOIN note USING (line) GROUP BY doc_id)
 SELECT doc_id, g.digest, license, coalesce(notices, '') AS notices FROM g LEFT JOIN lic USING (digest) LEFT JOIN n USING (doc_id)
