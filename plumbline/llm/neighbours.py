@@ -59,14 +59,17 @@ def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
     for j in range(0, q.shape[1], EXACT_COLUMNS):  # whole numbers below 2**24: exact
         dot += qc[:, j : j + EXACT_COLUMNS].astype(np.float32) @ cc[:, j : j + EXACT_COLUMNS].astype(np.float32).T
     qn, cn = (np.square(x.astype(np.float64)).sum(1) for x in (qc, cc))
-    near = (qs**2 * qn)[:, None] + (cs**2 * cn)[None] - 2 * qs[:, None] * cs[None] * dot
-    slack = 1e-9 * np.sqrt((qs**2 * qn)[:, None] + (cs**2 * cn)[None])
-    near = np.sqrt(np.maximum(near, 0))
-    error = qe[:, None] + ce[None] + slack + 1e-6 * near
+    norms = (qs**2 * qn)[:, None] + (cs**2 * cn)[None]
+    square = norms - 2 * qs[:, None] * cs[None] * dot
+    # a difference of squares: its rounding error is in proportion to the norms, so near 0 that of its root is a 1e-7th of these
+    loose = 16 * np.finfo(np.float64).eps * norms
+    error = qe[:, None] + ce[None] + 1e-12 * np.sqrt(norms)
+    low = np.sqrt(np.maximum(square - loose, 0)) * (1 - 1e-12) - error
+    high = np.sqrt(np.maximum(square, 0) + loose) * (1 + 1e-12) + error
     same = qid[:, None] == cid[None]
-    high = np.where(same, np.inf, near + error)
+    high = np.where(same, np.inf, high)
     limit = np.partition(high, k - 1, axis=1)[:, k - 1] if len(c) > k else np.full(len(q), np.inf)
-    row, col = np.nonzero(~same & (near - error <= limit[:, None]))
+    row, col = np.nonzero(~same & (low <= limit[:, None]))
     dist = np.empty(len(row))
     for i in range(0, len(row), PAIRS):
         dist[i : i + PAIRS] = _distance(q[row[i : i + PAIRS]], c[col[i : i + PAIRS]])
