@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from plumbline.llm import kernels as K
-from plumbline.session import table
+from plumbline.session import cut, table
 
 WINDOW, PASSAGE, HIDDEN = 64, 512, 8
-#: The most frequent languages are learnt, up to so many.
-LANGUAGES = 1000
+#: So many languages' counts are sent to all executors; more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 #: Windows that are labelled together.
 BATCH = 2048
 LETTER = np.zeros(256, np.float32)
@@ -241,11 +241,12 @@ def sample(docs: DataFrame, per_lang: int = 400, id_col: str = "doc_id", text_co
     """One passage each of up to ``per_lang`` documents of each language, chosen by the hash of their id.
 
     This alone comes to the driver: ``per_lang`` passages of ``PASSAGE``
-    characters for each of at most ``LANGUAGES`` languages.
+    characters for each language that ``lang_col`` names.
     """
     slim = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and i is not null")
-    # bounded, so that it may be broadcast: a shuffle by language would bring the largest one's texts into one task
-    sizes = F.broadcast(slim.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES))
+    # broadcast where few: a shuffle by language would bring the largest one's texts into one task
+    sizes = cut(slim.groupBy("l").count())
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
     draw = F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1 << 31))
     some = slim.join(sizes, "l").where(draw * F.col("count") < F.lit(float(2 * per_lang) * (1 << 31)))
     at = F.pmod(F.xxhash64("i", F.lit(6)), F.greatest(F.length("t") - PASSAGE + 1, F.lit(1))) + 1
