@@ -2,9 +2,9 @@
 
 Features are the presence of a text's words and of their first ``STEMS``
 bytes (inflected words share these), hashed into ``BUCKETS``. The loss is the weighted cross entropy of labelled texts, plus ``FAIRNESS`` times
-the squared change of the score when identity terms are swapped for other
-terms of their group. Texts without identity terms get one put in beside the
-swap, so that a neutral mention alone can't move a score either.
+the squared change of the score when identity terms, with their stems, are
+swapped for other terms of their group. Each text also gets one more term put
+in, so that a neutral mention alone can't move a score either.
 
 The classifier is fitted in numpy on a bounded sample (``per_class`` texts of
 each label, none of over ``LONGEST`` characters); whole texts are scored.
@@ -67,11 +67,44 @@ def buckets(column: pa.Array, weights: np.ndarray | None = None):
         yield lo, pair % BUCKETS, np.searchsorted(pair, np.arange(hi - lo + 1) * BUCKETS)
 
 
-def _bucket(words: list[str]) -> np.ndarray:
-    """The bucket of each of these words."""
-    buf = np.frombuffer(" ".join(words).encode(), np.uint8)
-    starts, ends, _ = K.words(buf, np.array([0, len(buf)]), K.ALNUM)
-    return (K.word_hashes(buf, starts, ends) >> K.U(44)).astype(np.int64)
+def _hashed(column: pa.Array):
+    """For each text its words' buckets (1 + stems, words); -1 where a word isn't longer than the stem."""
+    buf, at = K.utf8(column)
+    for lo, hi in K.chunks(at):
+        part, own = buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+        starts, ends, first = K.words(part, own, K.ALNUM)
+        hashes = K.word_hashes(part, starts, ends, STEMS)
+        rows = np.where(hashes != 0, (hashes >> K.U(44)).astype(np.int64), -1)
+        for d in range(hi - lo):
+            yield rows[:, first[d] : first[d + 1]]
+
+
+def _members(rows: np.ndarray) -> set[int]:
+    """The buckets of some words and of their stems."""
+    return set(rows[rows >= 0].tolist())
+
+
+def counterfactual(rows: np.ndarray, groups: list[list[tuple[int, set[int]]]], of: dict[int, int], rng: np.random.Generator) -> tuple[set[int], set[int]]:
+    """(buckets that go, buckets that come) when every identity term of a text is swapped for another of its group and one more is put in.
+
+    A term's buckets are those of the word and its stems; what the rest of
+    the text still has doesn't go, and what it has already doesn't come.
+    """
+    has = {int(t) for t in rows[0] if int(t) in of}
+    rest = _members(rows[:, [int(t) not in has for t in rows[0]]]) if has else _members(rows)
+    gone, come = _members(rows) - rest, set()
+    for t in sorted(has):
+        other = [own for x, own in groups[of[t]] if x not in has]
+        if other:
+            come |= other[rng.integers(len(other))]
+        else:
+            gone -= next(own for x, own in groups[of[t]] if x == t)
+    group = groups[rng.integers(len(groups))]
+    x, own = group[rng.integers(len(group))]
+    if x not in has:
+        come |= own
+    come -= rest
+    return gone - come, come - gone - (_members(rows) - gone)
 
 
 def sums(weights: np.ndarray, word: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -107,29 +140,21 @@ class Classifier:
         size = np.concatenate([np.diff(e) for _, _, e in parts])
         ends, row = np.concatenate(([0], np.cumsum(size))), np.repeat(np.arange(len(y)), size)
         used = informative(word, y[row], y)
-        # identity terms among the columns; each text's counterfactual: which columns come in and go
-        terms = [[t for t in _bucket(list(g))] for g in IDENTITIES]
-        group = {t: g for g, ts in enumerate(terms) for t in ts}
-        used = np.unique(np.concatenate([used, np.array(sorted(group))]))
+        # each text's counterfactual: which columns come in and go
+        words = [[(int(r[0, 0]), _members(r)) for r in _hashed(pa.array(list(g), pa.large_string()))] for g in IDENTITIES]
+        of = {t: g for g, own in enumerate(words) for t, _ in own}
+        used = np.unique(np.concatenate([used, np.array(sorted(set().union(*[own for g in words for _, own in g])))]))
         col = np.searchsorted(used, word)
         known = used[np.minimum(col, len(used) - 1)] == word
         row, col = row[known], col[known]
-        change_row, change_col, change_by = [], [], []
-        for d in range(len(y)):
-            has = [t for t in word[ends[d] : ends[d + 1]] if t in group]
-            for t in has:
-                other = [x for x in terms[group[t]] if x != t and x not in has]
-                if other:
-                    change_row += [d, d]
-                    change_col += [t, other[rng.integers(len(other))]]
-                    change_by += [-1.0, 1.0]
-            g = terms[rng.integers(len(terms))]
-            t = g[rng.integers(len(g))]
-            if t not in has:
-                change_row.append(d)
-                change_col.append(t)
-                change_by.append(1.0)
-        cr, cc, cb = np.array(change_row), np.searchsorted(used, np.array(change_col)), np.array(change_by)
+        changes = []
+        for d, rows in enumerate(_hashed(pa.array(texts, pa.large_string()))):
+            gone, come = counterfactual(rows, words, of, rng)
+            changes += [(d, t, -1.0) for t in sorted(gone)] + [(d, t, 1.0) for t in sorted(come)]
+        cr, cc, cb = (np.array(x) for x in zip(*changes, strict=True))
+        at = np.minimum(np.searchsorted(used, cc), len(used) - 1)
+        known = used[at] == cc  # buckets that aren't learnt have weight 0
+        cr, cc, cb = cr[known], at[known], cb[known]
         balance = np.where(y == 1, 0.5 * len(y) / y.sum() * 0.6, 0.5 * len(y) / (len(y) - y.sum()))
         scale = 1 / np.sqrt(np.bincount(col, minlength=len(used)) + 1)  # rare words must not learn texts by heart
         w, b = np.zeros(len(used)), -1.0
