@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 from plumbline.session import table
 
 #: Equivalent spellings.
-SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("authorised", "authorized"), ("favour", "favor"), ("behaviour", "behavior"), ("merchantibility", "merchantability"), ("copyright owner", "copyright holder"), ("https://", "http://"))
+SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"), ("authorised", "authorized"), ("favour", "favor"), ("behaviour", "behavior"), ("merchantibility", "merchantability"), ("https://", "http://"))
+#: Equivalent phrases, replaced when words are a single space apart.
+PHRASES = (("copyright owner", "copyright holder"),)
 #: A line that states a copyright: it starts with the word and has a year, (c), the sign or a place for a name after it, or has nothing but "all rights reserved".
-COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright[^\n]*(\(c\)|©|[0-9]{4})[^\n]*|copyright[^\na-z0-9]*[<{\[][^\n]*|©[^\n]*|\(c\)[^\na-z]*[0-9]{4}[^\n]*|all rights reserved[^\na-z0-9]*)"
+COPYRIGHT = r"(^|\n)[^\na-z0-9]*(copyright[^\n]*(\(c\)|©|[0-9]{4})[^\n]*|copyright[^\na-z0-9]*[<{\[][^\n]*|©[^\n]*|\(c\)[^\na-z]*[0-9]{4}[^\n]*|all[ \t]+rights[ \t]+reserved[^\na-z0-9]*)"
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 #: One-line notices and what they grant; a line is one if its canonical digest is that of the notice.
 NOTICES = {
@@ -64,13 +67,22 @@ def _lines(text: Column) -> Column:
     return t
 
 
+def _phrased(t: Column) -> Column:
+    for a, b in PHRASES:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
+
+
 def plain(text: str) -> str:
     """The canonical form of one known licence or notice, as the columns below have it."""
     t = text.lower()
     for a, b in SPELLINGS:
         t = t.replace(a, b)
     t = re.sub(PUNCTUATION, " ", re.sub(COPYRIGHT, "\n", t))
-    return re.sub("[ \n]+", " ", t).strip(" ")
+    t = re.sub("[ \n]+", " ", t).strip(" ")
+    for a, b in PHRASES:
+        t = t.replace(a, b)
+    return t
 
 
 def digest(text: str) -> str:
@@ -95,11 +107,11 @@ def scanned(docs: DataFrame, licenses: DataFrame, notices: dict[str, str] | None
     """
     df = docs.select(F.col(id_col).alias("doc_id"), _lines(F.col(text_col)).alias("__t"))
     lined = F.regexp_replace("__t", PUNCTUATION, " ")
-    bare = F.when(F.contains("__t", F.lit("copyright")) | F.contains("__t", F.lit("©")) | F.contains("__t", F.lit("(c)")) | F.contains("__t", F.lit("all rights reserved")), F.regexp_replace(F.regexp_replace("__t", COPYRIGHT, "\n"), PUNCTUATION, " ")).otherwise(lined)
-    df = df.select("doc_id", "__t", F.sha2(F.trim(F.regexp_replace(bare, "[ \n]+", " ")), 256).alias("digest"))
+    bare = F.when(F.contains("__t", F.lit("copyright")) | F.contains("__t", F.lit("©")) | F.contains("__t", F.lit("(c)")) | F.contains("__t", F.lit("reserved")), F.regexp_replace(F.regexp_replace("__t", COPYRIGHT, "\n"), PUNCTUATION, " ")).otherwise(lined)
+    df = df.select("doc_id", "__t", F.sha2(_phrased(F.trim(F.regexp_replace(bare, "[ \n]+", " "))), 256).alias("digest"))
     grants = {digest(k): v for k, v in (NOTICES if notices is None else notices).items()}
     names = F.create_map(*[F.lit(x) for kv in grants.items() for x in kv])
-    own = F.transform(F.filter(F.split("__t", "\n"), lambda line: F.contains(line, F.lit("license"))), lambda line: names[F.sha2(F.trim(F.regexp_replace(F.regexp_replace(line, PUNCTUATION, " "), " +", " ")), 256)])
+    own = F.transform(F.filter(F.split("__t", "\n"), lambda line: F.contains(line, F.lit("license"))), lambda line: names[F.sha2(_phrased(F.trim(F.regexp_replace(F.regexp_replace(line, PUNCTUATION, " "), " +", " "))), 256)])
     found = F.array_join(F.array_sort(F.array_distinct(F.filter(own, lambda x: x.isNotNull()))), ",")
     df = df.select("doc_id", "digest", F.when(F.contains("__t", F.lit("license")), found).otherwise(F.lit("")).alias("notices"))
     one = licenses.groupBy("digest").agg(F.min("license").alias("license"))
@@ -118,13 +130,14 @@ def _oracle() -> str:
         t = f"replace({t}, {quoted(a)}, {quoted(b)})"
     lic = ", ".join(f"({quoted(x)}, {quoted(n)})" for n, x in texts())
     note = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in NOTICES.items())
-    canon = lambda x: rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '{COPYRIGHT}', chr(10), 'g'), '{PUNCTUATION}', ' ', 'g'), '[ \n]+', ' ', 'g'), ' ')"
+    phrased = lambda x: reduce(lambda y, p: f"replace({y}, {quoted(p[0])}, {quoted(p[1])})", PHRASES, x)
+    canon = lambda x: phrased(rf"trim(regexp_replace(regexp_replace(regexp_replace({x}, '{COPYRIGHT}', chr(10), 'g'), '{PUNCTUATION}', ' ', 'g'), '[ \n]+', ' ', 'g'), ' ')")
     return rf"""
 WITH known(text, license) AS (VALUES {lic}), notice(text, grants) AS (VALUES {note}),
 lic AS (SELECT sha256({canon(t)}) AS digest, min(license) AS license FROM known GROUP BY 1), note AS (SELECT DISTINCT {canon(t)} AS line, grants FROM notice),
 d AS (SELECT doc_id, {t} AS t FROM documents),
 g AS (SELECT doc_id, sha256({canon('t')}) AS digest FROM d),
-l AS (SELECT doc_id, trim(regexp_replace(regexp_replace(unnest(string_split(t, chr(10))), '{PUNCTUATION}', ' ', 'g'), ' +', ' ', 'g'), ' ') AS line FROM d),
+l AS (SELECT doc_id, {phrased("trim(regexp_replace(regexp_replace(unnest(string_split(t, chr(10))), '" + PUNCTUATION + "', ' ', 'g'), ' +', ' ', 'g'), ' ')")} AS line FROM d),
 n AS (SELECT doc_id, string_agg(DISTINCT grants, ',' ORDER BY grants) AS notices FROM l JOIN note USING (line) GROUP BY doc_id)
 SELECT doc_id, g.digest, license, coalesce(notices, '') AS notices FROM g LEFT JOIN lic USING (digest) LEFT JOIN n USING (doc_id)
 """

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontam, graph, kernels, langid, licenses, mixing, near_dup, neighbours, pii, tokens, toxicity
+from plumbline.llm import chat, decontam, kernels, langid, licenses, mixing, near_dup, neighbours, pii, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "!!! ... ###", "é", "a", "one two three", "\u0000x \u0001 y\u0002", "😀 " * 30, "A" * 5000, "word " * 3000]
@@ -120,12 +120,6 @@ def test_bitmaps_never_rule_out_a_link():
             assert np.unpackbits(sketch[0] ^ sketch[1]).sum() <= near_dup.most_differing()
 
 
-def test_components_of_a_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.label for r in graph.components(edges, "a", "b").collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
-
-
 # --- decontamination ---------------------------------------------------------
 
 
@@ -157,15 +151,16 @@ def test_decontamination(spark, docs, items, most):
     planted = [(10_000 + i, f"x! y {t.upper()} a-b z") for i, (_, t) in enumerate(items) if t] + [(20_000, " ".join(" ".join(items[0][1].split()[i : i + 9]) + " gap" for i in range(0, 30, 9)))]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(planted, "doc_id long, text string"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    machines = decontam.automata(bench, most=most)
-    assert (len(machines) > 1) == (most == 60)
-    for r in decontam.contamination(df, machines).join(df.distinct(), "doc_id").collect():
+    ready = decontam.prepared(bench, most=most)
+    assert (ready.machine is None) == (most == 60)
+    for r in decontam.contamination(df, ready).join(df.distinct(), "doc_id").collect():
         n, hit, found = hits(r.text, items)
         assert (r.n_words, r.n_hit, sorted(set(r["items"]))) == (n, len(hit), found)
 
 
-def test_cleaned_texts_keep_clean_rows(spark, docs, items):
-    machines = decontam.automata(spark.createDataFrame(items[:12], "item_id long, text string"))
+@pytest.mark.parametrize("most", [10**6, 60])
+def test_cleaned_texts_keep_clean_rows(spark, docs, items, most):
+    machines = decontam.prepared(spark.createDataFrame(items[:12], "item_id long, text string"), most=most)
     some = items[3][1]
     extra = spark.createDataFrame([(777, "keep this " * 60 + some + " and that", "en", "s", 5, 1), (778, some, "en", "s", 5, 1)], docs.schema)
     out = {r.doc_id: r for r in decontam.cleaned(docs.union(extra), machines).collect()}
@@ -324,6 +319,86 @@ def test_counterfactuals_shrink_identity_weights():
     assert gap(fair) < gap(free)
 
 
+def test_language_scores_equal_plain_loops(spark):
+    """The network's pooled scores against the gates written out for one byte after another."""
+    net = langid.train([("en", b"the of and to a one two three " * 9), ("de", "der die das und für über ".encode() * 9)], steps=20)
+    texts = ["The one und über drei", "x" * 70 + " zwei!", "a", "ÄÖ 1.2"]
+    soft = lambda x: x / (1 + np.abs(x))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, text in enumerate(texts):
+        data, total, count = text.encode(), np.zeros(2), 0
+        for at in range(0, len(data), langid.WINDOW):
+            own = [c + 32 if 65 <= c <= 90 else c for c in data[at : at + langid.WINDOW]]
+            out = []
+            for way in (0, 1):
+                h, states = np.zeros(langid.HIDDEN), [None] * len(own)
+                for t in range(len(own)) if way == 0 else reversed(range(len(own))):
+                    x, u = net.p[f"x{way}"][:, own[t]].astype(float), net.p[f"u{way}"].astype(float)
+                    z, r = (0.5 * (soft(x[k] + h @ u[k]) + 1) for k in (0, 1))
+                    c = soft(x[2] + r * (h @ u[2]))
+                    h = z * h + (1 - z) * c
+                    states[t] = h
+                out.append(states)
+            for t, c in enumerate(own):
+                if 97 <= c <= 122 or c >= 128:
+                    e = np.exp(out[0][t] @ net.p["w"][0] + out[1][t] @ net.p["w"][1] + net.p["b"])
+                    total, count = total + e / e.sum(), count + 1
+        assert got[i][0] == net.labels[int(total.argmax())] and got[i][1] == pytest.approx(total.max() / count, abs=1e-4)
+
+
+def test_toxicity_scores_equal_plain_loops_and_hold_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.Classifier(*toxicity.sample(docs, labels))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    for i in sorted(texts)[:40]:
+        seen = set()
+        for w in set(words(texts[i])):
+            data = w.encode()
+            for k, part in [(0, data), *((k, data[:k]) for k in toxicity.STEMS if len(data) > k)]:
+                buf = np.frombuffer(part, np.uint8)
+                h = kernels.word_hashes(buf, np.array([0]), np.array([len(buf)]))
+                # a stem's hash is scrambled once more with its length; take it from the whole word's row
+                if k:
+                    h = kernels.word_hashes(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]), (k,))[1]
+                seen.add(int(h[0] >> np.uint64(44)))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(float(model.weights[b]) for b in seen) - model.bias)), abs=1e-5)
+    truth = {}
+    for r in labels.collect():
+        truth[r.doc_id] = max(truth.get(r.doc_id, 0), r.toxic)
+    held = [i for i in truth if i in got and zlib.crc32(str(i).encode()) % 4 == 2]
+    right = [(got[i] >= 0.3) == bool(truth[i]) for i in held]
+    assert len(held) > 50 and sum(right) / len(held) >= 0.9
+
+
+def test_neutral_mentions_stay_below_the_threshold():
+    """Group terms that are common in toxic labels, at the weight of the penalty that the query uses."""
+    rng = random.Random(0)
+    common = [f"w{i}x" for i in range(200)]
+    text = lambda *more: " ".join([rng.choice(common) for _ in range(40)] + list(more))
+    rows = []
+    for i in range(1200):
+        y = int(i % 3 == 0)
+        rows.append((text(*([rng.choice(["scumx", "idiotx"])] if y else []), *([rng.choice(["muslim", "women", "immigrants"])] if rng.random() < (0.6 if y else 0.05) else [])), y))
+    free, fair = (toxicity.Classifier(*zip(*rows), fairness=f) for f in (0.0, toxicity.FAIRNESS))
+    for term in ("muslim", "women", "immigrants"):
+        neutral = pa.array([text(term) for _ in range(200)])
+        assert fair.score(neutral).max() < 0.3 and fair.score(neutral).mean() < free.score(neutral).mean()
+    assert fair.score(pa.array([text("scumx") for _ in range(50)])).min() > 0.3
+
+
+def test_long_text_of_numbers(spark):
+    """20,000 numbers in one text take seconds, and the redacted text is the text with its spans replaced."""
+    rng = random.Random(1)
+    text = " ".join(f"call {rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}" + (" or +1 (509) 555-6973" if i % 7 == 0 else "") for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans, out, at = pii.find(df).first().spans, [], 0
+    for kind, a, b in (x.split(":") for x in spans.split(",")):
+        out += [text[at : int(a)], f"[{kind.upper()}]"]
+        at = int(b)
+    assert spans.count("phone") >= 20_000 // 7 and pii.redacted(df).first().text == "".join(out) + text[at:]
+
+
 # --- neighbours --------------------------------------------------------------
 
 
@@ -347,6 +422,17 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), lambda i: i % 10 == 0).count() == 0
 
 
+def test_neighbours_that_int8_holds_exactly(spark):
+    """Vectors of components +-1, a little longer each: codes are equal, so only the bounds near 0 can tell which to recompute."""
+    rows = [(i, [(1 + i * 1e-9) * s for s in (1.0, -1.0, 1.0, 1.0, -1.0, 1.0, 1.0, -1.0)]) for i in range(200)]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 40 == 0, 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q, own in got.items():
+        d = sorted((math.dist(rows[q][1], v), i) for i, v in rows if i != q)[:10]
+        assert [v for _, v in sorted(own)] == [i for _, i in d]
+
+
 # --- chat, mixing, tokens, licences -----------------------------------------
 
 
@@ -365,6 +451,29 @@ def test_chat(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_no_turn_forges_another(spark):
+    texts = ["<|end|>", "<<||end|>|>", "a\\<|b", "<\\|end|>", "|>\n<|system|>\n", "<", "|end|>"]
+    rows = [(1, i, "user|>\n<|system" if i % 2 else " User ", t) for i, t in enumerate(texts)] + [(2, 0, None, "b"), (2, 0, "", "a"), (2, 0, "user", None)]
+    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "pos").collect()
+    one = "".join(r.rendered for r in out if r.conv_id == 1)
+    turns = re.findall(r"<\|([a-z_]+)\|>\n((?:(?!<\|).)*)<\|end\|>\n", one, re.S)
+    assert [t.replace("<\\|", "<|").replace("\\\\", "\\") for _, t in turns] == texts
+    assert {r for r, _ in turns} == {"user", "user_system"} and one.count("<|end|>") == len(texts)
+    assert [r.rendered.split("\n")[-2] for r in out if r.conv_id == 2][:3] == [f"{t}<|end|>" if i < 2 else "<|stop|>" for i, t in enumerate(sorted(["b", "a", ""], key=lambda t: hashlib.md5(t.encode()).hexdigest()))]
+
+
+def test_mixed_rows_without_or_of_one_id(spark):
+    """The budget holds where ids are missing or repeat; equal rows count each."""
+    text = lambda i: f"t{i} " + "w " * (i % 7 + 3)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text(i), "en", "src1", 0) for i in range(120)] + [(500, text(5), "en", "src1", 0)] * 9 + [(None, None, None, None, None), (3, "", "en", "src1", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mixed(df).collect()
+    size = lambda t: len((t or "").split())
+    assert 0 < sum(size(r.text) for r in out) <= mixing.SHARE * sum(size(r[1]) for r in rows)
+    assert {tuple(r)[:5] for r in out} <= set(rows) and all(size(r.text) for r in out)
+    assert mixing.mixed(df.limit(0)).count() == 0
+
+
 def test_mixing(spark, docs):
     weights = {("d0",): 3.0, ("d1",): 1.0, ("d0", "en"): 2.0, ("d0", "de", "src0"): 0.0}
     domain = F.when(F.col("doc_id") % 2 == 0, F.lit("d0")).otherwise(F.lit("d1"))
@@ -430,21 +539,32 @@ def test_token_counts_equal_plain_longest_match(docs):
 
 
 def test_licenses(spark, docs):
-    isc = licenses.TEXTS["ISC"]
-    changed = "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + isc.upper().replace("LICENSE", "LICENCE").replace(", ", " ,  ").replace("\n", "\n\n* ")
-    rows = [(1, isc), (2, changed), (3, isc + " more"), (4, "x\nReleased under the MIT Licence!\ny\nReleased under the MIT License."), (5, None), (6, ""), (7, "ISC Licence:\n\n(c) 1999 A. N. Other\n" + isc)]
+    isc = (licenses.FOLDER / "ISC.txt").read_text().partition("\n\n")[2]
+    changed = "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + isc.partition("\n\n")[2].upper().replace("LICENSE", "LICENCE").replace(", ", " ,  ").replace("\n", "\n\n* ")
+    rows = [(1, isc), (2, changed), (3, isc + " more"), (4, "x\nReleased under the MIT Licence!\ny\nReleased under the MIT License."), (5, None), (6, ""), (7, "ISC Licence:\n\n(c) 1999 A. N. Other\nCopyright Jane Doe 2020\ncopyright <holder>\n" + isc)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit("clash"))
     got = {r.doc_id: r for r in licenses.scanned(df, licenses.known(spark)).collect()}
     assert got[1].license == got[2].license == "ISC" and got[1].digest == got[2].digest and got[3].license is None
     assert got[7].license == "ISC" and got[4].notices == "MIT" and got[5].digest == got[6].digest == hashlib.sha256(b"").hexdigest()
     assert licenses.scanned(docs, licenses.known(spark)).count() == docs.count()
+    assert licenses.scanned(docs.limit(0), licenses.known(spark)).count() == 0
+
+
+def test_whole_licences_in_other_line_breaks(spark):
+    """Each known licence is found when its words are wrapped anew, in capitals and between other marks."""
+    names = [p.stem for p in sorted(licenses.FOLDER.glob("*.txt")) if "~" not in p.stem]
+    wrap = lambda t: re.sub(r"[ \t]+", "   ", t).upper().replace(";", " ; ")
+    rows = [(i, wrap((licenses.FOLDER / f"{n}.txt").read_text())) for i, n in enumerate(names)]
+    got = {r.doc_id: r.license for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known(spark)).collect()}
+    assert [got[i] for i in range(len(names))] == names and {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSD-3-Clause", "CC0-1.0", "MIT"} <= set(names)
 
 
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
+    nothing = decontam.prepared(spark.createDataFrame([], "item_id long, text string"))
     assert near_dup.near_duplicates(none).count() == 0 and pii.find(none).count() == 0
-    assert decontam.contamination(none, []).count() == 0 and tokens.counted(none).count() == 0
-    assert decontam.contamination(docs, []).where("n_hit > 0").count() == 0
+    assert decontam.contamination(none, nothing).count() == 0 and tokens.counted(none).count() == 0
+    assert decontam.contamination(docs, nothing).where("n_hit > 0").count() == 0
 
 
 def test_kernels_split_long_words():
