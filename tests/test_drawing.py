@@ -90,6 +90,42 @@ def test_graph_on_cycles(spark):
     assert {tuple(r) for r in graph.resolved(pairs.where("src is not null")).collect()} == {(1, 2), (2, 3), (3, 1), (5, 5)}
 
 
+def test_searches_go_on_until_done(spark):
+    """A chain longer than any fixed number of steps."""
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(90)], "src long, dst long")
+    got = {r.node: r.depth for r in graph.closure(pairs, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {i: i for i in range(91)}
+    nodes = spark.createDataFrame([(i,) for i in range(95)], "node long")
+    assert {r.node for r in graph.purged(nodes, pairs, spark.createDataFrame([(0,)], "node long")).collect()} == set(range(91, 95))
+
+
+@pytest.mark.parametrize("path", [[1, *range(102, 1, -1)], list(range(100)), [(i * 37) % 101 for i in range(101)]])
+def test_components_of_paths_in_few_rounds(spark, monkeypatch, path):
+    """Falling, rising and shuffled paths; the number of interim results is logarithmic."""
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, rows=None, cut=graph.cut: (cuts.append(1), cut(df, rows))[1])
+    edges = spark.createDataFrame([*zip(path, path[1:]), (1000, 1001), (2000, 2000)], "a long, b long")
+    got = {r.node: r.label for r in graph.components(edges, "a", "b").collect()}
+    assert got == {**{i: min(path) for i in path}, 1000: 1000, 1001: 1000, 2000: 2000}
+    assert len(cuts) <= 30
+    more = graph.merged(graph.components(edges, "a", "b"), spark.createDataFrame([(1001, path[5]), (3000, 2000)], "a long, b long"), "a", "b")
+    assert {r.node: r.label for r in more.collect()} == {**{i: min(path) for i in path}, 1000: min(path), 1001: min(path), 2000: 2000, 3000: 2000}
+
+
+def test_the_rest_works_without_the_optional_modules(tmp_path):
+    """A copy without the llm folders still imports and has its queries, with and without the pipeline's module."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    run = "import __spark_entry__ as e; from plumbline.plans import registry as r; assert set(e.queries()) == set(r.QUERIES) and set(e.oracle_sql()) == set(r.ORACLES); import bench"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", run], cwd=tmp_path / "copy", check=True, env={"PATH": "/usr/bin:/bin"})
+        (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
 def test_clusters_match_brute_force(spark):
     points = [(i, float(i * 7919 % 503), float(i * 104729 % 499)) for i in range(150)]
     got = {r.id: r.cluster for r in spatial.clusters(spark.createDataFrame(points, "id long, x double, y double"), 30.0).collect()}
