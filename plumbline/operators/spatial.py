@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.graph import components
 from plumbline.session import cut
 
 
@@ -46,14 +47,5 @@ def clusters(points: DataFrame, radius: float) -> DataFrame:
     q = q.select("x2", "y2", "cell2", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
     near = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) <= radius * radius
     links = p.join(q, ["cx", "cy"]).where((F.col("cell") < F.col("cell2")) & near).select("cell", "cell2").distinct()
-    links = cut(links.union(links.select("cell2", "cell")))
-    labels = cut(cells.select("cell", F.col("cell").alias("label")))
-    while True:
-        least = links.join(labels.select(F.col("cell").alias("cell2"), "label"), "cell2").groupBy("cell").agg(F.min("label").alias("m"))
-        step2 = labels.join(least, "cell", "left").select("cell", "label", F.least("label", "m").alias("new"))
-        jump = step2.select(F.col("cell").alias("__c"), F.col("new").alias("top"))
-        after = cut(step2.join(jump, step2.new == jump["__c"]).select("cell", "label", F.col("top").alias("new")))
-        moved = after.where("new <> label").limit(1).count()
-        labels = after.select("cell", F.col("new").alias("label"))
-        if not moved:
-            return p.join(labels, "cell").select("id", F.col("label").alias("cluster"))
+    labels = components(cut(links), "cell", "cell2").withColumnRenamed("node", "cell")
+    return p.join(labels, "cell", "left").select("id", F.coalesce("label", "cell").alias("cluster"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import cut
+
 #: Group codes of the fields that entities are read into.
 NUMBERS = {"10": "x", "20": "y", "30": "z", "11": "x2", "21": "y2", "31": "z2", "40": "r", "50": "start", "51": "end", "210": "ex", "220": "ey", "230": "ez"}
 TEXTS = {"5": "handle_hex", "8": "layer", "1": "text", "6": "linetype", "330": "owner_hex"}
@@ -56,7 +58,11 @@ def _pair(code: int, value: Column) -> Column:
 
 
 def group_codes(rows: DataFrame) -> DataFrame:
-    """``rows`` (handle, dxftype, layer, x, y, x2, y2, r, start, end, text) with ``codes``, the pairs of each entity; null for types that aren't written."""
+    """``rows`` (handle, dxftype, layer, x, y, x2, y2, r, start, end, text, points) with ``codes``, the pairs of each entity; null for types that aren't written.
+
+    ``points`` (array of x and y) may be missing; then polylines aren't
+    written. Rays and construction lines have their direction in (x2, y2).
+    """
     head = [_pair(0, F.col("dxftype")), _pair(5, F.hex("handle")), _pair(8, F.coalesce(F.col("layer"), F.lit("0")))]
     at = [_pair(10, F.col("x")), _pair(20, F.col("y")), _pair(30, F.lit(0.0))]
     body = {
@@ -66,7 +72,13 @@ def group_codes(rows: DataFrame) -> DataFrame:
         "ARC": [*at, _pair(40, F.col("r")), _pair(50, F.col("start")), _pair(51, F.col("end"))],
         "TEXT": [*at, _pair(40, F.col("r")), _pair(1, F.regexp_replace("text", "[\r\n]+", " "))],
     }
+    body["RAY"] = body["XLINE"] = body["LINE"]
+    body["MTEXT"] = [*at, _pair(40, F.col("r")), _pair(1, F.regexp_replace("text", "\r\n|\r|\n", r"\\P"))]
     codes = F.lit(None)
+    if "points" in rows.columns:
+        each = F.flatten(F.transform("points", lambda p: F.array(_pair(10, p["x"]), _pair(20, p["y"]))))
+        line = F.concat(F.array(*head, _pair(90, F.size("points")), _pair(70, F.lit(0))), each)
+        codes = F.when((F.col("dxftype") == "LWPOLYLINE") & (F.size("points") > 0), line)
     for t, b in body.items():
         codes = F.when(F.col("dxftype") == t, F.array(*head, *b)).otherwise(codes)
     return rows.withColumn("codes", codes)
@@ -78,9 +90,10 @@ def write(rows: DataFrame, path: str) -> DataFrame:
     Types without a writer are skipped and counted. Every part is a complete
     file, so that a large drawing is written by many tasks.
     """
-    df = group_codes(rows)
+    # written once with its part, so that header rows and members agree on it
+    df = cut(group_codes(rows).withColumn("part", F.spark_partition_id()))
     text = F.array_join(F.transform("codes", lambda p: F.concat(p["code"].cast("string"), F.lit("\n"), F.coalesce(p["value"], F.lit("")))), "\n")
-    kept = df.where("codes is not null").select(F.spark_partition_id().alias("part"), "handle", text.alias("value"))
+    kept = df.where("codes is not null").select("part", "handle", text.alias("value"))
     ends = kept.groupBy("part").agg(F.lit(1).alias("n")).select("part", F.explode(F.array(F.struct(F.lit(-1).alias("at"), F.lit("0\nSECTION\n2\nENTITIES").alias("value")), F.struct(F.lit(1).alias("at"), F.lit("0\nENDSEC\n0\nEOF").alias("value")))).alias("e")).select("part", "e.at", F.lit(None).cast("long").alias("handle"), "e.value")
     both = ends.unionByName(kept.select("part", F.lit(0).alias("at"), "handle", "value"))
     both.repartition("part").sortWithinPartitions("part", "at", "handle").select("value").write.text(path)

@@ -232,6 +232,18 @@ def test_exchange_round_trip(spark, tmp_path):
     assert set(back) == {1, 2, 3} and back[1].x2 == 3.0 and back[2].end == 90.0 and back[3].text == "two lines" and back[3].layer == "0"
 
 
+def test_every_writable_type_comes_back(spark, tmp_path):
+    points = [dict(x=0.0, y=1.0), dict(x=2.5, y=3.0), dict(x=4.0, y=-1.0)]
+    rows = [(i, t, "A", 1.0, 2.0, 3.0, 4.0, 2.5, 10.0, 90.0, "one\ntwo", points) for i, t in enumerate(catalogue.WRITABLE, 1)]
+    df = spark.createDataFrame(rows, "handle long, dxftype string, layer string, x double, y double, x2 double, y2 double, r double, start double, end double, text string, points array<struct<x:double,y:double>>").repartition(3)
+    counts = {r.dxftype: (r.written, r.skipped) for r in dxf.write(df, str(tmp_path / "out")).collect()}
+    assert counts == {t: (1, 0) for t in catalogue.WRITABLE}
+    back = {r.dxftype: r for r in dxf.entities(dxf.pairs(spark, str(tmp_path / "out"))).collect()}
+    assert {t: r.handle for t, r in back.items()} == {t: i for i, t in enumerate(catalogue.WRITABLE, 1)}
+    assert [(p.x, p.y) for p in back["LWPOLYLINE"].points] == [(0, 1), (2.5, 3), (4, -1)]
+    assert back["RAY"].x2 == back["XLINE"].x2 == 3.0 and back["MTEXT"].text == "one\\Ptwo"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
