@@ -335,7 +335,7 @@ def _looked_up(docs: DataFrame, items: Items, at: int, schema, finish) -> DataFr
     if machine is not None:
 
         def run(batches):
-            for batch in batches:
+            for batch in K.portions(batches, at):
                 yield finish(batch, matched(batch.column(at), machine.value))
 
         return docs.mapInArrow(run, schema)

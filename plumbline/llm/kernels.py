@@ -76,6 +76,15 @@ def chunks(at: np.ndarray, size: int = BLOCK, most: int = 2048):
         first = last
 
 
+def portions(batches, column: int):
+    """Slices of the batches of about ``BLOCK`` bytes of text; what Arrow keeps for batches to come is given back at the end."""
+    for batch in batches:
+        _, at = utf8(batch.column(column))
+        for lo, hi in chunks(at):
+            yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
+
+
 def words(buf: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and for each document the number of words before it."""
     n = len(buf)

@@ -262,11 +262,9 @@ def identify(docs: DataFrame, net: ByteGRU | None, id_col: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand weights
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                langs, score = decide(sent.value, part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        for part in K.portions(batches, 1):
+            langs, score = decide(sent.value, part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
@@ -311,14 +309,12 @@ def accepted(docs: DataFrame, net: ByteGRU | None, least: float = 0.0) -> DataFr
     sent, at = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                langs, score = decide(sent.value, part.column(at))
-                buf, ends = K.utf8(part.column(at))
-                letters = np.concatenate(([0], np.cumsum(LETTER[buf] > 0)))
-                short = letters[ends[1:]] - letters[ends[:-1]] < JUDGED
-                yield part.filter(pa.array((np.array(langs, object) != UNDETERMINED) & (short | (score >= least))))
+        for part in K.portions(batches, at):
+            langs, score = decide(sent.value, part.column(at))
+            buf, ends = K.utf8(part.column(at))
+            letters = np.concatenate(([0], np.cumsum(LETTER[buf] > 0)))
+            short = letters[ends[1:]] - letters[ends[:-1]] < JUDGED
+            yield part.filter(pa.array((np.array(langs, object) != UNDETERMINED) & (short | (score >= least))))
 
     return docs.mapInArrow(run, docs.schema)
 
