@@ -161,3 +161,111 @@ def without_closing(points: Column) -> Column:
 def padded(values: Column, n: Column, fill: float = 0.0) -> Column:
     """The values cut or filled up to ``n``."""
     return F.slice(F.concat(values, F.array_repeat(F.lit(fill), n)), F.lit(1), n)
+
+
+def ordinate_type(fx: Column, fy: Column, ox: Column, oy: Column) -> Column:
+    """0 for an ordinate dimension that leads off along x at least as far as along y, else 1."""
+    return F.when(F.abs(ox - fx) >= F.abs(oy - fy), 0).otherwise(1)
+
+
+def unit(x: Column, y: Column) -> Column:
+    """A direction of length 1; null for one without length."""
+    n = F.hypot(x, y)
+    return F.when((n >= 1e-12) & (n < float("inf")), point(x / n, y / n))
+
+
+def turned(x: Column, y: Column, angle: Column) -> Column:
+    """A direction turned by an angle in radians."""
+    return point(x * F.cos(angle) - y * F.sin(angle), x * F.sin(angle) + y * F.cos(angle))
+
+
+def crossing(ax, ay, rx, ry, bx, by, sx, sy) -> Column:
+    """Where a line from (ax, ay) along (rx, ry) meets one from (bx, by) along (sx, sy); null for parallel lines."""
+    den = rx * sy - ry * sx
+    t = ((bx - ax) * sy - (by - ay) * sx) / F.when(F.abs(den) >= 1e-12, den)
+    return F.when(t.isNotNull(), point(ax + t * rx, ay + t * ry))
+
+
+def foot(px, py, lx, ly, dx, dy) -> Column:
+    """The foot of the perpendicular from a point to a line through (lx, ly) along (dx, dy); null for a line without direction."""
+    sq = dx * dx + dy * dy
+    t = ((px - lx) * dx + (py - ly) * dy) / F.when(F.sqrt(sq) >= 1e-12, sq)
+    return F.when(t.isNotNull(), point(lx + t * dx, ly + t * dy))
+
+
+def sweep(start: Column, end: Column, counterclockwise: Column) -> Column:
+    """The angle (radians) from start to end: not negative counterclockwise, not positive clockwise."""
+    d, turn = end - start, 2 * math.pi
+    return F.when(counterclockwise & (d < 0), d + turn).when(~counterclockwise & (d > 0), d - turn).otherwise(d)
+
+
+def bulged_path(points: Column, closed: Column, per_turn: int = 64) -> Column:
+    """The points of a polyline of (x, y, bulge), each segment by its bulge; segments share their ends."""
+
+    def path(own):
+        n = F.size(own)
+        last = F.when(closed, n).otherwise(n - 1)
+
+        def piece(i):
+            pair = F.struct(F.element_at(own, i).alias("a"), F.element_at(own, i % n + 1).alias("b"))
+            return let(pair, lambda v: F.slice(bulge_points(v["a"]["x"], v["a"]["y"], v["b"]["x"], v["b"]["y"], v["a"]["bulge"], per_turn), 2, 1 << 20))
+
+        first = F.transform(F.slice(own, 1, 1), lambda p: point(p["x"], p["y"]))
+        return F.when(n < 2, first).otherwise(F.concat(first, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), piece))))
+
+    return let(points, path)
+
+
+def unit_knots(n: Column, degree: int) -> Column:
+    """The clamped uniform knots of ``n`` control points from 0 to 1; the degree is at most n - 1; none for fewer than two."""
+    p = F.greatest(F.lit(1), F.least(F.lit(degree), n - 1))
+    inner = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(2)) + p), lambda i: F.least(F.greatest((i - p) / F.greatest(n - p, F.lit(1)), F.lit(0.0)), F.lit(1.0)))
+    return F.when(n >= 2, inner).otherwise(F.array().cast("array<double>"))
+
+
+def curve_vertices(points: Column, flags: Column) -> Column:
+    """The points of a curve: those of its frame (flag 16) if two or more, else those no fit made (flags 1, 8) if two or more, else all."""
+    pairs = F.arrays_zip(points.alias("p"), F.slice(flags, F.lit(1), F.size(points)).alias("f"))
+    picked = lambda test: F.transform(F.filter(pairs, lambda v: F.coalesce(test(v["f"]), F.lit(False))), lambda v: v["p"])
+    frame, own = picked(lambda f: f.bitwiseAND(16) != 0), picked(lambda f: f.bitwiseAND(9) == 0)
+    known = (F.size(points) >= 2) & (F.size(flags) >= 2)
+    return F.when(known & (F.size(frame) >= 2), frame).when(known & (F.size(own) >= 2), own).otherwise(points)
+
+
+def angle_unit(angles: Column) -> Column:
+    """'deg' if a finite angle is beyond a full turn of radians, else 'rad'."""
+    size = F.array_max(F.filter(F.transform(angles, F.abs), lambda a: ~F.isnan(a) & (a < float("inf"))))
+    return F.when(size > 2 * math.pi + 1e-3, F.lit("deg")).otherwise(F.lit("rad"))
+
+
+def block_transform(insert: Column, text_midpoint: Column, defpoint: Column, scale: Column, rotation: Column) -> Column:
+    """Where a dimension's block goes: its insert, text or definition point (the first there), scale (1 by default) and rotation (0)."""
+    at = F.coalesce(insert, text_midpoint, defpoint)
+    some = lambda v, other: F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(other)).otherwise(F.coalesce(v, F.lit(other)))
+    return F.struct(*[F.coalesce(at[c], F.lit(0.0)).alias(c) for c in "xyz"], *[some(scale[c], 1.0).alias(f"{c}scale") for c in "xyz"], some(rotation, 0.0).alias("rotation"))
+
+
+def with_closing(points: Column, closed: Column) -> Column:
+    """The points of a closed path with the first one again at the end, if it isn't there."""
+    return F.when(closed & (F.size(points) > 1) & (F.element_at(points, 1) != F.element_at(points, -1)), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
+
+
+def fit_or_control(fit: Column, control: Column) -> Column:
+    """Fit points if two or more, else control points."""
+    return F.when(F.size(fit) >= 2, fit).otherwise(control)
+
+
+def lifted(points: Column, elevation: Column) -> Column:
+    """Plane points at an elevation."""
+    return F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), elevation.alias("z")))
+
+
+def shifted(points: Column, dx: Column, dy: Column) -> Column:
+    """Points moved by an offset."""
+    return F.transform(points, lambda p: point(p["x"] + dx, p["y"] + dy))
+
+
+def face_points(vertices: Column, face: Column) -> Column:
+    """The vertices that a face names from 1, a hidden edge by a negative number; numbers that no vertex has are left out."""
+    known = F.filter(face, lambda i: (F.abs(i) >= 1) & (F.abs(i) <= F.size(vertices)))
+    return F.transform(known, lambda i: F.element_at(vertices, F.abs(i).cast("int")))

@@ -79,3 +79,40 @@ def synthetic_handle(handle: Column, salt: int, index: Column) -> Column:
 
 def unknown_label(code: Column) -> Column:
     return F.concat(F.lit("UNKNOWN(0x"), F.hex(code), F.lit(")"))
+
+
+def normal_fragment(text: Column) -> Column:
+    """A fragment without space around it, and without the ASCII letter that ends a CJK one."""
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.when(t.rlike("[一-鿿]"), F.regexp_replace(t, r"(?U)\s*[A-Za-z]$", "")).otherwise(t)
+
+
+def block_name(name: Column) -> Column:
+    """A block's name without space around it; null for none."""
+    return F.nullif(F.trim(name), F.lit(""))
+
+
+def layout_block(name: Column) -> Column:
+    """The name is that of a model or paper space block."""
+    return F.coalesce(F.upper(name).startswith("*MODEL_SPACE") | F.upper(name).startswith("*PAPER_SPACE"), F.lit(False))
+
+
+def layout_alias(name: Column, prefix: str = "LAYOUT_ALIAS_") -> Column:
+    """A plain name for a layout's block: letters and digits in upper case, all else as ``_``."""
+    plain = F.trim(F.regexp_replace(F.upper(name), r"[^\p{L}\p{N}]", "_"), F.lit("_"))
+    return F.concat(F.lit(prefix), F.when(plain == "", F.lit("LAYOUT")).otherwise(plain))
+
+
+def six_digits(value: Column) -> Column:
+    """A number with six significant digits and no trailing zeros; beyond 1e-4 to 1e6 with an exponent of at least two digits."""
+    e = F.regexp_extract(F.format_string("%.5e", value), "e([+-][0-9]+)$", 1).cast("int")
+    bare = lambda t: F.regexp_replace(t, r"(?:\.0+|(\.[0-9]*?)0+)$", "$1")
+    fixed = F.coalesce(*[F.when(e == k, bare(F.format_string(f"%.{5 - k}f", value))) for k in range(-4, 6)])
+    parts = F.split(F.format_string("%.5e", value), "e")
+    return F.when(value == 0, F.lit("0")).when(e.between(-4, 5), fixed).otherwise(F.concat(bare(parts[0]), F.lit("e"), parts[1]))
+
+
+def dimension_text(text: Column, measurement: Column) -> Column:
+    """What a dimension shows: its measurement where the text is none, ``<>`` or a ``KEY=`` label, else the text."""
+    own = text.isNull() | text.isin("", "<>") | F.contains(text, F.lit("="))
+    return F.when(own & measurement.isNotNull(), six_digits(measurement)).otherwise(text)

@@ -39,8 +39,8 @@ def present(entities: DataFrame, explicit_only: bool = False) -> DataFrame:
     return df.withColumn("rank", rank(F.col("dxftype")))
 
 
-def layout(entities: DataFrame, blocks: DataFrame, space: str) -> DataFrame:
-    """Entities of MODELSPACE or PAPERSPACE.
+def spaced(entities: DataFrame, blocks: DataFrame, space: str = "space") -> DataFrame:
+    """``entities`` with the column ``space``: MODELSPACE, PAPERSPACE or BLOCK.
 
     Entity mode 2 is model, 1 is paper. Mode 0 goes by the owner's name: a
     model or paper space block, any other block record (then it belongs to
@@ -52,7 +52,12 @@ def layout(entities: DataFrame, blocks: DataFrame, space: str) -> DataFrame:
     owner = F.col("__name")
     space_of = F.when(F.col("entmode") == 2, F.lit("MODELSPACE")).when(F.col("entmode") == 1, F.lit("PAPERSPACE"))
     space_of = space_of.when((F.col("entmode") == 0) & owner.isNotNull() & (F.col("owner_handle") != 0), F.when(owner == "*MODEL_SPACE", F.lit("MODELSPACE")).when(owner.startswith("*PAPER_SPACE"), F.lit("PAPERSPACE")).otherwise(F.lit("BLOCK")))
-    return df.where(F.coalesce(space_of, F.lit("MODELSPACE")) == space).drop("__name").select(*entities.columns)
+    return df.select(*entities.columns, F.coalesce(space_of, F.lit("MODELSPACE")).alias(space))
+
+
+def layout(entities: DataFrame, blocks: DataFrame, space: str) -> DataFrame:
+    """Entities of MODELSPACE or PAPERSPACE."""
+    return spaced(entities, blocks, "__space").where(F.col("__space") == space).drop("__space")
 
 
 def by_request(rows: DataFrame, requested: DataFrame, key: str, pos: str = "pos") -> DataFrame:
@@ -71,3 +76,11 @@ def skipped(entities: DataFrame, writable: tuple[str, ...] = catalogue.WRITABLE)
 def finite(*columns: str, most: float = 1e12) -> Column:
     """All columns are finite and at most ``most`` in size."""
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) <= most) for c in columns])
+
+
+def block_references(entities: DataFrame, inside: str, least: int = 32, reduction: float = 0.5) -> DataFrame:
+    """``entities`` without the inserts that aren't ``inside``, if there are ``least`` inserts, some of them inside, and at least the share ``reduction`` isn't; else all."""
+    ref, within = F.coalesce(F.col("dxftype").isin("INSERT", "MINSERT"), F.lit(False)), F.coalesce(F.col(inside), F.lit(False))
+    rule = entities.agg(F.count_if(ref).alias("__n"), F.count_if(ref & within).alias("__in"))
+    use = (F.col("__n") >= least) & (F.col("__in") > 0) & (F.col("__in") <= F.col("__n") * (1 - reduction))
+    return entities.crossJoin(F.broadcast(rule.select(use.alias("__use")))).where(~ref | within | ~F.col("__use")).drop("__use")

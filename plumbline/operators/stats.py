@@ -63,3 +63,9 @@ def best_definition(members: DataFrame, name: str, definition: str, order: str)
     """(name, definition): of several definitions of a name the one with most members, then most that aren't points, then the first."""
     c = members.groupBy(name, definition).agg(F.count("*").alias("n"), F.count_if(F.col("dxftype") != "POINT").alias("__np"), F.min(order).alias("__first"))
     return c.groupBy(name).agg(F.max_by(F.struct(definition, "n"), F.struct("n", "__np", -F.col("__first"))).alias("d")).select(name, f"d.{definition}", "d.n")
+
+
+def endpoint_degree(lines: DataFrame, by: str) -> DataFrame:
+    """(by, x, y, degree): how many ends of lines (x1, y1, x2, y2) lie at each place, to six digits."""
+    end = lambda k: F.struct(F.bround(f"x{k}", 6).alias("x"), F.bround(f"y{k}", 6).alias("y"))
+    return lines.select(by, F.inline(F.array(end(1), end(2)))).groupBy(by, "x", "y").agg(F.count("*").alias("degree"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import colours as C
 from plumbline.functions import geometry as G
+from plumbline.functions import plausible as P
 from plumbline.functions import text as X
 from plumbline.operators import assembly, blocks, colours, dedup, graph, records, select, spatial, stats
 from plumbline.plans import catalogue
@@ -613,3 +614,140 @@ def windowed_counts(events: DataFrame) -> DataFrame:
 @query_on("latest_by_key", "events", "SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events GROUP BY 1")
 def latest_by_key(events: DataFrame) -> DataFrame:
     return arrivals.latest(events.select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
+
+
+# --- plausibility, dimensions, arrays ----------------------------------------
+
+POINTS = "[{'x': x, 'y': y}, {'x': x + size, 'y': y}, {'x': x + size, 'y': y + angle}]"
+
+
+def _corner(d: Drawing) -> DataFrame:
+    """Entities with three points ``p``: along x by their size, then along y by their angle."""
+    x, y, far, up = F.col("x"), F.col("y"), F.col("x") + F.col("size"), F.col("y") + F.col("angle")
+    return d.entities.select("*", F.array(G.point(x, y), G.point(far, y), G.point(far, up)).alias("p"))
+
+
+@query("implausible_primitives", """SELECT handle, off, coalesce(r <= 1e-6 OR greatest(abs(cx), abs(cy)) <= 10 AND r <= 1e-3, false) AS tiny_arc, cx = 0 AND r = 0 AS tiny_face,
+  greatest(abs(cx), abs(cy)) <= 1 AND greatest(abs(x), abs(y)) >= 10000 OR greatest(abs(x), abs(y)) <= 1 AND greatest(abs(cx), abs(cy)) >= 10000 AS far_anchor, abs(x) <= 50000 AND abs(y) <= 50000 AS in_range FROM (SELECT *, (part % 25)::DOUBLE AS cx, (number % 3)::DOUBLE AS cy, (part % 7)::DOUBLE / 2000 AS r FROM ent)""")
+def implausible_primitives(d: Drawing) -> DataFrame:
+    """Each entity as if it were a small arc, face or polyline near the origin."""
+    cx, cy, r = (F.col("part") % 25).cast("double"), (F.col("number") % 3).cast("double"), (F.col("part") % 7).cast("double") / 2000
+    corners = F.array(F.struct(cx.alias("x"), r.alias("y"), F.lit(float("nan")).alias("z")))
+    points = F.array(G.point(cx, cy), G.point(F.col("x"), F.col("y")))
+    return d.entities.select("handle", "off", P.tiny_arc(cx, cy, r).alias("tiny_arc"), P.tiny_face(corners).alias("tiny_face"), P.far_from_origin(points).alias("far_anchor"), P.within(F.col("x"), F.col("y"), most=50000.0).alias("in_range"))
+
+
+@query_on("text_plausibility", "pages", """SELECT page_id, n <= 512 AND page_id % 7 < 4 AND (n = 0 OR score >= -(n // 2)) AS plausible FROM (SELECT page_id, length(url) + page_id % 7 + p AS n, -6 * p - 5 * (page_id % 7) + 2 * a + b - 2 * (length(url) - a - b) AS score
+FROM (SELECT *, page_id % 11 * 9 AS p, length(regexp_replace(url, '[^A-Za-z0-9]', '', 'g')) AS a, length(regexp_replace(url, '[^ -/:-@\\[-`{-~]', '', 'g')) AS b FROM pages))""")
+def text_plausibility(pages: DataFrame) -> DataFrame:
+    """Addresses of pages with control and replacement characters behind them."""
+    k = F.col("page_id")
+    text = F.concat("url", F.repeat(F.lit("\x01"), (k % 7).cast("int")), F.repeat(F.lit("�"), (k % 11 * 9).cast("int")))
+    return pages.select("page_id", P.plausible_text(text).alias("plausible"))
+
+
+@query("placeholder_dimensions", "SELECT handle, off, part % 3 = 0 AND number % 2 = 0 AND part % 4 < 2 AND part % 5 = 0 AS placeholder FROM ent WHERE dxftype LIKE 'DIM%'")
+def placeholder_dimensions(d: Drawing) -> DataFrame:
+    part, number = F.col("part"), F.col("number")
+    at = lambda v: F.struct(v.cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(None).cast("double").alias("z"))
+    text = F.element_at(F.array(*[F.lit(t) for t in (" ", "<>", "5", "<> mm")]), (part % 4 + 1).cast("int"))
+    test = P.placeholder_dimension([at(part % 3), at(F.lit(0))], F.when(number % 2 == 1, at(number)), text, F.when(part % 5 != 0, F.col("size")))
+    return d.entities.where("dxftype like 'DIM%'").select("handle", "off", test.alias("placeholder"))
+
+
+@query("degenerate_polylines", "SELECT handle, off, CASE WHEN part % 6 = 0 THEN 1 ELSE 2 END AS points, part % 6 = 0 AS degenerate FROM ent WHERE dxftype = 'LWPOLYLINE'")
+def degenerate_polylines(d: Drawing) -> DataFrame:
+    """Polylines that double back on their one or two places."""
+    a, b = G.point(F.col("x"), F.col("y")), G.point(F.when(F.col("part") % 6 == 0, F.col("x")).otherwise(F.col("x") + 1), F.col("y"))
+    n = G.distinct_points(F.array(a, b, a)).cast("long")
+    return d.entities.where("dxftype = 'LWPOLYLINE'").select("handle", "off", n.alias("points"), (n < 2).alias("degenerate"))
+
+
+@query("endpoint_degree", "SELECT layer_handle, round(x, 6) AS x, round(y, 6) AS y, count(*) AS degree FROM (SELECT layer_handle, x1 AS x, y1 AS y FROM ln UNION ALL SELECT layer_handle, x2, y2 FROM ln) GROUP BY ALL", LINES)
+def endpoint_degree(d: Drawing) -> DataFrame:
+    """How many line ends meet at each place of a layer."""
+    e = d.entities.where("dxftype in ('LINE', 'POINT', 'ARC')")
+    gx, gy, even = F.floor(F.col("x") / 1000).cast("double"), F.floor(F.col("y") / 5).cast("double"), F.col("part") % 2 == 0
+    lines = e.select("layer_handle", gx.alias("x1"), gy.alias("y1"), F.when(even, gx).otherwise(gx + F.col("number")).alias("x2"), (gy + F.when(even, F.col("number")).otherwise(0) + F.when(F.col("part") % 6 == 1, 1).otherwise(0)).alias("y2"))
+    return stats.endpoint_degree(lines, "layer_handle")
+
+
+@query("block_reference_filter", """SELECT handle, off, dxftype FROM sp WHERE dxftype NOT IN ('INSERT', 'MINSERT') OR space = 'M' OR NOT (SELECT count(*) >= 32 AND count(*) FILTER (WHERE space = 'M') BETWEEN 1 AND count(*) * 0.5 FROM sp WHERE dxftype IN ('INSERT', 'MINSERT'))""", SPACE)
+def block_reference_filter(d: Drawing) -> DataFrame:
+    """Inserts outside model space go if they are many and at least half of all."""
+    rows = select.spaced(d.entities, d.blocks)
+    return select.block_references(rows.withColumn("inside", F.col("space") == "MODELSPACE"), "inside").select("handle", "off", "dxftype")
+
+
+@query("direction_helpers", """SELECT handle, off, CASE WHEN abs(size) >= abs(angle) THEN 0 ELSE 1 END AS ordinate, round(degrees(atan2(angle, size + 1)), 4) AS rotation, round((size + 1) / n, 4) AS ux, round(angle / n, 4) AS uy,
+  round((size + 1) * cos(t) - angle * sin(t), 4) AS tx, round(t * (size + 1) / n, 4) AS fx, round(CASE WHEN abs(number - 3) >= 1e-12 THEN x + (y - 2) / (3 - number) END, 4) AS cx,
+  round(CASE WHEN part % 2 = 0 AND dt < 0 THEN dt + 2 * pi() WHEN part % 2 = 1 AND dt > 0 THEN dt - 2 * pi() ELSE dt END, 4) AS turn FROM (SELECT *, sqrt((size + 1) ** 2 + angle ** 2) AS n, (part % 6)::DOUBLE AS t, (part % 5 - part % 6)::DOUBLE AS dt FROM ent)""")
+def direction_helpers(d: Drawing) -> DataFrame:
+    """Units, turns, feet, crossings and sweeps of each entity's direction (its size + 1, its angle)."""
+    dx, dy, t, k = F.col("size") + 1, F.col("angle"), (F.col("part") % 6).cast("double"), F.col("number").cast("double")
+    own, away = G.unit(dx, dy), G.turned(dx, dy, t)
+    meets = G.crossing(F.col("x"), F.col("y"), F.lit(1.0), k, F.col("x"), F.lit(2.0) + F.lit(0.0) * k, F.lit(1.0), F.lit(3.0))
+    base = G.foot(t * own["x"] - own["y"], t * own["y"] + own["x"], F.lit(0.0), F.lit(0.0), dx, dy)
+    turn = G.sweep(t, (F.col("part") % 5).cast("double"), F.col("part") % 2 == 0)
+    four = lambda c, name: F.round(c, 4).alias(name)
+    return d.entities.select("handle", "off", G.ordinate_type(F.lit(0.0), F.lit(0.0), F.col("size"), dy).alias("ordinate"), four(G.direction(dx, dy), "rotation"), four(own["x"], "ux"), four(own["y"], "uy"), four(away["x"], "tx"), four(base["x"], "fx"), four(meets["x"], "cx"), four(turn, "turn"))
+
+
+@query("bulged_paths", """SELECT handle, off, len(p) AS n, round(p[2].x, 4) AS second_x, round(p[len(p)].y, 4) AS last_y FROM (SELECT handle, off, CASE WHEN part % 3 = 0 THEN list_append(p, p[1]) ELSE p END AS p FROM (SELECT *, """ + POINTS + """ AS p FROM ent))""")
+def bulged_paths(d: Drawing) -> DataFrame:
+    """Corners without bulges, closed or not; bulges are tested against single segments."""
+    flat = F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), F.lit(0.0).alias("bulge")))
+    rows = _corner(d).select("handle", "off", G.bulged_path(flat, F.col("part") % 3 == 0).alias("q"))
+    return rows.select("handle", "off", F.size("q").cast("long").alias("n"), F.round(F.element_at("q", 2)["x"], 4).alias("second_x"), F.round(F.element_at("q", -1)["y"], 4).alias("last_y"))
+
+
+@query_on("unit_knots", "part", "SELECT p_partkey AS part, array_to_string([round(least(greatest((i - g) / greatest(p_size - g, 1)::DOUBLE, 0), 1) * 1000)::BIGINT FOR i IN range(0, p_size + g + 1)], ',') AS knots FROM (SELECT *, greatest(1, least(3, p_size - 1)) AS g FROM part WHERE p_size >= 2)")
+def unit_knots(part: DataFrame) -> DataFrame:
+    knots = F.transform(G.unit_knots(F.col("p_size"), 3), lambda v: F.round(v * 1000).cast("long").cast("string"))
+    return part.where("p_size >= 2").select(F.col("p_partkey").alias("part"), F.array_join(knots, ",").alias("knots"))
+
+
+@query("curve_vertices", """SELECT handle, off, CASE WHEN len(f) >= 2 THEN len(f) WHEN len(o) >= 2 THEN len(o) ELSE 3 END AS n, CASE WHEN part % 9 + 0.0 > 2 * pi() + 1e-3 THEN 'deg' ELSE 'rad' END AS unit FROM (SELECT *, list_filter(fl, lambda v: v & 16 <> 0) AS f, list_filter(fl, lambda v: v & 9 = 0) AS o FROM (SELECT *, [part % 32, part * 7 % 32, part * 11 % 32] AS fl FROM ent))""")
+def curve_vertices(d: Drawing) -> DataFrame:
+    part = F.col("part")
+    picked = G.curve_vertices(F.col("p"), F.array(part % 32, part * 7 % 32, part * 11 % 32))
+    return _corner(d).select("handle", "off", F.size(picked).cast("long").alias("n"), G.angle_unit(F.array(F.lit(float("nan")), F.lit(0.5), -(part % 9).cast("double"))).alias("unit"))
+
+
+@query("dimension_transforms", "SELECT handle, off, round(CASE part % 3 WHEN 0 THEN x WHEN 1 THEN y ELSE 7 END, 6) AS px, CASE WHEN part % 4 = 0 THEN 1 ELSE round(size, 6) END AS sx, CASE WHEN part % 5 = 0 THEN 0 ELSE round(angle, 6) END AS rotation FROM ent WHERE dxftype LIKE 'DIM%'")
+def dimension_transforms(d: Drawing) -> DataFrame:
+    part = F.col("part")
+    at = lambda v: F.struct(v.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    size = F.col("size").cast("double")
+    scale = F.when(part % 4 != 0, F.struct(size.alias("x"), size.alias("y"), F.lit(float("nan")).alias("z")))
+    own = G.block_transform(F.when(part % 3 == 0, at(F.col("x"))), F.when(part % 3 == 1, at(F.col("y"))), at(F.lit(7.0)), scale, F.when(part % 5 != 0, F.col("angle").cast("double")))
+    return d.entities.where("dxftype like 'DIM%'").select("handle", "off", own.alias("t")).select("handle", "off", F.col("t.x").alias("px"), F.col("t.xscale").alias("sx"), "t.rotation")
+
+
+@query("array_helpers", "SELECT handle, off, 3 + (part % 2 = 0 AND NOT (size = 0 AND angle = 0))::INT AS closed_n, CASE WHEN part % 3 = 0 THEN 3 ELSE 1 END AS fit_n, number AS lift, round(x + part % 10, 4) AS moved_x, (part % 4 BETWEEN 1 AND 3)::INT + 1 AS face_n, round(CASE WHEN part % 4 = 3 THEN y + angle ELSE y END, 4) AS face_y FROM ent")
+def array_helpers(d: Drawing) -> DataFrame:
+    """Closing points, choice of points, elevations, offsets and faces over each entity's corner."""
+    part, p = F.col("part"), F.col("p")
+    face = F.array((part % 4).cast("int"), F.lit(-1), F.lit(0), F.lit(9))
+    rows = _corner(d).select("handle", "off", "y", G.with_closing(p, part % 2 == 0).alias("c"), G.fit_or_control(F.when(part % 3 == 0, p).otherwise(F.slice(p, 1, 1)), F.slice(p, 1, 1)).alias("f"), G.lifted(p, F.col("number")).alias("l"), G.shifted(p, part % 10, F.lit(0)).alias("m"), G.face_points(p, face).alias("a"))
+    count = lambda c: F.size(c).cast("long")
+    return rows.select("handle", "off", count("c").alias("closed_n"), count("f").alias("fit_n"), F.element_at("l", 3)["z"].alias("lift"), F.round(F.element_at("m", 1)["x"], 4).alias("moved_x"), count("a").alias("face_n"), F.round(F.element_at("a", 1)["y"], 4).alias("face_y"))
+
+
+@query("dimension_text", "SELECT handle, off, CASE part % 4 WHEN 2 THEN 'W 5' ELSE printf('%g', size / 8 + part % 3) END AS text FROM ent WHERE dxftype LIKE 'DIM%'")
+def dimension_text(d: Drawing) -> DataFrame:
+    text = F.element_at(F.array(*[F.lit(t) for t in ("", "<>", "W 5", "KEY=5")]), (F.col("part") % 4 + 1).cast("int"))
+    return d.entities.where("dxftype like 'DIM%'").select("handle", "off", X.dimension_text(text, F.col("size") / 8 + F.col("part") % 3).alias("text"))
+
+
+@query("layout_names", "SELECT handle, trim(name) AS name, upper(name) LIKE '*MODEL~_SPACE%' ESCAPE '~' OR upper(name) LIKE '*PAPER~_SPACE%' ESCAPE '~' AS layout, concat('LAYOUT_ALIAS_', trim(regexp_replace(upper(name), '[^A-Z0-9]', '_', 'g'), '_')) AS alias FROM blk")
+def layout_names(d: Drawing) -> DataFrame:
+    name = X.block_name(F.concat(F.lit(" "), "name", F.lit("  ")))
+    return d.blocks.select("handle", name.alias("name"), X.layout_block(name).alias("layout"), X.layout_alias(name).alias("alias"))
+
+
+@query_on("normal_fragment", "part", "SELECT p_partkey AS part, CASE WHEN p_partkey % 2 = 0 THEN concat(p_name, '図') ELSE p_name END AS fragment FROM part")
+def normal_fragment(part: DataFrame) -> DataFrame:
+    """Names with space around them, every other with a CJK character and a stray letter."""
+    tail = F.when(F.col("p_partkey") % 2 == 0, F.lit("図 x　")).otherwise(F.lit(" \t"))
+    return part.select(F.col("p_partkey").alias("part"), X.normal_fragment(F.concat(F.lit("　 "), "p_name", tail)).alias("fragment"))
