@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fields += [T.StructField(s, T.LongType()) for s in SKETCH]
 
     def run(batches):
-        for batch in batches:
+        for batch in K.portions(batches, 1):
             ids = batch.column(0)
             for first, sets, ends in text_sets(batch.column(1)):
                 lo, hi, bands, sketch, whole = _signed(sets, ends)
