@@ -216,7 +216,7 @@ def test_exchange_files(spark, tmp_path):
     pair = dxf.pairs(spark, str(tmp_path)).cache()
     rows = {Path(r.file).stem: r for r in dxf.entities(pair).collect()}
     assert set(rows) == {"line", "arc", "text", "poly"}
-    assert rows["line"].dxftype == "LINE" and rows["line"].handle == 0x83 and rows["line"].x2 == 100.0 and rows["line"].owner_hex == "1F"
+    assert rows["line"].dxftype == "LINE" and rows["line"].handle == 0x83 and rows["line"].x2 == 100.0 and rows["line"].owner == 0x1F
     assert rows["arc"].end == 180.0 and rows["arc"].r == 25.0 and rows["text"].text == "Hello  text"
     assert [(p.x, p.y) for p in rows["poly"].points] == [(50, 50), (100, 100), (150, 50)]
     units = dxf.header(pair).where("name = '$INSUNITS'")
