@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from plumbline.functions import text as X
 from plumbline.operators import assembly, blocks, colours, dedup, graph, records, select, spatial, stats
 from plumbline.plans import catalogue
 from plumbline.plans.drawing import SQL, Drawing, projection
-from plumbline.session import table
+from plumbline.session import cut, shared_dir, table
+from plumbline.sources import dxf
 from plumbline.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -751,3 +754,38 @@ def normal_fragment(part: DataFrame) -> DataFrame:
     """Names with space around them, every other with a CJK character and a stray letter."""
     tail = F.when(F.col("p_partkey") % 2 == 0, F.lit("図 x　")).otherwise(F.lit(" \t"))
     return part.select(F.col("p_partkey").alias("part"), X.normal_fragment(F.concat(F.lit("　 "), "p_name", tail)).alias("fragment"))
+
+
+# --- exchange files ----------------------------------------------------------
+
+
+def _exchanged(d: Drawing) -> DataFrame:
+    """The records of the exchange files that the drawing's entities are written to; what can't be written stays out."""
+    at = f"{shared_dir(d.entities.sparkSession)}/exchange-{uuid.uuid4().hex}"
+    x, y = F.col("x"), F.col("y")
+    points = F.array(F.struct(x.alias("x"), y.alias("y")), F.struct((x + 1).alias("x"), (y + 2).alias("y")))
+    rows = d.entities.select(
+        "handle", "dxftype", F.col("off").cast("string").alias("layer"), "x", "y", (x + F.col("size")).alias("x2"), (y + F.col("angle")).alias("y2"), (F.col("size") + 1).alias("r"), F.col("angle").alias("start"), (F.col("angle") + 90).alias("end"),
+        F.concat(F.lit("part "), F.col("part").cast("string")).alias("text"), points.alias("points"),
+    )
+    dxf.write(rows, at)
+    return dxf.pairs(d.entities.sparkSession, at)
+
+
+@query("exchange_entities", f"SELECT handle, CAST(off AS VARCHAR) AS layer, dxftype, round(x, 6) AS x, round(y, 6) AS y, CASE WHEN dxftype IN ('LINE', 'RAY', 'XLINE') THEN round(x + size, 6) END AS x2, CASE WHEN dxftype IN ('CIRCLE', 'ARC', 'TEXT', 'MTEXT') THEN round(size + 1, 6) END AS r, CASE WHEN dxftype IN ('TEXT', 'MTEXT') THEN concat('part ', part) END AS text FROM ent WHERE dxftype IN {catalogue.WRITABLE!r}")
+def exchange_entities(d: Drawing) -> DataFrame:
+    return dxf.entities(_exchanged(d)).select("handle", "layer", "dxftype", "x", "y", "x2", "r", "text")
+
+
+@query("exchange_fields", """SELECT 'LINE' AS dxftype, handle, CAST(off AS VARCHAR) AS layer, round(x, 6) AS x, round(y + angle, 6) AS a, NULL::DOUBLE AS b, 0 AS n FROM ent WHERE dxftype = 'LINE' UNION ALL SELECT 'ARC', handle, CAST(off AS VARCHAR), round(x, 6), round(angle, 6), round(angle + 90, 6), 0 FROM ent WHERE dxftype = 'ARC'
+  UNION ALL SELECT 'CIRCLE', handle, CAST(off AS VARCHAR), round(x, 6), round(size + 1, 6), NULL, 0 FROM ent WHERE dxftype = 'CIRCLE' UNION ALL SELECT 'LWPOLYLINE', handle, CAST(off AS VARCHAR), round(x, 6), round(y + 2, 6), 0, 2 FROM ent WHERE dxftype = 'LWPOLYLINE'""")
+def exchange_fields(d: Drawing) -> DataFrame:
+    record = cut(dxf.records(_exchanged(d)))
+    own = {
+        "LINE": ("start.x", F.col("end.y"), F.lit(None), F.lit(0)),
+        "ARC": ("center.x", F.col("start_angle"), F.col("end_angle"), F.lit(0)),
+        "CIRCLE": ("center.x", F.col("radius"), F.lit(None), F.lit(0)),
+        "LWPOLYLINE": (F.col("points")[0]["x"], F.col("points")[1]["y"], F.col("points")[1]["bulge"], F.size("points")),
+    }
+    each = [dxf.fields(record, t).select("dxftype", "handle", "layer", (F.col(x) if isinstance(x, str) else x).alias("x"), a.alias("a"), b.cast("double").alias("b"), n.alias("n")) for t, (x, a, b, n) in own.items()]
+    return reduce(DataFrame.unionByName, each)

@@ -237,16 +237,17 @@ def group_codes(rows: DataFrame) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str) -> DataFrame:
-    """Writes each partition's entities as one exchange file under ``path``; returns (dxftype, written, skipped).
+    """Writes the entities as exchange files under ``path``; returns (dxftype, written, skipped).
 
     Types without a writer are skipped and counted. Every part is a complete
-    file, so that a large drawing is written by many tasks.
+    file in a folder of its own, of at most 65,536 entities, so that a large
+    drawing is written and read by many tasks.
     """
-    # written once with its part, so that header rows and members agree on it
-    df = cut(group_codes(rows).withColumn("part", F.spark_partition_id()))
+    # the id has its partition and its place there; written once with its part, so that header rows and members agree on it
+    df = cut(group_codes(rows).withColumn("part", F.shiftright(F.monotonically_increasing_id(), 16)))
     text = F.array_join(F.transform("codes", lambda p: F.concat(p["code"].cast("string"), F.lit("\n"), F.coalesce(p["value"], F.lit("")))), "\n")
     kept = df.where("codes is not null").select("part", "handle", text.alias("value"))
     ends = kept.groupBy("part").agg(F.lit(1).alias("n")).select("part", F.explode(F.array(F.struct(F.lit(-1).alias("at"), F.lit("0\nSECTION\n2\nENTITIES").alias("value")), F.struct(F.lit(1).alias("at"), F.lit("0\nENDSEC\n0\nEOF").alias("value")))).alias("e")).select("part", "e.at", F.lit(None).cast("long").alias("handle"), "e.value")
     both = ends.unionByName(kept.select("part", F.lit(0).alias("at"), "handle", "value"))
-    both.repartition("part").sortWithinPartitions("part", "at", "handle").select("value").write.text(path)
+    both.repartition("part").sortWithinPartitions("part", "at", "handle").select("part", "value").write.partitionBy("part").text(path)
     return df.groupBy("dxftype").agg(F.count_if(F.col("codes").isNotNull()).alias("written"), F.count_if(F.col("codes").isNull()).alias("skipped"))

@@ -242,6 +242,8 @@ def test_every_writable_type_comes_back(spark, tmp_path):
     assert {t: r.handle for t, r in back.items()} == {t: i for i, t in enumerate(catalogue.WRITABLE, 1)}
     assert [(p.x, p.y) for p in back["LWPOLYLINE"].points] == [(0, 1), (2.5, 3), (4, -1)]
     assert back["RAY"].x2 == back["XLINE"].x2 == 3.0 and back["MTEXT"].text == "one\\Ptwo"
+    files = [p.read_text() for p in (tmp_path / "out").rglob("*.txt")]
+    assert len(files) == 3 and all(f.count("EOF") == 1 and f.count("ENTITIES") == 1 for f in files)
 
 
 def test_stream_equals_batch(spark, tmp_path):
