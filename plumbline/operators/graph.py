@@ -50,10 +50,13 @@ def closure(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth): all that is reachable from ``roots`` (node) over ``pairs`` (src, dst), with the fewest steps.
 
     The frontier goes on until nothing new is found, however deep; cycles end
-    by themselves. ``STRIDE`` steps at a time make one job, whose new nodes
-    are checkpointed; those at its last step are the next frontier.
+    by themselves. Where no node has two pairs, rounds are logarithmic in the
+    depth. Else ``STRIDE`` steps at a time make one job, whose new nodes are
+    checkpointed; those at its last step are the next frontier.
     """
     links = cut(pairs.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    if not links.groupBy("src").count().where("count > 1").limit(1).count():
+        return _along(links, roots)
     known = [cut(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))]
     front, depth = known[0].select("node"), 0
     while True:
@@ -71,6 +74,26 @@ def closure(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         front = found.where(F.col("depth") == depth).select("node")
 
 
+def _after(step: DataFrame, more: DataFrame) -> DataFrame:
+    """Where the steps ``more`` (src, dst) lead from the ends of ``step``; those that lead nowhere go."""
+    then = more.select(F.col("src").alias("__s"), F.col("dst").alias("__d"))
+    return step.join(then, step.dst == then["__s"]).select("src", F.col("__d").alias("dst"))
+
+
+def _along(step: DataFrame, roots: DataFrame) -> DataFrame:
+    """``closure`` over pairs of which no node starts two: what is known within 2 ** k steps goes on by 2 ** k."""
+    known = cut(roots.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
+    n, size = known.count(), 1
+    while True:
+        further = known.join(step, known.node == step.src).select(F.col("dst").alias("node"), (F.col("depth") + size).alias("depth"))
+        known = cut(known.union(further).groupBy("node").agg(F.min("depth").alias("depth")))
+        m = known.count()
+        # any node farther away has one before it in this range
+        if m == n:
+            return known
+        n, size, step = m, 2 * size, cut(_after(step, step))
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label): the smallest node reachable, for each node of ``edges``.
 
@@ -149,17 +172,75 @@ def _least_reaching(pairs: DataFrame) -> DataFrame:
         colours = after.select("node", "colour")
 
 
+def _cycle_nodes(step: DataFrame) -> DataFrame:
+    """(node): the nodes on cycles of pairs of which no node starts two.
+
+    The ends of walks of 2 ** k steps only get fewer with k; when a round takes
+    none away, walks of that length permute them.
+    """
+    ends = cut(step.select(F.col("dst").alias("node")).distinct())
+    n = ends.count()
+    while True:
+        step = cut(_after(step, step))
+        ends = cut(step.select(F.col("dst").alias("node")).distinct())
+        m = ends.count()
+        if m == n:
+            return ends
+        n = m
+
+
+def _last(step: DataFrame) -> DataFrame:
+    """(node, up): where the walk from each source of ``step`` ends; no node starts two pairs, and there is no cycle."""
+    up = step.select(F.col("src").alias("node"), F.col("dst").alias("up"))
+    while True:
+        above = up.select(F.col("node").alias("__n"), F.col("up").alias("top"))
+        up = cut(up.join(above, up.up == above["__n"], "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+        if not up.where("moved").limit(1).count():
+            return up.select("node", "up")
+        up = up.select("node", "up")
+
+
 def cycle_edges(pairs: DataFrame) -> DataFrame:
     """The pairs (src, dst) whose target can get back to the source.
 
+    Nodes that start one pair only are contracted into where their walks end,
+    in logarithmic rounds; a walk of such nodes that never ends leads into a
+    cycle that nothing leaves. The pairs of branching nodes are left, and are
+    asked for again in the contracted graph.
+    """
+    given = cut(pairs.select("src", "dst").where("src is not null and dst is not null").distinct())
+    loops, left = given.where("src = dst"), cut(given.where("src <> dst"))
+    out = left.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("dst"))
+    single = cut(out.where("n = 1").select("src", "dst"))
+    n = single.count()
+    if not n:
+        return loops.union(_strong_edges(left))
+    ring = _cycle_nodes(single)
+    on = single.join(ring.withColumnRenamed("node", "src"), "src", "left_semi")
+    if n == left.count():
+        return loops.union(cut(on.select("src", "dst")))
+    # what leads into a ring never comes back
+    lost = closure(single.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ring).select(F.col("node").alias("src"))
+    chain = cut(single.join(lost, "src", "left_anti").select("src", "dst"))
+    up = _last(chain)
+    gone = lost.withColumnRenamed("src", "dst")
+    fork = cut(left.join(single.select("src"), "src", "left_anti").join(gone, "dst", "left_anti").select("src", "dst"))
+    short = cut(_moved(fork.withColumn("to", F.col("dst")), "to", up))
+    back = cycle_edges(short.select("src", F.col("to").alias("dst"))).select("src", F.col("dst").alias("to"))
+    marked = cut(short.join(back, ["src", "to"], "left_semi").select("src", "dst"))
+    passed = closure(chain, marked.select(F.col("dst").alias("node"))).select(F.col("node").alias("src"))
+    return loops.union(cut(on.select("src", "dst"))).union(marked).union(cut(chain.join(passed, "src", "left_semi").select("src", "dst")))
+
+
+def _strong_edges(pairs: DataFrame) -> DataFrame:
+    """``cycle_edges`` of pairs of different nodes that all branch.
+
     Pairs that start or end outside every cycle are trimmed. Of the rest each
     node takes the smallest node that reaches it as its colour; the nodes of a
     colour that get back to that node are one strong component, and leave with
     it. No table is ever larger than the pairs.
     """
-    given = cut(pairs.select("src", "dst").where("src is not null and dst is not null").distinct())
-    found = [given.where("src = dst")]
-    left = _trimmed(given.where("src <> dst"))
+    left, found = _trimmed(pairs), [pairs.limit(0)]
     while left.limit(1).count():
         colours = _least_reaching(left)
         at = colours.select(F.col("node").alias("__s"), F.col("colour").alias("cs"))

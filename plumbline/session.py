@@ -42,4 +42,19 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     shuffle partition behind in every round.
     """
     shared_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(1 + rows // ROWS)).checkpoint(eager=True)
+    return _plain((df if rows is None else df.coalesce(1 + rows // ROWS)).checkpoint(eager=True))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """``df`` without its estimated size where that is no size any more.
+
+    A checkpoint takes over the size that its plan was estimated at, and a
+    join is estimated at the product of its sides: in loops that join a table
+    with itself the number's digits double each round, until planning takes
+    minutes and the driver's memory.
+    """
+    plan = df._jdf.queryExecution()
+    if int(plan.optimizedPlan().stats().sizeInBytes()) < 1 << 63:
+        return df
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), spark)

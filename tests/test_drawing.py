@@ -11,6 +11,7 @@ from plumbline.functions import geometry as G
 from plumbline.functions import text as X
 from plumbline.operators import assembly, colours, dedup, graph, records, select, spatial
 from plumbline.plans import catalogue
+from plumbline.session import cut
 from plumbline.sources import dxf
 from plumbline.streaming import arrivals
 
@@ -255,3 +256,45 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda df: sorted((r.start, r.event_type, r.n) for r in df.collect())
     assert key(spark.sql("select * from arrived")) == key(arrivals.windowed_counts(events, "ts", "event_type"))
+
+
+def test_cycles_and_searches_take_few_rounds_on_long_walks(spark, monkeypatch):
+    calls = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda *a: calls.append(1) or real(*a))
+    ring = [(i, (i + 1) % 300) for i in range(300)]
+    tail = [(1000 + i, 1001 + i) for i in range(100)] + [(1100, 0)]
+    pairs = spark.createDataFrame(ring + tail, "src long, dst long")
+    assert sorted(map(tuple, graph.cycle_edges(pairs).collect())) == sorted(ring)
+    found = {r.node: r.depth for r in graph.closure(pairs, spark.createDataFrame([(1000,), (150,)], "node long")).collect()}
+    assert found == {1000 + i: i for i in range(101)} | {(150 + i) % 300: min(i, 101 + (150 + i) % 300) for i in range(300)}
+    assert len(calls) < 60
+
+
+def test_cycles_through_chains_and_branches(spark):
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        given = {(rng.randrange(40), rng.randrange(40)) for _ in range(50)}
+        ahead = {n: {d for s, d in given if s == n} for n in range(40)}
+
+        def reached(start, ahead=ahead):
+            seen, todo = set(), [start]
+            while todo:
+                for d in ahead[todo.pop()] - seen:
+                    seen.add(d)
+                    todo.append(d)
+            return seen
+
+        want = sorted((s, d) for s, d in given if s == d or s in reached(d))
+        assert sorted(map(tuple, graph.cycle_edges(spark.createDataFrame(list(given), "src long, dst long")).collect())) == want
+
+
+def test_estimates_of_interim_results_stay_numbers(spark):
+    """Joined with itself round by round, a table isn't estimated at ever more digits."""
+    df = spark.range(1, numPartitions=1).withColumn("to", F.col("id"))
+    for _ in range(12):
+        df = cut(df.join(df.select(F.col("id").alias("n"), F.col("to").alias("further")), F.col("to") == F.col("n")).select("id", F.col("further").alias("to")))
+    assert [tuple(r) for r in df.collect()] == [(0, 0)]
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 200
