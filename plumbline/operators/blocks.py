@@ -39,6 +39,36 @@ def flattened(roots: DataFrame, inserts: DataFrame, members: DataFrame, depth: i
     return placed.join(members, "block").select("root", "depth", "id", (F.col("a") * x + F.col("b") * y + F.col("tx")).alias("px"), (F.col("c") * x + F.col("d") * y + F.col("ty")).alias("py"))
 
 
+def flattened_totals(roots: DataFrame, inserts: DataFrame, members: DataFrame, depth: int = 8) -> DataFrame:
+    """(root, depth, n, sum_x, sum_y): how many members ``flattened`` places for each root at each depth, and the sums of their places.
+
+    Sums of composed maps are the composed sums of maps, so all ways from a
+    root to a block go on as one row, and there are never more rows than
+    roots times blocks, however many ways there are.
+    """
+    cos, sin = F.cos(F.radians("rotation")), F.sin(F.radians("rotation"))
+    total = lambda v, n: F.sum(v).alias(n)
+    steps = cut(inserts.groupBy("block", "child").agg(F.count("*").alias("m"), total("x", "ix"), total("y", "iy"), total(F.col("sx") * cos, "p"), total(-F.col("sy") * sin, "q"), total(F.col("sx") * sin, "r"), total(F.col("sy") * cos, "s")))
+    own = cut(members.groupBy("block").agg(F.count("*").alias("m"), total("x", "mx"), total("y", "my")))
+    front = roots.groupBy("root", "block").agg(F.count("*").alias("k"))
+    front = cut(front.select("root", "block", "k", *[(F.col("k") * F.lit(v)).alias(n) for n, v in (("a", 1.0), ("b", 0.0), ("c", 0.0), ("d", 1.0), ("tx", 0.0), ("ty", 0.0))]))
+    levels, c = [], F.col
+    for n in range(depth + 1):
+        levels.append(front.withColumn("depth", F.lit(n)))
+        if n == depth:
+            break
+        front = cut(front.join(steps, "block").groupBy("root", F.col("child").alias("block")).agg(
+            total(c("k") * c("m"), "k"),
+            total(c("a") * c("p") + c("b") * c("r"), "a"), total(c("a") * c("q") + c("b") * c("s"), "b"), total(c("c") * c("p") + c("d") * c("r"), "c"), total(c("c") * c("q") + c("d") * c("s"), "d"),
+            total(c("a") * c("ix") + c("b") * c("iy") + c("tx") * c("m"), "tx"), total(c("c") * c("ix") + c("d") * c("iy") + c("ty") * c("m"), "ty"),
+        ))
+        if not front.limit(1).count():
+            break
+    placed = reduce(DataFrame.union, levels).join(own, "block")
+    sums = [total(c(u) * c("mx") + c(v) * c("my") + c(t) * c("m"), "sum_" + n) for u, v, t, n in (("a", "b", "tx", "x"), ("c", "d", "ty", "y"))]
+    return placed.groupBy("root", "depth").agg(total(c("k") * c("m"), "n"), *sums)
+
+
 def text_layers(layers: DataFrame, span: int = 8, suffix: str = "_TEXT") -> DataFrame:
     """(handle, text_handle): layers with a layer of their name and the suffix within ``span`` handles; the nearest, then the smaller handle."""
     base = layers.select("handle", F.upper("name").alias("key"))

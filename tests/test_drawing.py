@@ -291,6 +291,21 @@ def test_cycles_through_chains_and_branches(spark):
         assert sorted(map(tuple, graph.cycle_edges(spark.createDataFrame(list(given), "src long, dst long")).collect())) == want
 
 
+def test_totals_of_flattened_blocks(spark):
+    from plumbline.operators import blocks
+
+    roots = spark.createDataFrame([(7, 1), (8, 1), (9, 2)], "root long, block long")
+    inserts = spark.createDataFrame([(1, 2, 3.0, 4.0, 2.0, 0.5, 30.0), (1, 2, 1.0, 1.0, 1.0, 1.0, 0.0), (2, 3, 5.0, 0.0, 1.5, 1.0, 75.0), (3, 1, 0.0, 2.0, 1.0, 3.0, 10.0)], "block long, child long, x double, y double, sx double, sy double, rotation double")
+    members = spark.createDataFrame([(1, 1, 1.0, 2.0), (2, 2, 3.0, 4.0), (2, 3, 0.5, 0.0), (3, 4, 1.0, 1.0)], "block long, id long, x double, y double")
+    plain = blocks.flattened(roots, inserts, members).groupBy("root", "depth").agg(F.count("*").alias("n"), F.sum("px").alias("sum_x"), F.sum("py").alias("sum_y"))
+    got, want = ({(r.root, r.depth): (r.n, round(r.sum_x, 6), round(r.sum_y, 6)) for r in df.collect()} for df in (blocks.flattened_totals(roots, inserts, members), plain))
+    assert got == want and len(got) == 27
+    # a thousand inserts a level: a thousand million ways
+    many = spark.range(3000).select((F.col("id") % 3).alias("block"), (F.col("id") % 3 + 1).alias("child"), *[F.lit(v).alias(n) for n, v in (("x", 1.0), ("y", 0.0), ("sx", 1.0), ("sy", 1.0), ("rotation", 0.0))])
+    far = blocks.flattened_totals(spark.createDataFrame([(0, 0)], "root long, block long"), many, spark.createDataFrame([(3, 1, 0.0, 0.0)], "block long, id long, x double, y double"))
+    assert [tuple(r) for r in far.collect()] == [(0, 3, 10**9, 3e9, 0.0)]
+
+
 def test_estimates_of_interim_results_stay_numbers(spark):
     """Joined with itself round by round, a table isn't estimated at ever more digits."""
     df = spark.range(1, numPartitions=1).withColumn("to", F.col("id"))
