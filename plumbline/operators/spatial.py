@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.graph import components
+from plumbline.operators.graph import merged
 from plumbline.session import cut
 
 
@@ -32,20 +32,67 @@ def nearby_layer(points: DataFrame, boxes: DataFrame, dx: float = 1600.0, dy: fl
     return by.groupBy("id").agg(F.max_by(F.struct("layer_handle", "score"), F.struct("score", -F.col("layer_handle"))).alias("b")).select("id", "b.layer_handle", "b.score")
 
 
+#: Pairs of points that are compared one by one, for each point, before pairs of boxes are split further.
+COMPARED = 16
+#: Splits of a cell before what is still open is compared point by point.
+SPLITS = 20
+
+
+def _boxes(points: DataFrame, level: int) -> DataFrame:
+    """The cells' parts of 1 / 2 ** level of their side, with their bounds, size and one of their points."""
+    part = lambda c: F.floor(F.col(c) * float(2**level)).alias("i" + c)
+    bounds = [f(c).alias(n) for c in "xy" for f, n in ((F.min, "lo" + c), (F.max, "hi" + c))]
+    return points.groupBy("cell", part("u"), part("v")).agg(*bounds, F.min(F.struct("x", "y")).alias("one"), F.count("*").alias("n"))
+
+
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(c + side) for c in df.columns])
+
+
 def clusters(points: DataFrame, radius: float) -> DataFrame:
     """(id, cluster): points linked within ``radius``; a cluster is named by its smallest id.
 
     Points of one cell of side radius / sqrt 2 are always linked, so they meet
-    as one node; pairs across cells only matter once per pair of cells.
+    as one node. Pairs of cells are told by their bounds and by one point of
+    each; those that are neither linked so, nor by way of others, nor too far
+    are split into parts, and points are compared where few pairs are left.
     """
-    side = radius / 2**0.5
-    p = points.select("id", "x", "y", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"))
+    size = radius / 2**0.5
+    p = points.select("id", "x", "y", (F.col("x") / size).alias("u"), (F.col("y") / size).alias("v")).withColumns({"cx": F.floor("u"), "cy": F.floor("v")})
     cells = p.groupBy("cx", "cy").agg(F.min("id").alias("cell"))
-    p = cut(p.join(cells, ["cx", "cy"]))
+    p = cut(p.join(cells, ["cx", "cy"]).select("id", "x", "y", "u", "v", "cell"))
+    rows, square = p.count(), radius * radius
+    labels = cut(p.select(F.col("cell").alias("node")).distinct().withColumn("label", F.col("node")))
+    boxes = cut(_boxes(p, 0))
     step = F.explode(F.sequence(F.lit(-2), F.lit(2)))
-    q = p.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("cell").alias("cell2"), "cx", "cy").withColumn("dx", step).withColumn("dy", F.explode(F.sequence(F.lit(-2), F.lit(2))))
-    q = q.select("x2", "y2", "cell2", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    near = (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")) <= radius * radius
-    links = p.join(q, ["cx", "cy"]).where((F.col("cell") < F.col("cell2")) & near).select("cell", "cell2").distinct()
-    labels = components(cut(links), "cell", "cell2").withColumnRenamed("node", "cell")
-    return p.join(labels, "cell", "left").select("id", F.coalesce("label", "cell").alias("cluster"))
+    to = boxes.select("cell", "iu", "iv").withColumn("du", step).withColumn("dv", F.explode(F.sequence(F.lit(-2), F.lit(2))))
+    to = to.select(F.col("cell").alias("cell2"), F.col("iu").alias("iu2"), F.col("iv").alias("iv2"), (F.col("iu") + F.col("du")).alias("iu"), (F.col("iv") + F.col("dv")).alias("iv"))
+    pair = boxes.select("cell", "iu", "iv").join(to, ["iu", "iv"]).where("cell < cell2").select("cell", "iu", "iv", "cell2", "iu2", "iv2")
+    for level in range(SPLITS + 1):
+        told = pair.join(boxes, ["cell", "iu", "iv"]).join(_sided(boxes, "2"), ["cell2", "iu2", "iv2"])
+        c = F.col
+        gap = lambda v: F.greatest(c(f"lo{v}2") - c(f"hi{v}"), c(f"lo{v}") - c(f"hi{v}2"), F.lit(0.0))
+        span = lambda v: F.greatest(c(f"hi{v}2") - c(f"lo{v}"), c(f"hi{v}") - c(f"lo{v}2"))
+        dx, dy = c("one.x") - c("one2.x"), c("one.y") - c("one2.y")
+        near = (span("x") * span("x") + span("y") * span("y") <= square) | (dx * dx + dy * dy <= square)
+        told = cut(told.where(gap("x") * gap("x") + gap("y") * gap("y") <= square).select("cell", "iu", "iv", "cell2", "iu2", "iv2", (c("n") * c("n2")).alias("work"), near.alias("near")))
+        labels = merged(labels, told.where("near").select("cell", "cell2").distinct(), "cell", "cell2")
+        own = labels.select(F.col("node").alias("cell"), F.col("label").alias("l1"))
+        own2 = labels.select(F.col("node").alias("cell2"), F.col("label").alias("l2"))
+        pair = cut(told.where("not near").join(own, "cell").join(own2, "cell2").where("l1 <> l2").select("cell", "iu", "iv", "cell2", "iu2", "iv2", "work"))
+        work = pair.agg(F.sum("work")).first()[0] or 0
+        if not work:
+            break
+        few = pair.select("cell").union(pair.select("cell2")).distinct()
+        rest = p.join(few, "cell", "left_semi")
+        if work <= COMPARED * rows or level == SPLITS:
+            part = rest.select("cell", F.floor(c("u") * float(2**level)).alias("iu"), F.floor(c("v") * float(2**level)).alias("iv"), "x", "y")
+            both = pair.join(part, ["cell", "iu", "iv"]).join(_sided(part, "2"), ["cell2", "iu2", "iv2"])
+            dx, dy = c("x") - c("x2"), c("y") - c("y2")
+            labels = merged(labels, cut(both.where(dx * dx + dy * dy <= square).select("cell", "cell2").distinct()), "cell", "cell2")
+            break
+        boxes = cut(_boxes(rest, level + 1))
+        half = boxes.select("cell", F.shiftright("iu", 1).alias("pu"), F.shiftright("iv", 1).alias("pv"), "iu", "iv")
+        up = pair.select("cell", c("iu").alias("pu"), c("iv").alias("pv"), "cell2", c("iu2").alias("pu2"), c("iv2").alias("pv2"))
+        pair = up.join(half, ["cell", "pu", "pv"]).join(_sided(half, "2"), ["cell2", "pu2", "pv2"]).select("cell", "iu", "iv", "cell2", "iu2", "iv2")
+    return p.join(labels.withColumnRenamed("node", "cell"), "cell").select("id", F.col("label").alias("cluster"))

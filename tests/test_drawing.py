@@ -306,6 +306,32 @@ def test_totals_of_flattened_blocks(spark):
     assert [tuple(r) for r in far.collect()] == [(0, 3, 10**9, 3e9, 0.0)]
 
 
+def test_clusters_of_crowded_cells(spark):
+    rows = [(i, (i * 37 % 400) / 10, (i * 61 % 300) / 10) for i in range(1500)]
+    rows += [(2000 + i, 47.0 + (i * 37 % 300) / 10, (i * 61 % 300) / 10) for i in range(1500)]
+    rows += [(5000, 500.0, 500.0)]
+    for radius in (6.5, 7.2):
+        up = {i: i for i, _, _ in rows}
+
+        def top(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        grid = {}
+        for r in rows:
+            grid.setdefault((int(r[1] // radius), int(r[2] // radius)), []).append(r)
+        for i, x, y in rows:
+            for gx in (-1, 0, 1):
+                for gy in (-1, 0, 1):
+                    for j, x2, y2 in grid.get((int(x // radius) + gx, int(y // radius) + gy), []):
+                        a, b = top(i), top(j)
+                        if a != b and (x - x2) ** 2 + (y - y2) ** 2 <= radius * radius:
+                            up[max(a, b)] = min(a, b)
+        got = {r.id: r.cluster for r in spatial.clusters(spark.createDataFrame(rows, "id long, x double, y double"), radius).collect()}
+        assert got == {i: top(i) for i, _, _ in rows}
+
+
 def test_estimates_of_interim_results_stay_numbers(spark):
     """Joined with itself round by round, a table isn't estimated at ever more digits."""
     df = spark.range(1, numPartitions=1).withColumn("to", F.col("id"))
