@@ -48,14 +48,19 @@ def ellipse_points(cx, cy, mx, my, ratio, start, end, segments: int = 64) -> Col
     return F.transform(F.sequence(F.lit(0), F.lit(n)), at)
 
 
+def _bound(body, **values) -> Column:
+    """``body`` of a struct of values that are worked out once; a lambda would work them out for each of its elements."""
+    return F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), body)[0]
+
+
 def bulge_points(x1, y1, x2, y2, bulge, per_turn: int = 64) -> Column:
     """A polyline segment with a bulge (a quarter of whose arc tangent is its angle) as points, both ends exact."""
     chord, theta = F.hypot(x2 - x1, y2 - y1), 4 * F.atan(bulge)
     off = chord * (1 - bulge * bulge) / (4 * bulge)
     cx, cy = (x1 + x2) / 2 - (y2 - y1) / chord * off, (y1 + y2) / 2 + (x2 - x1) / chord * off
-    r, a = F.hypot(x1 - cx, y1 - cy), F.atan2(y1 - cy, x1 - cx)
     n = F.greatest(F.lit(2), F.ceil(F.abs(theta) * max(8, per_turn) / (2 * math.pi))).cast("int")
-    inner = F.transform(F.sequence(F.lit(1), n - 1), lambda i: point(cx + r * F.cos(a + theta * i / n), cy + r * F.sin(a + theta * i / n)))
+    turned = lambda c: _bound(lambda v: F.transform(F.sequence(F.lit(1), v["n"] - 1), lambda i: point(v["cx"] + v["r"] * F.cos(v["a"] + v["theta"] * i / v["n"]), v["cy"] + v["r"] * F.sin(v["a"] + v["theta"] * i / v["n"]))), cx=c["cx"], cy=c["cy"], r=F.hypot(x1 - c["cx"], y1 - c["cy"]), a=F.atan2(y1 - c["cy"], x1 - c["cx"]), theta=c["theta"], n=c["n"])
+    inner = _bound(turned, cx=cx, cy=cy, theta=theta, n=n)
     ends = [F.array(point(x1, y1)), F.array(point(x2, y2))]
     return F.when((F.abs(bulge) <= 1e-12) | (chord <= 1e-12), F.concat(*ends)).otherwise(F.concat(ends[0], inner, ends[1]))
 

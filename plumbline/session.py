@@ -30,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it comes in fewer pieces: small files with much to do for each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Rows of an interim result that one partition may hold when its size is known.
 ROWS = 50_000
 

@@ -339,3 +339,23 @@ def test_estimates_of_interim_results_stay_numbers(spark):
         df = cut(df.join(df.select(F.col("id").alias("n"), F.col("to").alias("further")), F.col("to") == F.col("n")).select("id", F.col("further").alias("to")))
     assert [tuple(r) for r in df.collect()] == [(0, 0)]
     assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 200
+
+
+def test_bulges_are_worked_out_once_and_on_all_cores(spark, tmp_path):
+    """One small file is dealt over the cores, and the plan has one pass over a row's points."""
+    from plumbline.plans import registry
+
+    part = spark.range(40, numPartitions=1).select(F.col("id").alias("p_partkey"), (F.col("id") % 50 + 1).alias("p_size"))
+    df = registry.bulge_segment(part)
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+    k = 3
+    b, x2, y2 = (k % 19 - 9.5) / 10, k + 2.0, float(k)
+    chord, theta = math.hypot(x2, y2), 4 * math.atan(b)
+    off = chord * (1 - b * b) / (4 * b)
+    cx, cy = x2 / 2 - y2 / chord * off, y2 / 2 + x2 / chord * off
+    n, a, r = max(2, math.ceil(abs(theta) * 64 / (2 * math.pi))), math.atan2(-cy, -cx), math.hypot(cx, cy)
+    want = (n + 1, x2 + sum(cx + r * math.cos(a + theta * i / n) for i in range(1, n)), y2 + sum(cy + r * math.sin(a + theta * i / n) for i in range(1, n)))
+    row = df.where(f"part = {k}").first()
+    assert (row.n, row.sum_x, row.sum_y) == pytest.approx(want, abs=1e-3)
