@@ -21,15 +21,38 @@ def nearby_layer(points: DataFrame, boxes: DataFrame, dx: float = 1600.0, dy: fl
     adds its weight and up to 6 for its nearness along either axis. A box
     meets a point in the one cell of the grid that the point is in, so the join
     is an equi-join and no pair is met twice.
+
+    A layer's boxes of a cell come as one row, so a pair of point and layer has
+    its whole score where it is met: maxima leave the join, not pairs. Only
+    pairs of ids that name several points are summed up by a shuffle.
     """
-    p = points.withColumn("__cx", F.floor(F.col("x") / dx)).withColumn("__cy", F.floor(F.col("y") / dy))
     b = _cells(_cells(boxes, "min_x", "max_x", dx, dx, "__cx"), "min_y", "max_y", dy, dy, "__cy")
-    gap = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
-    df = p.join(b, ["__cx", "__cy"]).withColumn("__dx", gap("x", "min_x", "max_x")).withColumn("__dy", gap("y", "min_y", "max_y")).where((F.col("__dx") <= dx) & (F.col("__dy") <= dy))
-    near = lambda c, a, m, z: F.when(F.col(c) <= a, 6).when(F.col(c) <= m, 3).when(F.col(c) <= z, 1).otherwise(0)
-    df = df.withColumn("__s", F.col("weight") + near("__dx", 100, 400, 900) + near("__dy", 80, 250, 600))
-    by = df.groupBy("id", "layer_handle").agg(F.sum("__s").alias("score"))
-    return by.groupBy("id").agg(F.max_by(F.struct("layer_handle", "score"), F.struct("score", -F.col("layer_handle"))).alias("b")).select("id", "b.layer_handle", "b.score")
+    box = F.struct("min_x", "max_x", "min_y", "max_y", "weight")
+    # sorted, so that a layer's sum is the same whenever it is worked out
+    b = b.groupBy("__cx", "__cy", "layer_handle").agg(F.min(box).alias("__box"), F.sort_array(F.collect_list(box)).alias("__boxes"), F.count("*").alias("__n"))
+    b = b.select("__cx", "__cy", "layer_handle", "__box.*", F.when(F.col("__n") > 1, F.col("__boxes")).alias("__boxes"))
+    gap = lambda v, lo, hi: F.greatest(lo - v, v - hi, F.lit(0.0))
+    near = lambda c, a, m, z: F.when(c <= a, 6).when(c <= m, 3).when(c <= z, 1).otherwise(0)
+
+    def one(get):
+        x, y = gap(F.col("x"), get("min_x"), get("max_x")), gap(F.col("y"), get("min_y"), get("max_y"))
+        return F.when((x <= dx) & (y <= dy), get("weight") + near(x, 100, 400, 900) + near(y, 80, 250, 600))
+
+    each = F.filter(F.transform("__boxes", lambda v: one(lambda c: v[c])), lambda s: s.isNotNull())
+    several = F.when(F.size(each) > 0, F.aggregate(F.slice(each, 2, F.size("__boxes")), F.element_at(each, 1), lambda t, s: t + s))
+
+    def met(p: DataFrame) -> DataFrame:
+        p = p.withColumn("__cx", F.floor(F.col("x") / dx)).withColumn("__cy", F.floor(F.col("y") / dy))
+        return p.join(b, ["__cx", "__cy"]).withColumn("__s", F.when(F.col("__boxes").isNull(), one(F.col)).otherwise(several)).where("__s is not null")
+
+    ids = points.groupBy("id").agg(F.count("*").alias("__k"), F.min("x").alias("x"), F.min("y").alias("y"))
+    top = met(ids.where("__k = 1").select("id", "x", "y")).groupBy("id", "x", "y").agg(F.max("__s").alias("score"))
+    alone = met(top).where("__s = score").groupBy("id", "x", "y").agg(F.min("layer_handle").alias("layer_handle"), F.max("score").alias("score")).select("id", "layer_handle", "score")
+    some = ids.where("__k > 1").select(F.col("id").alias("__i"))
+    by = met(points.join(some, F.col("id").eqNullSafe(F.col("__i")), "left_semi")).groupBy("id", "layer_handle").agg(F.sum("__s").alias("score"))
+    best = by.groupBy("id").agg(F.max("score").alias("__m")).withColumnRenamed("id", "__i")
+    tied = by.join(best, F.col("id").eqNullSafe(F.col("__i")) & (F.col("score") == F.col("__m")))
+    return alone.union(tied.groupBy("id").agg(F.min("layer_handle").alias("layer_handle"), F.max("score").alias("score")))
 
 
 #: Pairs of points that are compared one by one, for each point, before pairs of boxes are split further.
