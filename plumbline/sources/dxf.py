@@ -1,8 +1,8 @@
 """Drawing files in the text exchange format as DataFrames, and back.
 
 A file is lines in pairs of a group code and a value. Files are read whole (one
-row a file), cut into pairs, and told apart into entities by running marks, all
-with SQL functions; nothing is parsed on the driver.
+row a file), cut into pairs and these into records in their row, all with SQL
+functions; nothing is parsed on the driver.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import cut
-
 #: Group codes of the fields that entities are read into.
 NUMBERS = {"10": "x", "20": "y", "30": "z", "11": "x2", "21": "y2", "31": "z2", "40": "r", "50": "start", "51": "end", "210": "ex", "220": "ey", "230": "ez"}
 #: The fields of each type by their group code: d double, i whole number, s text, p point (of the code, and 10 and 20 more), * all of them.
@@ -52,16 +50,40 @@ VARIABLES = {
 }
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(file, k, code, value, section) of all files under ``path``; unpaired last lines are left out."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r\n|\n|\r").alias("lines"))
-    n = F.floor(F.size("lines") / 2).cast("int")
-    each = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(k.alias("k"), F.trim(F.element_at("lines", 2 * k - 1)).alias("code"), F.element_at("lines", 2 * k).alias("value")))
-    df = files.where(F.size("lines") >= 2).select("file", F.explode(each).alias("p")).select("file", "p.*")
-    w = Window.partitionBy("file").orderBy("k")
-    named = (F.lag("code").over(w) == "0") & (F.lag("value").over(w) == "SECTION") & (F.col("code") == "2")
-    df = df.withColumn("__mark", F.when(named, F.col("value")).when((F.col("code") == "0") & (F.col("value") == "ENDSEC"), F.lit("")))
-    return df.withColumn("section", F.last("__mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__mark")
+    """(file, section, codes) of all files under ``path``: the pairs (k, code, value) of each section, from its name on; unpaired last lines are left out.
+
+    The pairs of a file are told apart in its row, so none of them is
+    shuffled. Sections of one name are one row; a file without any has one
+    row of nulls.
+    """
+
+    def each(line: Column) -> Column:
+        last = F.floor(F.size(line) / 2).cast("int")
+        return F.transform(F.sequence(F.lit(1), last), lambda k: F.struct(k.alias("k"), F.trim(F.get(line, 2 * k - 2)).alias("code"), F.get(line, 2 * k - 1).alias("value")))
+
+    def sections(codes: Column) -> Column:
+        after = lambda m: F.get(codes, m["k"])
+        mark = lambda k, name: F.struct(k.alias("k"), name.alias("section"))
+        ends = F.filter(codes, lambda p: (p["code"] == "0") & p["value"].isin("SECTION", "ENDSEC"))
+        ends = F.filter(ends, lambda m: (m["value"] == "ENDSEC") | (after(m)["code"] == "2"))
+        return F.transform(ends, lambda m: F.when(m["value"] == "ENDSEC", mark(m["k"], F.lit(""))).otherwise(mark(m["k"] + 1, after(m)["value"])))
+
+    def cut_up(codes: Column) -> Column:
+        span = lambda marks: F.transform(marks, lambda m, i: F.struct(m["section"].alias("section"), F.slice(codes, m["k"], F.coalesce(F.get(marks, i + 1)["k"], F.size(codes) + 1) - m["k"]).alias("codes")))
+        named = lambda spans: F.array_remove(F.array_distinct(F.transform(spans, lambda p: p["section"])), "")
+        one = lambda spans, name: F.struct(name.alias("section"), F.flatten(F.transform(F.filter(spans, lambda p: p["section"] == name), lambda p: p["codes"])).alias("codes"))
+        return _let(_let(sections(codes), span), lambda spans: F.transform(named(spans), lambda name: one(spans, name)))
+
+    files = spark.read.text(path, wholetext=True).where(F.col("value").rlike("[\r\n]"))
+    # outer, as else the optimizer works the list out once more to test that it isn't empty
+    cut_files = files.select(F.input_file_name().alias("file"), F.explode_outer(_let(_let(F.split("value", "\r\n|\n|\r"), each), cut_up)).alias("s"))
+    return cut_files.select("file", "s.section", "s.codes")
 
 
 def records(pair: DataFrame, section: str = "ENTITIES") -> DataFrame:
@@ -71,10 +93,13 @@ def records(pair: DataFrame, section: str = "ENTITIES") -> DataFrame:
     are named before it. ``paper`` is true for paper space. Values that can't
     be read are null.
     """
-    df = pair.where(F.col("section") == section)
-    w = Window.partitionBy("file").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("ord", F.sum((F.col("code") == "0").cast("int")).over(w)).where(~((F.col("code") == "0") & F.col("value").isin("SECTION", "ENDSEC")))
-    df = df.groupBy("file", "ord").agg(F.sort_array(F.collect_list(F.struct("k", "code", "value"))).alias("codes"))
+
+    def cut_up(codes: Column) -> Column:
+        heads = F.filter(F.transform(codes, lambda p, i: F.when(p["code"] == "0", i + 1)), lambda i: i.isNotNull())
+        return _let(heads, lambda hs: F.transform(hs, lambda h, i: F.struct((i + 1).cast("long").alias("ord"), F.slice(codes, h, F.coalesce(F.get(hs, i + 1), F.size(codes) + 1) - h).alias("codes"))))
+
+    df = pair.where(F.col("section") == section).select("file", F.explode_outer(_let(F.col("codes"), cut_up)).alias("r")).select("file", "r.ord", "r.codes")
+    df = df.where(~F.coalesce(F.get("codes", F.lit(0))["value"].isin("SECTION", "ENDSEC"), F.lit(True)))
     at = F.array_position(F.col("codes.code"), "100").cast("int")
     owners = F.expr("filter(if(__at > 0, slice(codes, 1, __at), codes), c -> c.code = '330').value")
     df = df.withColumn("__at", at).withColumn("__owner", F.try_element_at(owners, F.lit(-1)))
@@ -201,7 +226,7 @@ def header_variables(pair: DataFrame) -> DataFrame:
 def header(pair: DataFrame) -> DataFrame:
     """(file, name, code, value) of the header's variables."""
     w = Window.partitionBy("file").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    df = pair.where("section = 'HEADER'").withColumn("name", F.last(F.when(F.col("code") == "9", F.col("value")), ignorenulls=True).over(w))
+    df = pair.where("section = 'HEADER'").select("file", F.explode("codes").alias("p")).select("file", "p.*").withColumn("name", F.last(F.when(F.col("code") == "9", F.col("value")), ignorenulls=True).over(w))
     return df.where("code <> '9' and name is not null and code <> '0'").select("file", "name", "code", "value")
 
 
@@ -243,11 +268,11 @@ def write(rows: DataFrame, path: str) -> DataFrame:
     file in a folder of its own, of at most 65,536 entities, so that a large
     drawing is written and read by many tasks.
     """
-    # the id has its partition and its place there; written once with its part, so that header rows and members agree on it
-    df = cut(group_codes(rows).withColumn("part", F.shiftright(F.monotonically_increasing_id(), 16)))
+    df = group_codes(rows)
     text = F.array_join(F.transform("codes", lambda p: F.concat(p["code"].cast("string"), F.lit("\n"), F.coalesce(p["value"], F.lit("")))), "\n")
-    kept = df.where("codes is not null").select("part", "handle", text.alias("value"))
-    ends = kept.groupBy("part").agg(F.lit(1).alias("n")).select("part", F.explode(F.array(F.struct(F.lit(-1).alias("at"), F.lit("0\nSECTION\n2\nENTITIES").alias("value")), F.struct(F.lit(1).alias("at"), F.lit("0\nENDSEC\n0\nEOF").alias("value")))).alias("e")).select("part", "e.at", F.lit(None).cast("long").alias("handle"), "e.value")
-    both = ends.unionByName(kept.select("part", F.lit(0).alias("at"), "handle", "value"))
-    both.repartition("part").sortWithinPartitions("part", "at", "handle").select("part", "value").write.partitionBy("part").text(path)
+    # the id has its partition and its place there
+    kept = df.select(F.shiftright(F.monotonically_increasing_id(), 16).alias("part"), "handle", text.alias("value")).where("value is not null")
+    w = Window.partitionBy("part").orderBy("handle")
+    first, last = F.when(F.row_number().over(w) == 1, "0\nSECTION\n2\nENTITIES\n").otherwise(""), F.when(F.lead(F.lit(1)).over(w).isNull(), "\n0\nENDSEC\n0\nEOF").otherwise("")
+    kept.select("part", F.concat(first, "value", last).alias("value")).write.partitionBy("part").text(path)
     return df.groupBy("dxftype").agg(F.count_if(F.col("codes").isNotNull()).alias("written"), F.count_if(F.col("codes").isNull()).alias("skipped"))

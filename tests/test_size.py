@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from plumbline.operators import spatial
+from plumbline.sources import dxf
 
 
 def shuffled(df):
@@ -55,3 +56,24 @@ def test_pairs_of_points_and_layers_are_not_shuffled(spark):
     df = spatial.nearby_layer(points, boxes)
     assert df.count() == n
     assert shuffled(df) < n * m / 2
+
+
+def test_pairs_of_exchange_files_are_not_shuffled(spark, tmp_path):
+    rows = spark.range(200).selectExpr("id as handle", "'POINT' as dxftype", "'0' as layer", "1.5D as x", "2.5D as y", "0D as x2", "0D as y2", "1D as r", "0D as start", "0D as end", "'' as text")
+    dxf.write(rows, str(tmp_path / "out"))
+    df = dxf.entities(dxf.pairs(spark, str(tmp_path / "out"))).select("handle", "x", "y")
+    assert sorted(map(tuple, df.collect())) == [(n, 1.5, 2.5) for n in range(200)]
+    assert shuffled(df) == 0
+
+
+def test_sections_repeated_unclosed_or_without_a_name(spark, tmp_path):
+    section, end = ["0", "SECTION", "2"], ["0", "ENDSEC"]
+    line = lambda handle: ["0", "LINE", "5", handle, "8", "0"]
+    lines = [*line("9"), *section, "HEADER", "9", "$INSUNITS", "70", "4", *section, "ENTITIES", *line("A"), *line("B"), "0", "SECTION", "5", "C", *line("D"), *end, *line("E"), *section, "ENTITIES", *line("F"), "8"]
+    (tmp_path / "odd.dxf").write_text("\r\n".join(lines))
+    (tmp_path / "bare.dxf").write_text("\n".join(line("1")))
+    (tmp_path / "empty.dxf").write_text("")
+    pair = dxf.pairs(spark, str(tmp_path))
+    assert [(r.handle, r.ord) for r in dxf.records(pair).orderBy("ord").collect()] == [(0xA, 1), (0xB, 2), (0xD, 4), (0xF, 5)]
+    assert {r.file.rsplit("/", 1)[1]: r.insunits for r in dxf.header_variables(pair).collect()} == {"odd.dxf": 4, "bare.dxf": None}
+    assert [(r.name, r.value) for r in dxf.header(pair).collect()] == [("$INSUNITS", "4")]
