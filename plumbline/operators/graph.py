@@ -12,6 +12,10 @@ from plumbline.session import cut
 
 #: The handle columns that make edges, by the kind of their edges.
 REFERENCES = {"linetype": "linetype_handle", "material": "material_handle", "plotstyle": "plotstyle_handle", "extension_dict": "extension_dict_handle"}
+#: The columns with arrays of handles, by the kind of their edges.
+LISTS = {"reactor": "reactor_handles", "handle_ref": "handle_refs"}
+#: All kinds of edges.
+KINDS = ("owner", "layer", *REFERENCES, *LISTS)
 #: The types whose owner is decoded.
 OWNED = ("LINE", "POINT", "ARC", "CIRCLE", "LWPOLYLINE", "INSERT")
 
@@ -25,16 +29,40 @@ def edges(entities: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     columns (``linetype_handle`` ..., ``reactor_handles``, ``handle_refs``).
     Handle 0, nulls and an entity's own handle make no edge.
     """
+    return _edges(entities).withColumn("kind", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1))
+
+
+def _edges(entities: DataFrame) -> DataFrame:
+    """``edges`` with the place in KINDS for the kind, dealt by ``src``: entities are shuffled once, and what is grouped by ``src`` further stays where it is."""
     there = set(entities.columns)
     owner = F.when(F.col("dxftype").isin(*OWNED), F.col("owner_handle")).cast("long")
-    one = lambda kind, handle: F.array(F.struct(F.lit(kind).alias("kind"), handle.cast("long").alias("dst")))
-    ends = [one("owner", owner), one("layer", F.col("layer_handle"))]
-    ends += [one(kind, F.col(c)) for kind, c in REFERENCES.items() if c in there]
-    ends += [F.expr(f"transform(coalesce({c}, array()), h -> named_struct('kind', '{kind}', 'dst', cast(h as bigint)))") for kind, c in (("reactor", "reactor_handles"), ("handle_ref", "handle_refs")) if c in there]
-    each = entities.select(F.col("handle").alias("src"), F.explode(F.concat(*ends)).alias("e")).select("src", "e.kind", "e.dst")
+    many = {k: c for k, c in LISTS.items() if c in there}
+    one = {"owner": F.col("__owner"), "layer": F.col("layer_handle")} | {k: F.col(c) for k, c in REFERENCES.items() if c in there}
+    rows = entities.select(F.col("handle").alias("src"), owner.alias("__owner"), "layer_handle", *[c for c in REFERENCES.values() if c in there], *[F.array_distinct(c).alias(c) for c in many.values()]).repartition("src")
+    edge = lambda kind, dst: F.struct(F.lit(KINDS.index(kind)).alias("kind"), dst.cast("long").alias("dst"))
+    listed = lambda kind, handles: F.transform(F.coalesce(handles, F.array().cast("array<bigint>")), lambda h: edge(kind, h))
+    ends = [F.array(*[edge(k, c) for k, c in one.items()])] + [listed(k, F.col(c)) for k, c in many.items()]
+    each = rows.select("src", F.explode(F.concat(*ends)).alias("e")).select("src", "e.kind", "e.dst")
     return each.where("dst <> 0 and dst <> src").distinct()
 
 
+def degrees(entities: DataFrame) -> DataFrame:
+    """(handle, kind, n_from, n_to, first): the edges out of and into every handle by kind, and the smallest handle that they come from.
+
+    Edges are counted where they are dealt to, one row a handle; only counts
+    by target are shuffled, and handles meet with a column for each kind.
+    """
+    e = _edges(entities)
+    kinds = range(len(KINDS))
+    out = e.groupBy(F.col("src").alias("handle")).agg(*[F.count_if(F.col("kind") == k).alias(f"o{k}") for k in kinds])
+    into = e.groupBy(F.col("dst").alias("handle"), "kind").agg(F.count("*").alias("n"), F.min("src").alias("first"))
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    into = into.groupBy("handle").agg(*[of(k, "n").alias(f"i{k}") for k in kinds], *[of(k, "first").alias(f"f{k}") for k in kinds])
+    n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), n(f"o{k}").alias("n_from"), n(f"i{k}").alias("n_to"), F.col(f"f{k}").alias("first")) for k, kind in enumerate(KINDS)])
+    return out.join(into, "handle", "full_outer").select("handle", F.explode(each).alias("d")).select("handle", "d.*").where("n_from > 0 or n_to > 0")
+
+
 def header_handles(blocks: DataFrame) -> DataFrame:
     """(label, handle): the smallest handle of each block-name prefix that the header refers to."""
     name = F.upper(F.trim("name"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import spatial
+from plumbline.operators import graph, spatial
 from plumbline.sources import dxf
 
 
@@ -77,3 +77,20 @@ def test_sections_repeated_unclosed_or_without_a_name(spark, tmp_path):
     assert [(r.handle, r.ord) for r in dxf.records(pair).orderBy("ord").collect()] == [(0xA, 1), (0xB, 2), (0xD, 4), (0xF, 5)]
     assert {r.file.rsplit("/", 1)[1]: r.insunits for r in dxf.header_variables(pair).collect()} == {"odd.dxf": 4, "bare.dxf": None}
     assert [(r.name, r.value) for r in dxf.header(pair).collect()] == [("$INSUNITS", "4")]
+
+
+def test_edges_are_counted_where_entities_are(spark):
+    n = 400
+    rows = spark.range(n).selectExpr("id + 1000 as handle", "'LINE' as dxftype", "id % 5 as owner_handle", "id % 3 + 1 as layer_handle", "array(id % 2, 7, 7, null, id + 1000) as reactor_handles", "if(id % 4 = 0, array(id + 1001), null) as handle_refs")
+    again = rows.union(rows.where("handle < 1010"))
+    df = graph.degrees(again)
+    e = {(r.src, r.kind, r.dst) for r in graph.edges(again).collect()}
+    want = {}
+    for src, kind, dst in e:
+        for at, way in ((src, 0), (dst, 1)):
+            own = want.setdefault((at, kind), [0, 0, None])
+            own[way] += 1
+            if way:
+                own[2] = src if own[2] is None else min(own[2], src)
+    assert {(r.handle, r.kind): [r.n_from, r.n_to, r.first] for r in df.collect()} == want
+    assert len(e) > 3 * n and shuffled(df) < len(e)
