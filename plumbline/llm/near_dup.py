@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline import session
 from plumbline.llm import kernels as K
 from plumbline.operators.graph import components, merged
 from plumbline.session import cut, table
@@ -151,27 +152,35 @@ def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
 def confirm(pairs: DataFrame, texts: DataFrame, repeated: bool = False) -> DataFrame:
     """The pairs (a, b) whose texts' full sets reach the threshold; texts: (node, text), equal ones where a node is ``repeated``.
 
-    Pairs are dealt by their second node, so that a hub's text is read by the
-    tasks of its pairs alone; Spark may split a hot hub's, as nothing after
-    the join needs them together.
+    Few pairs are sent to the texts, so that only texts of pairs are shuffled,
+    dealt by both nodes. More are dealt by their second node, so that a hub's
+    text is read by the tasks of its pairs alone; Spark may split a hot hub's,
+    as nothing after the join needs them together.
     """
     pairs = cut(pairs)
     n = pairs.count()
     if not n:
         return pairs.select("a", "b")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts.join(_sent(ids, 2 * n), "node", "left_semi")
-    if repeated:
-        texts = texts.dropDuplicates(["node"])
-    ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
+    if n <= BROADCAST_IDS:
+        sent = lambda own, other: texts.join(F.broadcast(pairs), F.col("node") == F.col(own)).select("a", "b", F.col("text").alias(f"t{own}"))
+        # b first: the pairs of a hub come in a row
+        rows = sent("a", "b").join(sent("b", "a"), ["b", "a"]).select("a", "b", "ta", "tb")
+        if repeated:
+            rows = rows.dropDuplicates(["b", "a"])
+    else:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = texts.join(ids, "node", "left_semi")
+        if repeated:
+            texts = texts.dropDuplicates(["node"])
+        ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+        rows = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 yield _linked(batch.slice(i, 1024))
 
-    return cut(rows.mapInArrow(run, pairs.select("a", "b").schema))
+    return cut(rows.mapInArrow(run, pairs.select("a", "b").schema), n, dealt=True)
 
 
 def _sent(df: DataFrame, n: int) -> DataFrame:
@@ -217,13 +226,14 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, by_id: bool) -> tuple[
     least = cut(entries.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least"))
     shared = cut(entries.join(least, "band").select("band", "node", "least"))
     texts = docs.select(key.alias("node"), F.col(text_col).alias("text"))
-    stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    # dealt by a once, for both what tells pairs apart and the join of a's traits
+    stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).repartition("a").distinct()
     links = confirm(_sketched(stars, traits), texts, repeated)
     if by_id and not unique:
         member = slim.where("doc_id is not null").join(classes.select("set_lo", "set_hi", "node"), ["set_lo", "set_hi"]).select("doc_id", "node")
         several = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b < z")
         links = cut(links.union(member.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b").distinct()))
-    labels = components(links, "a", "b")
+    labels = components(links, "a", "b", links.count())
     entries, many, n = shared.select("band", "node"), True, 0
     while many:
         left, size, across = _mixed(entries, labels)
@@ -231,18 +241,21 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, by_id: bool) -> tuple[
             break
         if n == 0:  # no other class meets another one any more
             nodes = cut(left.select("node").distinct(), size)
-            traits = cut(traits.join(_sent(nodes, size), "node", "left_semi"))
+            m = nodes.count()
+            traits = cut(traits.join(_sent(nodes, m), "node", "left_semi"), 4 * m, dealt=True)  # a row is as wide as many of a few numbers
         many = n < ROUNDS and across > PAIRS_AN_ENTRY * size
-        links = confirm(_sketched(_drawn(left, n), traits) if many else _across(left, traits), texts, repeated)
-        if links.limit(1).count():
-            labels = merged(labels, links, "a", "b")
+        few = size <= session.ROWS and 4 * m <= session.ROWS
+        links = confirm(_sketched(_drawn(left, n, few), traits, few) if many else _across(left, traits), texts, repeated)
+        if found := links.count():
+            labels = merged(labels, links, "a", "b", labels.count() + found)
         elif many:
             n = ROUNDS
         entries, n = left.select("band", "node"), n + 1
     # only classes with links have a best row other than their own
-    inside = classes.join(labels, "node")
+    m = labels.count()
+    inside = classes.join(_sent(labels, m), "node")
     best = labels.join(inside.groupBy("label").agg(F.min("first").alias("best")), "label").select("node", "best")
-    named = classes.join(best, "node", "left").select("set_lo", "set_hi", F.col("first.doc_id").alias("class_id"), F.coalesce("best", "first").alias("best"))
+    named = classes.join(_sent(best, m), "node", "left").select("set_lo", "set_hi", F.col("first.doc_id").alias("class_id"), F.coalesce("best", "first").alias("best"))
     # cut, so that Spark may split the join at a large component
     return slim, cut(named), key, repeated
 
@@ -268,10 +281,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), named.alias("component_id"), kept.alias("kept"))
 
 
-def _sketched(pairs: DataFrame, traits: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those that neither sketches nor sizes rule out."""
+def _sketched(pairs: DataFrame, traits: DataFrame, few: bool = False) -> DataFrame:
+    """Of distinct pairs (a, b) those that neither sketches nor sizes rule out; ``few``: all comes in one partition each and is joined there."""
     x, y = traits.alias("x"), traits.alias("y")
-    rows = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
+    rows = pairs.join(x, F.col("a") == F.col("x.node"))
+    rows = (rows.coalesce(1) if few else rows).join(y, F.col("b") == F.col("y.node"))
+    rows = rows.coalesce(1) if few else rows
     return rows.where(_may_link("x", "y")).select("a", "b")
 
 
@@ -283,13 +298,15 @@ def _mixed(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, float
     n, size, across = buckets.agg(F.count("*"), F.sum("size"), F.sum((F.col("size").cast("double") * F.col("size") - F.col("inside")) / 2)).first()
     if not size:
         return named, 0, 0.0
-    return cut(named.join(_sent(buckets.select("band", "size"), n), "band"), size), size, across
+    return cut(named.join(_sent(buckets.select("band", "size"), n), "band"), size, dealt=True), size, across
 
 
-def _drawn(entries: DataFrame, n: int) -> DataFrame:
-    """Pairs (a, b) of each class with the member that round ``n`` draws in its bucket, where the components differ."""
+def _drawn(entries: DataFrame, n: int, few: bool) -> DataFrame:
+    """Pairs (a, b) of each class with the member that round ``n`` draws in its bucket, where the components differ; ``few``: ``entries`` come in one partition."""
     met = cut(entries.groupBy("band").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "band", F.lit(n))).alias("met")))
+    met = met.coalesce(1) if few else met
     pairs = entries.join(met, "band").where("label <> met.label")
+    pairs = pairs.coalesce(1) if few else pairs
     return pairs.select(F.greatest("node", "met.node").alias("a"), F.least("node", "met.node").alias("b")).distinct()
 
 
@@ -299,7 +316,8 @@ def _across(entries: DataFrame, traits: DataFrame) -> DataFrame:
     A bucket of more than BLOCK_ROWS classes is dealt into blocks; each class
     meets every block, so all pairs are seen, by several tasks.
     """
-    entries = entries.join(traits, "node")
+    # pairs are many more than entries: these are dealt over all cores, however few
+    entries = entries.repartition(entries.sparkSession.sparkContext.defaultParallelism).join(traits, "node")
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     x = entries.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).alias("x")
     y = entries.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")

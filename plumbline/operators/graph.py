@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline import session
 from plumbline.session import cut
 
 
@@ -122,7 +126,7 @@ def _along(step: DataFrame, roots: DataFrame) -> DataFrame:
         n, size, step = m, 2 * size, cut(_after(step, step))
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
     """(node, label): the smallest node reachable, for each node of ``edges``.
 
     Each round every root hooks on its smallest neighbour if that is smaller,
@@ -130,8 +134,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     edges within a root go. Of a component's roots at least half end every two
     rounds, and jumps halve a chain, so both loops are logarithmic, whatever
     the order of the nodes along a path. Hot nodes only ever meet partial
-    minimums and joins that Spark may split.
+    minimums and joins that Spark may split. Where a bound of the number of
+    edges is known (``rows``) and small, one task does the same by itself.
     """
+    if rows is not None and rows <= session.ROWS and all(edges.schema[c].dataType == T.LongType() for c in (a, b)):
+        return _joined(edges.select(F.coalesce(a, b).alias("x"), F.coalesce(b, a).alias("y")).where("x is not null"), rows)
     links = _contracted(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null"))
     single = edges.select(F.explode(F.array(a, b)).alias("node")).where("node is not null").distinct()
     n, ups = links.count(), []
@@ -154,6 +161,34 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return cut(labels)
 
 
+def _joined(pairs: DataFrame, rows: int) -> DataFrame:
+    """``components`` of at most ``rows`` pairs (x, y) of whole numbers, in one task."""
+
+    def run(batches):
+        ends = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+        for batch in batches:
+            for end, column in zip(ends, batch.columns, strict=True):
+                end.append(column.to_numpy(zero_copy_only=False))
+        nodes, at = np.unique(np.concatenate(ends[0] + ends[1]), return_inverse=True)
+        top = least_roots(len(nodes), *np.split(at, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[top])], names=["node", "label"])
+
+    return cut(pairs.coalesce(1).mapInArrow(run, "node long, label long"), 2 * rows)
+
+
+def least_roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest of the nodes 0 to n - 1 that each reaches over the pairs (x, y): the rounds of ``components`` on arrays."""
+    top = np.arange(n)
+    while True:
+        low, high = np.minimum(top[x], top[y]), np.maximum(top[x], top[y])
+        x, y = low[low < high], high[low < high]
+        if not len(x):
+            return top
+        np.minimum.at(top, y, x)
+        while (top[top] != top).any():
+            top = top[top]
+
+
 def _moved(rows: DataFrame, column: str, up: DataFrame) -> DataFrame:
     """``rows`` with ``column`` replaced by what ``up`` (node, up) has for it."""
     above = up.select(F.col("node").alias("__n"), F.col("up").alias("__up"))
@@ -165,8 +200,10 @@ def _contracted(links: DataFrame, rows: int | None = None) -> DataFrame:
     return cut(links.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), rows)
 
 
-def merged(labels: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``labels`` (node, label) of ``components`` after further edges: these join components, and nodes that had none."""
+def merged(labels: DataFrame, edges: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
+    """``labels`` (node, label) of ``components`` after further edges: these join components, and nodes that had none. ``rows``: a bound of how many labels and edges there are."""
+    if rows is not None and rows <= session.ROWS and all(edges.schema[c].dataType == T.LongType() for c in (a, b)):
+        return components(labels.select(F.col("node").alias(a), F.col("label").alias(b)).union(edges.select(a, b)), a, b, rows)
     first = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     own = labels.select("node", F.col("label").alias("up"))
     top = components(_moved(_moved(first, "x", own), "y", own), "x", "y").withColumnRenamed("label", "up")

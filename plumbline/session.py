@@ -36,19 +36,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-#: Rows of an interim result that one partition may hold when its size is known.
-ROWS = 50_000
+#: Rows of an interim result (a few numbers each) that one partition may hold when its size is known.
+ROWS = 250_000
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, dealt: bool = False) -> DataFrame:
     """``df`` written to the shared folder now, without its lineage.
 
     Where the number of rows is known (or an upper bound), a small result
     comes in few partitions, so that long loops don't leave a file for each
-    shuffle partition behind in every round.
+    shuffle partition behind in every round; what is grouped or joined from
+    results of one partition isn't shuffled again. ``dealt``: rows take much
+    work, or come from many more, so they are worked out in as many tasks as
+    otherwise and brought together after.
     """
     shared_dir(df.sparkSession)
-    return _plain((df if rows is None else df.coalesce(1 + rows // ROWS)).checkpoint(eager=True))
+    if rows is None:
+        return _plain(df.checkpoint(eager=True))
+    n = 1 + rows // ROWS
+    out = _plain((df.repartition if dealt else df.coalesce)(n).checkpoint(eager=True))
+    # a checkpoint doesn't tell that it has one partition
+    return out.coalesce(1) if n == 1 else out
 
 
 def _plain(df: DataFrame) -> DataFrame:
