@@ -254,7 +254,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, by_id: bool) -> tuple[
     # only classes with links have a best row other than their own
     m = labels.count()
     inside = classes.join(_sent(labels, m), "node")
-    best = labels.join(inside.groupBy("label").agg(F.min("first").alias("best")), "label").select("node", "best")
+    firsts = inside.groupBy("label").agg(F.min("first").alias("best"))
+    # not dealt by label, of which one may have most nodes
+    best = labels.join(_sent(firsts, m), "label").select("node", "best")
     named = classes.join(_sent(best, m), "node", "left").select("set_lo", "set_hi", F.col("first.doc_id").alias("class_id"), F.coalesce("best", "first").alias("best"))
     # cut, so that Spark may split the join at a large component
     return slim, cut(named), key, repeated
